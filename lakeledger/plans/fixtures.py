@@ -120,7 +120,7 @@ class Fixtures:
     def _build_fx_scan_columns(self) -> DataFrame:
         li = self.table("lineitem").filter((F.col("l_orderkey") % 11 != 0) & (F.col("l_linenumber") < 7))
         j = li.join(self.fx_names, F.col("l_orderkey") == F.col("k"), "inner")
-        g = j.groupBy("table_name", "l_orderkey", "l_linenumber").agg()
+        g = j.select("table_name", "l_orderkey", "l_linenumber").distinct()
         ln = F.col("l_linenumber")
         return g.select(
             "table_name", F.concat(F.lit("c"), ln.cast("string")).alias("column_name"),
