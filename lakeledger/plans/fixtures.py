@@ -207,6 +207,18 @@ class Fixtures:
         return arr.join(self.fx_names, "table_name", "inner").select(
             "table_name", F.when(k % 5 == 3, F.lit("[{\"column_name\": ")).otherwise(body).alias("response"))
 
+    def _build_fx_columns_profiled(self) -> DataFrame:
+        """Stored column rows with statistics (ours, not in FIXTURES.md):
+        samples are NULL, '' or text; the NULL share is NULL for ordinal 7."""
+        c = self.fx_columns
+        op = F.col("ordinal_position")
+        return c.select(
+            "table_name", "column_name", "data_type", "ordinal_position", "description", "business_name",
+            _case(op % 3, [(0, F.lit(None).cast("string")), (1, "")],
+                  F.concat(F.lit("x"), op.cast("string"), F.lit(" | y"))).alias("sample_values"),
+            F.when(op == 7, F.lit(None).cast("double"))
+             .otherwise(F.bround(op * 12.5 / 3, 2)).alias("null_percentage"))
+
     # -- profiler inputs -----------------------------------------------------
     def _build_fx_lineitem_nulls(self) -> DataFrame:
         li = self.table("lineitem")

@@ -105,6 +105,12 @@ FROM (
   FROM fx_columns WHERE ordinal_position = 2
 ) a JOIN fx_names n ON n.table_name = a.table_name
 GROUP BY a.table_name, n.k""",
+    "fx_columns_profiled": """
+SELECT table_name, column_name, data_type, ordinal_position, description, business_name,
+       CASE ordinal_position % 3 WHEN 0 THEN NULL WHEN 1 THEN ''
+            ELSE concat('x', CAST(ordinal_position AS VARCHAR), ' | y') END AS sample_values,
+       CASE WHEN ordinal_position = 7 THEN NULL ELSE round_even(ordinal_position * 12.5 / 3, 2) END AS null_percentage
+FROM fx_columns""",
     "fx_lineitem_nulls": """
 SELECT l_orderkey, l_linenumber,
        CASE WHEN l_orderkey % 8 = 0 THEN NULL ELSE l_partkey END AS l_partkey,
@@ -121,7 +127,7 @@ _DEPS = {
     "fx_live_tables": ["fx_names"], "fx_tables": ["fx_names"], "fx_columns": ["fx_names"],
     "fx_scan_tables": ["fx_names"], "fx_scan_columns": ["fx_names"], "fx_edits": ["fx_names"],
     "fx_column_edits": ["fx_names"], "fx_columns_edited": ["fx_columns"],
-    "fx_ai_tables": ["fx_names"], "fx_ai_columns": ["fx_columns", "fx_names"],
+    "fx_ai_tables": ["fx_names"], "fx_columns_profiled": ["fx_columns"], "fx_ai_columns": ["fx_columns", "fx_names"],
 }
 
 
