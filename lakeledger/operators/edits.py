@@ -121,12 +121,12 @@ def apply_edits(target: DataFrame, log: DataFrame, keys: list[str], now: str,
             e = F.coalesce(F.col(f"_e_{c}").cast(types[c]), F.col(c))
         elif c == stamp:
             e = F.when(hit, F.lit(now)).otherwise(F.col(c))
-        elif insert and c == "layer" and "table_name" in keys:
-            e = F.coalesce(F.col(c), detect_layer("table_name"))
-        elif insert and c == "scanned_at":
-            e = F.coalesce(F.col(c), F.lit(now))
         else:
             e = F.col(c)
+        if insert and c == "layer" and "table_name" in keys:
+            e = F.coalesce(e, detect_layer("table_name"))
+        elif insert and c == "scanned_at":
+            e = F.coalesce(e, F.lit(now))
         out.append(e.cast(types[c]).alias(c))
     return j.select(out)
 
