@@ -27,11 +27,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeledger.functions.text import value_text
-from lakeledger.sources.scan import live_columns
 
 # ---- fixed values ----------------------------------------------------------
 SAMPLE_COUNT = 5          # distinct values per column
@@ -42,35 +42,113 @@ SAMPLE_SEPARATOR = " | "
 PROFILE_COLUMNS = ["table_name", "column_name", "row_count", "null_count",
                    "null_percentage", "distinct_count"]
 
+# Kinds of values, by how they are grouped (as a long, a double or a text)
+# and how they are written back as text for samples.
+K_TEXT, K_INT, K_BOOL, K_DATE, K_TS, K_DOUBLE, K_FLOAT = range(7)
+
+
+def _typed(c: Column, dtype: T.DataType) -> tuple[int, Column, Column, Column]:
+    """``(kind, as_long, as_double, as_text)``: exactly one is set for a
+    non-NULL value, and equal values give equal parts.  Numbers stay
+    numbers (cheaper to hash and shuffle than their text); Spark normalises
+    -0.0 and NaN in double grouping keys, matching SQL equality."""
+    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return K_INT, c.cast("long"), nd, ns
+    if isinstance(dtype, T.BooleanType):
+        return K_BOOL, c.cast("long"), nd, ns
+    if isinstance(dtype, T.DateType):
+        return K_DATE, F.unix_date(c).cast("long"), nd, ns
+    if isinstance(dtype, T.TimestampType):
+        return K_TS, F.unix_micros(c), nd, ns
+    if isinstance(dtype, T.DoubleType):
+        return K_DOUBLE, nl, c, ns
+    if isinstance(dtype, T.FloatType):
+        return K_FLOAT, nl, c.cast("double"), ns
+    return K_TEXT, nl, nd, value_text(c, dtype)
+
+
+def _display(kind: Column, l: Column, d: Column, s: Column) -> Column:
+    """Text of a typed value as Spark casts the original type to text."""
+    return (F.when(kind == K_INT, l.cast("string"))
+            .when(kind == K_BOOL, F.when(l == 1, F.lit("true")).otherwise(F.lit("false")))
+            .when(kind == K_DATE, F.date_from_unix_date(l.cast("int")).cast("string"))
+            .when(kind == K_TS, F.timestamp_micros(l).cast("string"))
+            .when(kind == K_DOUBLE, d.cast("string"))
+            .when(kind == K_FLOAT, d.cast("float").cast("string"))
+            .otherwise(s))
+
+
+class Slots:
+    """Every column of every source with a global integer id.  The grouped
+    frames key on the id (an int) instead of table and column names; names
+    are joined back at the end from this list (one row per column)."""
+
+    def __init__(self, spark: SparkSession, sources: Mapping[str, DataFrame]):
+        self.spark, self.sources = spark, sources
+        self.rows, self.base = [], {}
+        for name, df in sources.items():
+            self.base[name] = len(self.rows)
+            for i, f in enumerate(df.schema.fields, start=1):
+                self.rows.append((len(self.rows), name, f.name, i, _typed(F.lit(None), f.dataType)[0]))
+
+    def frame(self) -> DataFrame:
+        return self.spark.createDataFrame(
+            self.rows, "col_id int, table_name string, column_name string, ordinal_position int, kind int")
+
+    def kind_of(self, col_id: Column) -> Column:
+        kinds = F.array(*[F.lit(r[4]) for r in self.rows]) if self.rows else F.array().cast("array<int>")
+        return F.element_at(kinds, col_id + 1)
+
+
+def unpivot_typed(df: DataFrame, base: int) -> DataFrame:
+    """``(col_id, l, d, s)``: one row per cell of ``df``, ids from ``base``."""
+    fields = df.schema.fields
+    if not fields:
+        return df.sparkSession.createDataFrame([], "col_id int, l long, d double, s string")
+    aliases = [f"_v{i}" for i in range(len(fields))]
+    cells = []
+    for f, a in zip(fields, aliases):
+        _, l, d, s = _typed(df[f"`{f.name}`"], f.dataType)
+        cells.append(F.struct(l.alias("l"), d.alias("d"), s.alias("s")).alias(a))
+    long = df.select(cells).unpivot([], aliases, "_slot", "v")
+    # unpivot names each row after its alias ("_v<i>"): the index is the id.
+    col_id = (F.substring(F.col("_slot"), 3, 12).cast("int") + F.lit(base)).alias("col_id")
+    return long.select(col_id, "v.l", "v.d", "v.s")
+
 
 def unpivot_text(df: DataFrame, table_name: str) -> DataFrame:
-    """``(table_name, column_name, value)``: one row per cell, value as text."""
+    """``(table_name, column_name, value)``: one row per cell, value as text
+    (the injective text form; kept for callers that want the long shape)."""
     fields = df.schema.fields
     if not fields:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string")
     aliases = [f"_v{i}" for i in range(len(fields))]
     texts = df.select([value_text(df[f"`{f.name}`"], f.dataType).alias(a) for f, a in zip(fields, aliases)])
-    # unpivot names each row after its alias ("_v<i>"); the index picks the
-    # real column name out of a literal array (constant-time per row).
     long = texts.unpivot([], aliases, "_slot", "value")
     names = F.array(*[F.lit(f.name) for f in fields])
     slot = F.substring(F.col("_slot"), 3, 12).cast("int")
     return long.select(F.lit(table_name).alias("table_name"),
-                       F.element_at(names, slot + 1).alias("column_name"),
-                       "value")
+                       F.element_at(names, slot + 1).alias("column_name"), "value")
 
 
-def value_counts(long: DataFrame) -> DataFrame:
-    """``(table_name, column_name, value, cnt)``: the shared grouped frame."""
-    return long.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+def value_counts(slots: Slots) -> DataFrame:
+    """``(col_id, l, d, s, cnt)``: the shared grouped frame of all sources."""
+    long = reduce(DataFrame.unionByName,
+                  [unpivot_typed(df, slots.base[name]) for name, df in slots.sources.items()])
+    return long.groupBy("col_id", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _is_null() -> Column:
+    return F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
 
 
 def column_stats(counts: DataFrame) -> DataFrame:
     """Rows, NULLs and distinct values per column from ``value_counts``."""
-    return counts.groupBy("table_name", "column_name").agg(
+    return counts.groupBy("col_id").agg(
         F.sum("cnt").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("null_count"),
-        F.count("value").alias("distinct_count"))
+        F.coalesce(F.sum(F.when(_is_null(), F.col("cnt"))), F.lit(0)).cast("long").alias("null_count"),
+        F.count(F.when(~_is_null(), F.lit(1))).alias("distinct_count"))
 
 
 def null_percentage(nulls, rows) -> "F.Column":
@@ -80,36 +158,38 @@ def null_percentage(nulls, rows) -> "F.Column":
     return F.when(rows > 0, F.bround(nulls.cast("double") / rows * 100, 2))
 
 
-def samples_from_counts(counts: DataFrame, n: int = SAMPLE_COUNT, width: int = SAMPLE_WIDTH,
-                        sep: str = SAMPLE_SEPARATOR) -> DataFrame:
+def samples_from_counts(counts: DataFrame, slots: Slots, n: int = SAMPLE_COUNT,
+                        width: int = SAMPLE_WIDTH, sep: str = SAMPLE_SEPARATOR) -> DataFrame:
     """The ``n`` smallest distinct non-NULL heads (first ``width``
-    characters) per column, ascending, joined by ``sep``; blank -> NULL."""
-    # Heads are grouped with the row count they cover.  Summing ``cnt`` keeps
-    # this a consumer of ``counts`` (a bare distinct would let the optimizer
-    # drop the grouped count and scan the sources a second time), so the
-    # shuffle behind ``counts`` is reused by ``column_stats``.  NULL is not
-    # filtered before the limit for the same reason: it sorts last, the limit
-    # keeps n + 1, and collect_list skips it.
-    heads = (counts.groupBy("table_name", "column_name",
-                            F.substring("value", 1, width).alias("head"))
+    characters of the value's text) per column, ascending, joined by
+    ``sep``; blank -> NULL.  Output ``(col_id, sample_values)``."""
+    # Heads are grouped with the largest count they cover.  Using ``cnt``
+    # keeps this a consumer of ``counts`` (a bare distinct would let the
+    # optimizer drop the grouped count and scan the sources a second time),
+    # so the shuffle behind ``counts`` is reused by ``column_stats``.  NULL is
+    # not filtered before the limit for the same reason: it sorts last, the
+    # limit keeps n + 1, and collect_list skips it.
+    text = _display(slots.kind_of(F.col("col_id")), F.col("l"), F.col("d"), F.col("s"))
+    heads = (counts.groupBy("col_id", F.substring(text, 1, width).alias("head"))
              .agg(F.max("cnt").alias("_top")))
-    # (``_top`` only breaks no ties: heads are unique per column.  It is in the
+    # (``_top`` breaks no ties: heads are unique per column.  It is in the
     # ordering so that column pruning cannot drop the aggregate.)
-    w = Window.partitionBy("table_name", "column_name").orderBy(F.col("head").asc_nulls_last(), "_top")
+    w = Window.partitionBy("col_id").orderBy(F.col("head").asc_nulls_last(), "_top")
     top = heads.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n + 1)
     joined = F.array_join(F.slice(F.array_sort(F.collect_list("head")), 1, n), sep)
-    return (top.groupBy("table_name", "column_name")
+    return (top.groupBy("col_id")
             .agg(joined.alias("sample_values"))
             .withColumn("sample_values",
                         F.when(F.col("sample_values").rlike(r"^\s*$"), F.lit(None).cast("string"))
                         .otherwise(F.col("sample_values"))))
 
 
-def _finish(cols: DataFrame, stats: DataFrame) -> DataFrame:
-    """Drive the result from the column list, so a zero-row table still
-    yields its columns (with NULL statistics)."""
-    j = cols.select("table_name", "column_name", "ordinal_position").join(
-        stats, ["table_name", "column_name"], "left")
+def _finish(slots: Slots, stats: DataFrame) -> DataFrame:
+    """Drive the result from the column list (one row per column, so a
+    zero-row table still yields its columns, with NULL statistics) and put
+    the names back on the ids."""
+    j = slots.frame().select("col_id", "table_name", "column_name", "ordinal_position") \
+        .join(stats, "col_id", "left")
     has_rows = F.coalesce(F.col("row_count"), F.lit(0)) > 0
     return j.select(
         "table_name", "column_name", "ordinal_position",
@@ -120,7 +200,7 @@ def _finish(cols: DataFrame, stats: DataFrame) -> DataFrame:
         *([c for c in stats.columns if c == "sample_values"]))
 
 
-def _approx_stats(df: DataFrame, table_name: str, rsd: float) -> DataFrame:
+def _approx_stats(df: DataFrame, base: int, rsd: float) -> DataFrame:
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
@@ -129,13 +209,12 @@ def _approx_stats(df: DataFrame, table_name: str, rsd: float) -> DataFrame:
         aggs.append(F.approx_count_distinct(value_text(c, f.dataType), rsd).alias(f"_d{i}"))
     one = df.agg(*aggs)
     per_col = F.explode(F.array(*[
-        F.struct(F.lit(f.name).alias("column_name"),
+        F.struct(F.lit(base + i).alias("col_id"),
                  (F.col("_rows") - F.col(f"_n{i}")).alias("null_count"),
                  F.col(f"_d{i}").cast("long").alias("distinct_count"))
         for i, f in enumerate(fields)]))
-    return one.select(F.lit(table_name).alias("table_name"), F.col("_rows").alias("row_count"),
-                      per_col.alias("c")).select("table_name", "c.column_name", "row_count",
-                                                  "c.null_count", "c.distinct_count")
+    return one.select(F.col("_rows").alias("row_count"), per_col.alias("c")) \
+        .select("c.col_id", "row_count", "c.null_count", "c.distinct_count")
 
 
 def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str = "exact",
@@ -144,24 +223,26 @@ def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str
     """Profile many tables into one ``(table_name, column_name, ...)`` frame.
 
     ``mode="exact"``: one grouped count over all sources together.
-    ``mode="approx"``: HyperLogLog++ with relative error ``rsd``; samples are
-    still exact (they need the grouped frame, so they cost the same shuffle)."""
-    cols = live_columns(spark, sources)
-    if not sources:
-        return _finish(cols, spark.createDataFrame(
-            [], "table_name string, column_name string, row_count long, null_count long, distinct_count long"))
+    ``mode="approx"``: HyperLogLog++ with relative error ``rsd``, one global
+    aggregate per source and no wide shuffle; samples, when asked for, are
+    still exact (they need the grouped frame)."""
+    slots = Slots(spark, sources)
+    empty = spark.createDataFrame([], "col_id int, row_count long, null_count long, distinct_count long")
+    if not slots.rows:
+        return _finish(slots, empty)
     if mode == "exact" or with_samples:
-        long = reduce(DataFrame.unionByName, [unpivot_text(df, name) for name, df in sources.items()])
-        counts = value_counts(long)
+        counts = value_counts(slots)
     if mode == "exact":
         stats = column_stats(counts)
     elif mode == "approx":
-        stats = reduce(DataFrame.unionByName, [_approx_stats(df, name, rsd) for name, df in sources.items()])
+        stats = reduce(DataFrame.unionByName,
+                       [_approx_stats(df, slots.base[name], rsd) for name, df in sources.items()
+                        if df.schema.fields], empty)
     else:
         raise ValueError(f"unknown profile mode {mode!r}")
     if with_samples:
-        stats = stats.join(samples_from_counts(counts, n, width), ["table_name", "column_name"], "full")
-    return _finish(cols, stats)
+        stats = stats.join(samples_from_counts(counts, slots, n, width), "col_id", "full")
+    return _finish(slots, stats)
 
 
 def profile(df: DataFrame, table_name: str = "t", mode: str = "exact", with_samples: bool = False,
@@ -170,16 +251,19 @@ def profile(df: DataFrame, table_name: str = "t", mode: str = "exact", with_samp
     return profile_all(df.sparkSession, {table_name: df}, mode=mode, with_samples=with_samples, rsd=rsd)
 
 
+def samples_all(sources: Mapping[str, DataFrame], n: int = SAMPLE_COUNT,
+                width: int = SAMPLE_WIDTH) -> DataFrame:
+    """A5 for many tables: ``(table_name, column_name, sample_values)``."""
+    spark = next(iter(sources.values())).sparkSession
+    slots = Slots(spark, sources)
+    s = samples_from_counts(value_counts(slots), slots, n, width)
+    return slots.frame().join(s, "col_id", "inner").select("table_name", "column_name", "sample_values")
+
+
 def samples(df: DataFrame, table_name: str = "t", n: int = SAMPLE_COUNT,
             width: int = SAMPLE_WIDTH) -> DataFrame:
     """A5 on its own: ``(table_name, column_name, sample_values)``."""
-    return samples_from_counts(value_counts(unpivot_text(df, table_name)), n, width)
-
-
-def samples_all(sources: Mapping[str, DataFrame], n: int = SAMPLE_COUNT,
-                width: int = SAMPLE_WIDTH) -> DataFrame:
-    long = reduce(DataFrame.unionByName, [unpivot_text(df, name) for name, df in sources.items()])
-    return samples_from_counts(value_counts(long), n, width)
+    return samples_all({table_name: df}, n, width)
 
 
 def attach_stats(columns: DataFrame, stats: DataFrame) -> DataFrame:

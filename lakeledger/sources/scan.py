@@ -55,34 +55,35 @@ def live_columns(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataF
     return spark.createDataFrame(rows, LIVE_COLUMNS_SCHEMA).orderBy("table_name", "ordinal_position")
 
 
+def _count_parts(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:
+    """All sources' rows as ``(table_name, one, column_count)`` plus one
+    metadata row per source, so a single grouped aggregation yields every
+    count (zero-row sources included) with one shuffle for all sources.
+    Partial aggregation leaves one row per source and map task."""
+    meta = spark.createDataFrame([(n, 0, len(df.schema.fields)) for n, df in sources.items()],
+                                 "table_name string, one int, column_count int")
+    parts = [df.select(F.lit(name).alias("table_name"), F.lit(1).alias("one"),
+                       F.lit(None).cast("int").alias("column_count"))
+             for name, df in sources.items()]
+    return reduce(DataFrame.unionByName, parts, meta)
+
+
 def row_counts(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:
-    """S3: ``(table_name, row_count)`` for every source, as one plan.
+    """S3: ``(table_name, row_count)`` for every source, as one job.
 
-    Each branch is a global count (no columns read from parquet); the union
-    runs as a single job."""
-    parts = [df.select().agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(name).alias("table_name"), F.col("row_count").cast("long"))
-             for name, df in sources.items()]
-    if not parts:
-        return spark.createDataFrame([], "table_name string, row_count long")
-    return reduce(DataFrame.unionByName, parts)
+    No column is read from parquet (the projection is a literal)."""
+    return (_count_parts(spark, sources).groupBy("table_name")
+            .agg(F.sum("one").cast("long").alias("row_count")))
 
 
 def scan_tables(spark: SparkSession, sources: Mapping[str, DataFrame], now: str) -> DataFrame:
     """``table_name, layer, row_count, column_count, scanned_at``.
 
     ``now`` is one ISO timestamp for the whole scan (never per row)."""
-    col_counts = spark.createDataFrame(
-        [(n, len(df.schema.fields)) for n, df in sources.items()],
-        "table_name string, column_count int")
-    # Both sides have one row per source: the join is tiny and bounded by the
-    # number of sources, so broadcasting the schema-derived side is safe.
-    return (row_counts(spark, sources)
-            .join(F.broadcast(col_counts), "table_name", "inner")
-            .select("table_name",
-                    detect_layer("table_name").alias("layer"),
-                    "row_count", "column_count",
-                    F.lit(now).alias("scanned_at")))
+    g = _count_parts(spark, sources).groupBy("table_name").agg(
+        F.sum("one").cast("long").alias("row_count"), F.max("column_count").alias("column_count"))
+    return g.select("table_name", detect_layer("table_name").alias("layer"),
+                    "row_count", "column_count", F.lit(now).alias("scanned_at"))
 
 
 def primary_keys(constraints: DataFrame, usage: DataFrame, schema: str | None = "dbo") -> DataFrame:

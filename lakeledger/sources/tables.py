@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +39,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def read_sources(spark: SparkSession, paths: dict[str, str], threads: int = 16) -> dict[str, DataFrame]:
+    """``{name: spark.read.parquet(path)}`` with the readers created in
+    parallel: creating a reader lists files and reads a footer for the
+    schema, a driver round trip per table that adds up over thousands of
+    tables.  No data is read here."""
+    names = list(paths)
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(names)))) as ex:
+        frames = list(ex.map(lambda n: spark.read.parquet(paths[n]), names))
+    return dict(zip(names, frames))
+
+
 def driver_sources(spark: SparkSession, sf_dir: str, catalogue_names: bool = True) -> dict[str, DataFrame]:
     """All driver tables as ``{name: DataFrame}``, under catalogue names."""
-    return {(CATALOGUE_NAMES[t] if catalogue_names else t): read_table(spark, sf_dir, t)
-            for t in DRIVER_TABLES}
+    return read_sources(spark, {(CATALOGUE_NAMES[t] if catalogue_names else t): table_path(sf_dir, t)
+                                for t in DRIVER_TABLES})
 
 
 def declared_key_metadata(spark: SparkSession, schema: str = "dbo") -> tuple[DataFrame, DataFrame]:
