@@ -143,9 +143,10 @@ WHERE seq > coalesce((SELECT max(seq) FROM fx_edits WHERE edited_at <= TIMESTAMP
 def q_consume_edits(spark, sf_dir):
     log = Fixtures(spark, sf_dir).fx_edits
     applied = log.filter(F.col("edited_at") <= F.lit(APPLIED_AT).cast("timestamp_ntz"))
-    # The cut-off is one scalar; consume keeps everything after it.
-    cut = applied.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("cut"))
-    return log.join(cut, F.col("seq") > F.col("cut"), "left_semi")
+    # The cut-off is one number (the high-water mark of the applied batch);
+    # as a literal the filter on seq reaches the scan of the log.
+    cut = applied.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    return consume_edits(log, cut)
 
 
 _DIFF = """
