@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeledger.functions.text import value_text
+from lakeledger.sources.schema import metadata_frame
 
 # ---- fixed values ----------------------------------------------------------
 SAMPLE_COUNT = 5          # distinct values per column
@@ -93,28 +94,24 @@ class Slots:
                 self.rows.append((len(self.rows), name, f.name, i, _typed(F.lit(None), f.dataType)[0]))
 
     def frame(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            self.rows, "col_id int, table_name string, column_name string, ordinal_position int, kind int")
-
-    def kind_of(self, col_id: Column) -> Column:
-        kinds = F.array(*[F.lit(r[4]) for r in self.rows]) if self.rows else F.array().cast("array<int>")
-        return F.element_at(kinds, col_id + 1)
+        return metadata_frame(
+            self.spark, self.rows, "col_id int, table_name string, column_name string, ordinal_position int, kind int")
 
 
 def unpivot_typed(df: DataFrame, base: int) -> DataFrame:
-    """``(col_id, l, d, s)``: one row per cell of ``df``, ids from ``base``."""
+    """``(col_id, kind, l, d, s)``: one row per cell of ``df``, ids from
+    ``base``.  The id and kind are literals of each unpivot slot, so no
+    per-row lookup is needed and the plan stays the same size per column."""
     fields = df.schema.fields
     if not fields:
-        return df.sparkSession.createDataFrame([], "col_id int, l long, d double, s string")
+        return df.sparkSession.createDataFrame([], "col_id int, kind int, l long, d double, s string")
     aliases = [f"_v{i}" for i in range(len(fields))]
     cells = []
-    for f, a in zip(fields, aliases):
-        _, l, d, s = _typed(df[f"`{f.name}`"], f.dataType)
-        cells.append(F.struct(l.alias("l"), d.alias("d"), s.alias("s")).alias(a))
-    long = df.select(cells).unpivot([], aliases, "_slot", "v")
-    # unpivot names each row after its alias ("_v<i>"): the index is the id.
-    col_id = (F.substring(F.col("_slot"), 3, 12).cast("int") + F.lit(base)).alias("col_id")
-    return long.select(col_id, "v.l", "v.d", "v.s")
+    for i, (f, a) in enumerate(zip(fields, aliases)):
+        kind, l, d, s = _typed(df[f"`{f.name}`"], f.dataType)
+        cells.append(F.struct(F.lit(base + i).alias("col_id"), F.lit(kind).alias("kind"),
+                              l.alias("l"), d.alias("d"), s.alias("s")).alias(a))
+    return df.select(cells).unpivot([], aliases, "_slot", "v").select("v.*")
 
 
 def unpivot_text(df: DataFrame, table_name: str) -> DataFrame:
@@ -133,10 +130,12 @@ def unpivot_text(df: DataFrame, table_name: str) -> DataFrame:
 
 
 def value_counts(slots: Slots) -> DataFrame:
-    """``(col_id, l, d, s, cnt)``: the shared grouped frame of all sources."""
+    """``(col_id, kind, l, d, s, cnt)``: the shared grouped frame of all sources."""
     long = reduce(DataFrame.unionByName,
                   [unpivot_typed(df, slots.base[name]) for name, df in slots.sources.items()])
-    return long.groupBy("col_id", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    # ``kind`` depends on ``col_id`` only: it adds no groups, it is carried
+    # so that samples can print each value as its original type would.
+    return long.groupBy("col_id", "kind", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _is_null() -> Column:
@@ -169,7 +168,7 @@ def samples_from_counts(counts: DataFrame, slots: Slots, n: int = SAMPLE_COUNT,
     # so the shuffle behind ``counts`` is reused by ``column_stats``.  NULL is
     # not filtered before the limit for the same reason: it sorts last, the
     # limit keeps n + 1, and collect_list skips it.
-    text = _display(slots.kind_of(F.col("col_id")), F.col("l"), F.col("d"), F.col("s"))
+    text = _display(F.col("kind"), F.col("l"), F.col("d"), F.col("s"))
     heads = (counts.groupBy("col_id", F.substring(text, 1, width).alias("head"))
              .agg(F.max("cnt").alias("_top")))
     # (``_top`` breaks no ties: heads are unique per column.  It is in the

@@ -62,7 +62,7 @@ FROM (VALUES {_scan_columns_rows()}) v(table_name, column_name, data_type, ordin
 def q_scan_columns(spark, sf_dir):
     sources = driver_sources(spark, sf_dir)
     cons, usage = declared_key_metadata(spark)
-    return scan_columns(live_columns(spark, sources), primary_keys(cons, usage), NOW)
+    return scan_columns(live_columns(spark, sources, ordered=False), primary_keys(cons, usage), NOW)
 
 
 # -- key_columns (A12) ---------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeledger.functions.layers import EXCLUDE_PREFIXES, detect_layer, excluded
+from lakeledger.sources.schema import metadata_frame
 
 LIVE_COLUMNS_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType(), False),
@@ -40,19 +41,21 @@ def live_tables(names: DataFrame, exclude=EXCLUDE_PREFIXES, name_col: str = "tab
 
 def source_names(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:
     """The names of the sources as a one-column frame."""
-    return spark.createDataFrame([(n,) for n in sources], "table_name string")
+    return metadata_frame(spark, [(n,) for n in sources], "table_name string")
 
 
-def live_columns(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:
+def live_columns(spark: SparkSession, sources: Mapping[str, DataFrame], ordered: bool = True) -> DataFrame:
     """One row per column of every source, ordinal 1-based.
 
     Built from the schemas only (metadata, bounded by the number of columns);
-    no data is read.  Sorted by table, ordinal."""
+    no data is read.  Sorted by table, ordinal unless ``ordered=False`` (for
+    callers that join it, where an order would be wasted work)."""
     rows = []
     for name, df in sources.items():
         for i, f in enumerate(df.schema.fields, start=1):
             rows.append((name, f.name, f.dataType.simpleString(), i, "YES" if f.nullable else "NO"))
-    return spark.createDataFrame(rows, LIVE_COLUMNS_SCHEMA).orderBy("table_name", "ordinal_position")
+    df = metadata_frame(spark, rows, LIVE_COLUMNS_SCHEMA)
+    return df.orderBy("table_name", "ordinal_position") if ordered else df
 
 
 def _count_parts(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -180,7 +183,7 @@ def scan(spark: SparkSession,
                     errors.append((name, str(e).splitlines()[0][:500]))
                     ok.pop(name)
             tables = spark.createDataFrame(good_rows, tables.schema)
-    cols = live_columns(spark, ok)
+    cols = live_columns(spark, ok, ordered=False)
     columns = scan_columns(cols, keys, now)
     err = spark.createDataFrame(errors, "table_name string, error string")
     return ScanResult(tables, columns, err)

@@ -60,6 +60,21 @@ EDITS_SCHEMA = T.StructType([
 ])
 
 
+# ---- fixed values ----------------------------------------------------------
+# Frames built on the driver from metadata (schemas, declared keys) carry an
+# exact row count; up to this many rows they are marked for broadcast.
+BROADCAST_ROW_LIMIT = 100_000
+# ---------------------------------------------------------------------------
+
+
+def metadata_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A small frame built on the driver from metadata.  Its size is known
+    (``len(rows)``), so it is broadcast only when that count is under the
+    limit; beyond it, joins are left to AQE's runtime sizes."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROW_LIMIT else df
+
+
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

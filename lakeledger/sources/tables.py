@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeledger.sources.schema import metadata_frame
+
 # ---- fixed values ----------------------------------------------------------
 # The driver's tables, and the names they are catalogued under (a layer
 # prefix each; the last stays in layer "other").
@@ -64,5 +66,5 @@ def declared_key_metadata(spark: SparkSession, schema: str = "dbo") -> tuple[Dat
         cname = f"pk_{t}"
         cons.append((cname, "PRIMARY KEY", schema))
         usage.extend((cname, CATALOGUE_NAMES[t], c) for c in cols)
-    return (spark.createDataFrame(cons, "CONSTRAINT_NAME string, CONSTRAINT_TYPE string, TABLE_SCHEMA string"),
-            spark.createDataFrame(usage, "CONSTRAINT_NAME string, TABLE_NAME string, COLUMN_NAME string"))
+    return (metadata_frame(spark, cons, "CONSTRAINT_NAME string, CONSTRAINT_TYPE string, TABLE_SCHEMA string"),
+            metadata_frame(spark, usage, "CONSTRAINT_NAME string, TABLE_NAME string, COLUMN_NAME string"))
