@@ -38,6 +38,7 @@ from lakeledger.sources.schema import metadata_frame
 SAMPLE_COUNT = 5          # distinct values per column
 SAMPLE_WIDTH = 200        # characters kept of each value, before de-duplication
 SAMPLE_SEPARATOR = " | "
+DIGEST_OVER = 256         # digest mode: texts longer than this are keyed by SHA-256
 # ---------------------------------------------------------------------------
 
 PROFILE_COLUMNS = ["table_name", "column_name", "row_count", "null_count",
@@ -98,19 +99,32 @@ class Slots:
             self.spark, self.rows, "col_id int, table_name string, column_name string, ordinal_position int, kind int")
 
 
-def unpivot_typed(df: DataFrame, base: int) -> DataFrame:
+def unpivot_typed(df: DataFrame, base: int, digest_over: int | None = None,
+                  width: int = SAMPLE_WIDTH) -> DataFrame:
     """``(col_id, kind, l, d, s)``: one row per cell of ``df``, ids from
     ``base``.  The id and kind are literals of each unpivot slot, so no
-    per-row lookup is needed and the plan stays the same size per column."""
+    per-row lookup is needed and the plan stays the same size per column.
+
+    With ``digest_over`` texts longer than that many characters are keyed by
+    their SHA-256 digest (``dg``, 32 bytes) instead of the full text, and
+    carry only their first ``width`` characters (``h``) for samples."""
     fields = df.schema.fields
+    extra = ", dg binary, h string" if digest_over else ""
     if not fields:
-        return df.sparkSession.createDataFrame([], "col_id int, kind int, l long, d double, s string")
+        return df.sparkSession.createDataFrame([], f"col_id int, kind int, l long, d double, s string{extra}")
     aliases = [f"_v{i}" for i in range(len(fields))]
     cells = []
     for i, (f, a) in enumerate(zip(fields, aliases)):
         kind, l, d, s = _typed(df[f"`{f.name}`"], f.dataType)
-        cells.append(F.struct(F.lit(base + i).alias("col_id"), F.lit(kind).alias("kind"),
-                              l.alias("l"), d.alias("d"), s.alias("s")).alias(a))
+        parts = [F.lit(base + i).alias("col_id"), F.lit(kind).alias("kind"), l.alias("l"), d.alias("d")]
+        if digest_over:
+            big = F.length(s) > digest_over
+            parts += [F.when(~big, s).alias("s"),
+                      F.when(big, F.unhex(F.sha2(s, 256))).alias("dg"),
+                      F.when(big, F.substring(s, 1, width)).alias("h")]
+        else:
+            parts.append(s.alias("s"))
+        cells.append(F.struct(*parts).alias(a))
     return df.select(cells).unpivot([], aliases, "_slot", "v").select("v.*")
 
 
@@ -129,25 +143,30 @@ def unpivot_text(df: DataFrame, table_name: str) -> DataFrame:
                        F.element_at(names, slot + 1).alias("column_name"), "value")
 
 
-def value_counts(slots: Slots) -> DataFrame:
-    """``(col_id, kind, l, d, s, cnt)``: the shared grouped frame of all sources."""
+def value_counts(slots: Slots, digest_over: int | None = None, width: int = SAMPLE_WIDTH) -> DataFrame:
+    """``(col_id, kind, l, d, s, cnt)``: the shared grouped frame of all
+    sources (plus ``dg, h`` with ``digest_over``)."""
     long = reduce(DataFrame.unionByName,
-                  [unpivot_typed(df, slots.base[name]) for name, df in slots.sources.items()])
+                  [unpivot_typed(df, slots.base[name], digest_over, width) for name, df in slots.sources.items()])
     # ``kind`` depends on ``col_id`` only: it adds no groups, it is carried
     # so that samples can print each value as its original type would.
+    if digest_over:
+        return long.groupBy("col_id", "kind", "l", "d", "s", "dg").agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("h").alias("h"))
     return long.groupBy("col_id", "kind", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _is_null() -> Column:
-    return F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
+def _is_null(counts: DataFrame) -> Column:
+    c = F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
+    return c & F.col("dg").isNull() if "dg" in counts.columns else c
 
 
 def column_stats(counts: DataFrame) -> DataFrame:
     """Rows, NULLs and distinct values per column from ``value_counts``."""
     return counts.groupBy("col_id").agg(
         F.sum("cnt").alias("row_count"),
-        F.coalesce(F.sum(F.when(_is_null(), F.col("cnt"))), F.lit(0)).cast("long").alias("null_count"),
-        F.count(F.when(~_is_null(), F.lit(1))).alias("distinct_count"))
+        F.coalesce(F.sum(F.when(_is_null(counts), F.col("cnt"))), F.lit(0)).cast("long").alias("null_count"),
+        F.count(F.when(~_is_null(counts), F.lit(1))).alias("distinct_count"))
 
 
 def null_percentage(nulls, rows) -> "F.Column":
@@ -168,8 +187,10 @@ def samples_from_counts(counts: DataFrame, slots: Slots, n: int = SAMPLE_COUNT,
     # so the shuffle behind ``counts`` is reused by ``column_stats``.  NULL is
     # not filtered before the limit for the same reason: it sorts last, the
     # limit keeps n + 1, and collect_list skips it.
-    text = _display(F.col("kind"), F.col("l"), F.col("d"), F.col("s"))
-    heads = (counts.groupBy("col_id", F.substring(text, 1, width).alias("head"))
+    text = F.substring(_display(F.col("kind"), F.col("l"), F.col("d"), F.col("s")), 1, width)
+    if "h" in counts.columns:
+        text = F.coalesce(F.col("h"), text)
+    heads = (counts.groupBy("col_id", text.alias("head"))
              .agg(F.max("cnt").alias("_top")))
     # (``_top`` breaks no ties: heads are unique per column.  It is in the
     # ordering so that column pruning cannot drop the aggregate.)
@@ -218,10 +239,14 @@ def _approx_stats(df: DataFrame, base: int, rsd: float) -> DataFrame:
 
 def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str = "exact",
                 with_samples: bool = False, rsd: float = 0.05,
-                n: int = SAMPLE_COUNT, width: int = SAMPLE_WIDTH) -> DataFrame:
+                n: int = SAMPLE_COUNT, width: int = SAMPLE_WIDTH,
+                digest_over: int = DIGEST_OVER) -> DataFrame:
     """Profile many tables into one ``(table_name, column_name, ...)`` frame.
 
     ``mode="exact"``: one grouped count over all sources together.
+    ``mode="digest"``: the same, but texts longer than ``digest_over``
+    characters are grouped by their SHA-256 digest, so long documents are
+    not shuffled whole (counts are exact unless SHA-256 collides).
     ``mode="approx"``: HyperLogLog++ with relative error ``rsd``, one global
     aggregate per source and no wide shuffle; samples, when asked for, are
     still exact (they need the grouped frame)."""
@@ -229,9 +254,9 @@ def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str
     empty = spark.createDataFrame([], "col_id int, row_count long, null_count long, distinct_count long")
     if not slots.rows:
         return _finish(slots, empty)
-    if mode == "exact" or with_samples:
-        counts = value_counts(slots)
-    if mode == "exact":
+    if mode in ("exact", "digest") or with_samples:
+        counts = value_counts(slots, digest_over if mode == "digest" else None, width)
+    if mode in ("exact", "digest"):
         stats = column_stats(counts)
     elif mode == "approx":
         stats = reduce(DataFrame.unionByName,

@@ -114,3 +114,13 @@ def q_attach_stats(spark, sf_dir):
     cols = q_scan_columns(spark, sf_dir).drop("sample_values")
     stats = profile_all(spark, driver_sources(spark, sf_dir))
     return attach_stats(cols, stats)
+
+
+# -- digest mode: long texts keyed by SHA-256; counts equal the exact ones ------
+_LONG_TEXT = ["documents", "pages", "conversations", "benchmark"]
+
+
+@register("profile_digest", "\nUNION ALL".join(_profile_sql(CATALOGUE_NAMES[t], t, _cols(t)) for t in _LONG_TEXT))
+def q_profile_digest(spark, sf_dir):
+    sources = {CATALOGUE_NAMES[t]: read_table(spark, sf_dir, t) for t in _LONG_TEXT}
+    return _proj(profile_all(spark, sources, mode="digest"))

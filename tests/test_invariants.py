@@ -97,3 +97,11 @@ def test_profile_matches_python(spark, ints, texts):
         joined = " | ".join(heads)
         want = joined if joined.strip(" ") else None
         assert r.sample_values == want
+
+
+def test_digest_mode_equals_exact_including_samples(spark):
+    from lakeledger.sources.tables import CATALOGUE_NAMES
+    srcs = {CATALOGUE_NAMES[t]: read_table(spark, SF_SMALL, t) for t in ("documents", "pages", "orders")}
+    exact = _rows(profile_all(spark, srcs, with_samples=True))
+    digest = _rows(profile_all(spark, srcs, mode="digest", with_samples=True, digest_over=16))
+    assert exact == digest
