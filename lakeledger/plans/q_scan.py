@@ -65,18 +65,14 @@ def q_scan_columns(spark, sf_dir):
     return scan_columns(live_columns(spark, sources, ordered=False), primary_keys(cons, usage), NOW)
 
 
-# -- key_columns (A12) ---------------------------------------------------------
-def _key_rows() -> str:
-    return ",\n".join(f"({_q(CATALOGUE_NAMES[t])}, {_q(c)})" for t, cs in DECLARED_KEYS.items() for c in cs)
-
-
-@register("key_columns", f"""
+# -- key_columns (A12): key sets of the catalogued tables ----------------------
+@register("key_columns", with_fx(["fx_columns_edited"], """
 SELECT table_name, array_to_string(list_sort(list(column_name)), ',') AS key_columns, CAST(count(*) AS BIGINT) AS n_keys
-FROM (VALUES {_key_rows()}) v(table_name, column_name)
-GROUP BY table_name""")
+FROM fx_columns_edited WHERE is_primary_key
+GROUP BY table_name"""))
 def q_key_columns(spark, sf_dir):
-    cons, usage = declared_key_metadata(spark)
-    k = keys_by_table(primary_keys(cons, usage))
+    cols = Fixtures(spark, sf_dir).fx_columns_edited
+    k = keys_by_table(cols.filter(F.col("is_primary_key")).select("table_name", "column_name"))
     return k.select("table_name", F.array_join("key_columns", ",").alias("key_columns"),
                     F.size("key_columns").cast("long").alias("n_keys"))
 
