@@ -50,12 +50,20 @@ class Fixtures:
         raise AttributeError(name)
 
     # -- names and live list -------------------------------------------------
+    # The name of order k is a function of k, and o_orderkey is the key of
+    # orders, so "rows of orders joined to their names" is computed inline
+    # (no self-join).  Rows of lineitem / events keep the inner-join rule
+    # "the order exists" as a semi-join on the order keys.
+    @staticmethod
+    def _name(k: Column) -> Column:
+        return F.concat(_case(k % 9, _PREFIX_BY_MOD9, "tmp_"), F.lit("t"), k.cast("string"))
+
+    def _order_keys(self) -> DataFrame:
+        return self.table("orders").select(F.col("o_orderkey").alias("k"))
+
     def _build_fx_names(self) -> DataFrame:
-        o = self.table("orders")
         k = F.col("o_orderkey")
-        prefix = _case(k % 9, _PREFIX_BY_MOD9, "tmp_")
-        return o.select(k.alias("k"),
-                        F.concat(prefix, F.lit("t"), k.cast("string")).alias("table_name"))
+        return self.table("orders").select(k.alias("k"), self._name(k).alias("table_name"))
 
     def _build_fx_live_tables(self) -> DataFrame:
         return self.fx_names.filter(F.col("k") % 11 != 0).select("table_name")
@@ -67,9 +75,8 @@ class Fixtures:
     def _build_fx_tables(self) -> DataFrame:
         o = self.table("orders").filter(F.col("o_orderkey") % 13 != 0)
         k = F.col("o_orderkey")
-        j = o.join(self.fx_names, k == F.col("k"), "inner")
-        return j.select(
-            "table_name",
+        return o.select(
+            self._name(k).alias("table_name"),
             self._layer_of(k).alias("layer"),
             F.when(k % 7 == 0, F.lit(None).cast("long"))
              .otherwise(F.floor("o_totalprice").cast("long")).alias("row_count"),
@@ -84,14 +91,14 @@ class Fixtures:
             F.when(k % 8 == 0, F.lit("2024-01-15T00:00:00")).otherwise(F.lit(None).cast("string")).alias("updated_at"),
             F.lit(None).cast("string").alias("updated_by"))
 
-    def _build_fx_columns(self) -> DataFrame:
-        li = self.table("lineitem")
-        j = li.join(self.fx_names, F.col("l_orderkey") == F.col("k"), "inner")
-        g = j.groupBy("table_name", "l_orderkey", "l_linenumber").agg(
+    def _build_fx_columns_k(self) -> DataFrame:
+        li = self.table("lineitem").join(self._order_keys(), F.col("l_orderkey") == F.col("k"), "left_semi")
+        g = li.groupBy("l_orderkey", "l_linenumber").agg(
             F.max("l_returnflag").alias("_rf"), F.max("l_linestatus").alias("_ls"))
         ln, ok = F.col("l_linenumber"), F.col("l_orderkey")
         return g.select(
-            "table_name",
+            ok.alias("_k"),
+            self._name(ok).alias("table_name"),
             F.concat(F.lit("c"), ln.cast("string")).alias("column_name"),
             F.lit("double").alias("data_type"),
             ln.cast("int").alias("ordinal_position"),
@@ -106,24 +113,26 @@ class Fixtures:
             F.lit(None).cast("string").alias("updated_at"),
             F.lit(None).cast("string").alias("updated_by"))
 
+    def _build_fx_columns(self) -> DataFrame:
+        return self.fx_columns_k.drop("_k")
+
     # -- fresh scan ----------------------------------------------------------
     def _build_fx_scan_tables(self) -> DataFrame:
         o = self.table("orders").filter(F.col("o_orderkey") % 11 != 0)
         k = F.col("o_orderkey")
-        j = o.join(self.fx_names, k == F.col("k"), "inner")
-        return j.select(
-            "table_name", self._layer_of(k).alias("layer"),
+        return o.select(
+            self._name(k).alias("table_name"), self._layer_of(k).alias("layer"),
             (F.floor("o_totalprice").cast("long") + 1).alias("row_count"),
             (F.col("o_custkey") % 40 + 2).cast("int").alias("column_count"),
             F.lit("2024-02-01T00:00:00").alias("scanned_at"))
 
     def _build_fx_scan_columns(self) -> DataFrame:
         li = self.table("lineitem").filter((F.col("l_orderkey") % 11 != 0) & (F.col("l_linenumber") < 7))
-        j = li.join(self.fx_names, F.col("l_orderkey") == F.col("k"), "inner")
-        g = j.select("table_name", "l_orderkey", "l_linenumber").distinct()
+        li = li.join(self._order_keys(), F.col("l_orderkey") == F.col("k"), "left_semi")
+        g = li.select("l_orderkey", "l_linenumber").distinct()
         ln = F.col("l_linenumber")
         return g.select(
-            "table_name", F.concat(F.lit("c"), ln.cast("string")).alias("column_name"),
+            self._name(F.col("l_orderkey")).alias("table_name"), F.concat(F.lit("c"), ln.cast("string")).alias("column_name"),
             F.lit("decimal").alias("data_type"), ln.cast("int").alias("ordinal_position"),
             F.lit("YES").alias("is_nullable"), (ln == 2).alias("is_primary_key"),
             F.lit("2024-02-01T00:00:00").alias("scanned_at"))
@@ -134,9 +143,9 @@ class Fixtures:
                      F.concat(F.lit("v"), eid.cast("string")))
 
     def _build_fx_edits(self) -> DataFrame:
-        e = self.table("events")
         eid = F.col("event_id")
-        j = e.join(self.fx_names, (eid % 500) == F.col("k"), "inner")
+        j = self.table("events").join(self._order_keys(), (eid % 500) == F.col("k"), "left_semi") \
+            .withColumn("table_name", self._name(eid % 500))
         field = (F.when(F.col("event_type") == "click", F.lit("description"))
                  .when(F.col("event_type") == "view", F.lit("business_owner"))
                  .when(F.col("event_type") == "purchase", F.lit("source_system"))
@@ -146,9 +155,9 @@ class Fixtures:
                         F.col("ts").alias("edited_at"), eid.alias("seq"))
 
     def _build_fx_column_edits(self) -> DataFrame:
-        e = self.table("events")
         eid = F.col("event_id")
-        j = e.join(self.fx_names, (eid % 500) == F.col("k"), "inner")
+        j = self.table("events").join(self._order_keys(), (eid % 500) == F.col("k"), "left_semi") \
+            .withColumn("table_name", self._name(eid % 500))
         field = F.when(F.col("event_type").isin("click", "view"), F.lit("description")) \
                  .otherwise(F.lit("business_name"))
         return j.select("table_name",
@@ -179,14 +188,14 @@ class Fixtures:
             (2, F.lit("Here: ```{\"description\": \"\", \"refresh_frequency\": \"yearly\"}``` done")),
             (3, F.lit("{\"description\": ")),
         ], "{\"source_system\": \"crm\"}")
-        return o.join(self.fx_names, k == F.col("k"), "inner").select("table_name", resp.alias("response"))
+        return o.select(self._name(k).alias("table_name"), resp.alias("response"))
 
     def _build_fx_ai_columns(self) -> DataFrame:
         """Column replies (ours, not in FIXTURES.md): per table, a JSON array
         with one object per stored column; ordinal 2 is answered twice (the
         later answer must win), ordinal 6 lacks ``business_name`` and tables
         with key % 5 = 3 reply with malformed text."""
-        c = self.fx_columns
+        c = self.fx_columns_k
         op = F.col("ordinal_position")
         obj = F.concat(F.lit("{\"column_name\": \""), F.col("column_name"),
                        F.lit("\", \"description\": \"sd_"), F.col("column_name"), F.lit("\""),
@@ -196,15 +205,15 @@ class Fixtures:
         dup = F.concat(F.lit("{\"column_name\": \""), F.col("column_name"),
                        F.lit("\", \"description\": \"late_"), F.col("column_name"),
                        F.lit("\", \"business_name\": \"late\"}"))
-        items = c.select("table_name", F.explode(F.array(
+        items = c.select("table_name", "_k", F.explode(F.array(
             F.struct((op * 2).alias("pos"), obj.alias("obj")),
             F.struct(F.when(op == 2, op * 2 + 1).alias("pos"), dup.alias("obj")))).alias("it")) \
-            .select("table_name", "it.pos", "it.obj").filter(F.col("pos").isNotNull())
-        arr = items.groupBy("table_name").agg(
+            .select("table_name", "_k", "it.pos", "it.obj").filter(F.col("pos").isNotNull())
+        arr = items.groupBy("table_name", "_k").agg(
             F.array_sort(F.collect_list(F.struct("pos", "obj"))).alias("_items"))
         body = F.concat(F.lit("["), F.array_join(F.col("_items.obj"), ", "), F.lit("]"))
-        k = F.col("k")
-        return arr.join(self.fx_names, "table_name", "inner").select(
+        k = F.col("_k")
+        return arr.select(
             "table_name", F.when(k % 5 == 3, F.lit("[{\"column_name\": ")).otherwise(body).alias("response"))
 
     def _build_fx_columns_profiled(self) -> DataFrame:
