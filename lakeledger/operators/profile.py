@@ -25,6 +25,7 @@ Approximate plan (``mode="approx"``): one global aggregate with
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,21 +129,6 @@ def unpivot_typed(df: DataFrame, base: int, digest_over: int | None = None,
     return df.select(cells).unpivot([], aliases, "_slot", "v").select("v.*")
 
 
-def unpivot_text(df: DataFrame, table_name: str) -> DataFrame:
-    """``(table_name, column_name, value)``: one row per cell, value as text
-    (the injective text form; kept for callers that want the long shape)."""
-    fields = df.schema.fields
-    if not fields:
-        return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string")
-    aliases = [f"_v{i}" for i in range(len(fields))]
-    texts = df.select([value_text(df[f"`{f.name}`"], f.dataType).alias(a) for f, a in zip(fields, aliases)])
-    long = texts.unpivot([], aliases, "_slot", "value")
-    names = F.array(*[F.lit(f.name) for f in fields])
-    slot = F.substring(F.col("_slot"), 3, 12).cast("int")
-    return long.select(F.lit(table_name).alias("table_name"),
-                       F.element_at(names, slot + 1).alias("column_name"), "value")
-
-
 def value_counts(slots: Slots, digest_over: int | None = None, width: int = SAMPLE_WIDTH) -> DataFrame:
     """``(col_id, kind, l, d, s, cnt)``: the shared grouped frame of all
     sources (plus ``dg, h`` with ``digest_over``)."""
@@ -220,13 +206,24 @@ def _finish(slots: Slots, stats: DataFrame) -> DataFrame:
         *([c for c in stats.columns if c == "sample_values"]))
 
 
+def _hll_input(c: Column, dtype: T.DataType) -> Column:
+    """What the sketch hashes: atomic values as they are (doubles with -0.0
+    folded into 0.0, as grouping does), other types through their text."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(c == 0, F.lit(0.0).cast(dtype)).otherwise(c)
+    if isinstance(dtype, (T.StringType, T.NumericType, T.BooleanType, T.DateType,
+                          T.TimestampType, T.TimestampNTZType)):
+        return c
+    return value_text(c, dtype)
+
+
 def _approx_stats(df: DataFrame, base: int, rsd: float) -> DataFrame:
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = df[f"`{f.name}`"]
         aggs.append(F.count(c).alias(f"_n{i}"))
-        aggs.append(F.approx_count_distinct(value_text(c, f.dataType), rsd).alias(f"_d{i}"))
+        aggs.append(F.approx_count_distinct(_hll_input(c, f.dataType), rsd).alias(f"_d{i}"))
     one = df.agg(*aggs)
     per_col = F.explode(F.array(*[
         F.struct(F.lit(base + i).alias("col_id"),
@@ -237,10 +234,25 @@ def _approx_stats(df: DataFrame, base: int, rsd: float) -> DataFrame:
         .select("c.col_id", "row_count", "c.null_count", "c.distinct_count")
 
 
+def spread_narrow(spark: SparkSession, sources: Mapping[str, DataFrame],
+                  threads: int = 16) -> dict[str, DataFrame]:
+    """Round-robin a source over the session's default parallelism when its
+    scan has fewer partitions than that (a few large row groups that cannot
+    be split).  The unpivot multiplies rows by columns, so a narrow scan
+    would leave cores idle for the heaviest map-side work.  A source read in
+    at least that many partitions (every large table on a cluster) is left
+    as it is: no extra shuffle at scale."""
+    target = spark.sparkContext.defaultParallelism
+    names = list(sources)
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(names)))) as ex:
+        parts = list(ex.map(lambda n: sources[n].rdd.getNumPartitions(), names))
+    return {n: (sources[n].repartition(target) if p < target else sources[n]) for n, p in zip(names, parts)}
+
+
 def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str = "exact",
                 with_samples: bool = False, rsd: float = 0.05,
                 n: int = SAMPLE_COUNT, width: int = SAMPLE_WIDTH,
-                digest_over: int = DIGEST_OVER) -> DataFrame:
+                digest_over: int = DIGEST_OVER, spread: bool = False) -> DataFrame:
     """Profile many tables into one ``(table_name, column_name, ...)`` frame.
 
     ``mode="exact"``: one grouped count over all sources together.
@@ -250,6 +262,8 @@ def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str
     ``mode="approx"``: HyperLogLog++ with relative error ``rsd``, one global
     aggregate per source and no wide shuffle; samples, when asked for, are
     still exact (they need the grouped frame)."""
+    if spread and mode != "approx":
+        sources = spread_narrow(spark, sources)
     slots = Slots(spark, sources)
     empty = spark.createDataFrame([], "col_id int, row_count long, null_count long, distinct_count long")
     if not slots.rows:
