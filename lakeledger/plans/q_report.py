@@ -121,3 +121,14 @@ FROM fx_tables t LEFT JOIN (
 def q_export_nested(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return export_nested(fx.fx_tables, fx.fx_columns)
+
+
+@register("coverage", with_fx(["fx_tables", "fx_columns"], f"""
+SELECT 'tables' AS level, * FROM ({_cov_sql("fx_tables")})
+UNION ALL
+SELECT 'columns' AS level, * FROM ({_cov_sql("fx_columns")})"""))
+def q_coverage(spark, sf_dir):
+    from pyspark.sql import functions as F
+    fx = Fixtures(spark, sf_dir)
+    return (coverage(fx.fx_tables).select(F.lit("tables").alias("level"), "*")
+            .unionByName(coverage(fx.fx_columns).select(F.lit("columns").alias("level"), "*")))

@@ -68,3 +68,19 @@ def declared_key_metadata(spark: SparkSession, schema: str = "dbo") -> tuple[Dat
         usage.extend((cname, CATALOGUE_NAMES[t], c) for c in cols)
     return (metadata_frame(spark, cons, "CONSTRAINT_NAME string, CONSTRAINT_TYPE string, TABLE_SCHEMA string"),
             metadata_frame(spark, usage, "CONSTRAINT_NAME string, TABLE_NAME string, COLUMN_NAME string"))
+
+
+def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """S1 over a Spark catalog: the base tables of ``database`` (views and
+    temporary views left out), as a ``table_name`` frame for ``live_tables``.
+    Catalog metadata only; bounded by the number of tables."""
+    rows = [(t.name,) for t in spark.catalog.listTables(database)
+            if not t.isTemporary and (t.tableType or "").upper() not in ("VIEW", "TEMPORARY")]
+    return metadata_frame(spark, rows, "table_name string")
+
+
+def catalog_sources(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
+    """``{name: spark.table(...)}`` for the base tables of ``database``."""
+    db = database or spark.catalog.currentDatabase()
+    names = [r.table_name for r in catalog_tables(spark, db).collect()]
+    return {n: spark.table(f"`{db}`.`{n}`") for n in names}

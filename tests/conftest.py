@@ -14,6 +14,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     ckpt = str(tmp_path_factory.mktemp("ckpt"))
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
     s = (SparkSession.builder.master("local[*]")
          .appName("lakeledger-tests")
          .config("spark.sql.shuffle.partitions", "8")
@@ -22,6 +23,7 @@ def spark(tmp_path_factory):
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.sql.warehouse.dir", warehouse)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -75,3 +75,18 @@ def test_append_and_stream_apply_consume_the_queue(spark, tmp_path):
     assert (row.description, row.tags, row.updated_at) == ("first", "t2", "N2")
     assert store.current(spark, root, store.TABLES)[0] == 2
     assert read_table(spark, SF_SMALL, "region").count() == 5
+
+
+def test_catalog_sources_list_base_tables_only(spark):
+    from lakeledger.sources.scan import live_tables, scan_tables
+    from lakeledger.sources.tables import catalog_sources, catalog_tables
+    spark.sql("CREATE DATABASE IF NOT EXISTS lk_test")
+    read_table(spark, SF_SMALL, "region").write.mode("overwrite").saveAsTable("lk_test.ref_region")
+    read_table(spark, SF_SMALL, "nation").write.mode("overwrite").saveAsTable("lk_test.dd_internal")
+    spark.sql("CREATE OR REPLACE VIEW lk_test.slv_view AS SELECT * FROM lk_test.ref_region")
+    names = [r.table_name for r in live_tables(catalog_tables(spark, "lk_test")).collect()]
+    assert names == ["ref_region"]
+    src = catalog_sources(spark, "lk_test")
+    assert set(src) == {"ref_region", "dd_internal"}
+    rows = {r.table_name: r.row_count for r in scan_tables(spark, src, "now").collect()}
+    assert rows == {"ref_region": 5, "dd_internal": 25}
