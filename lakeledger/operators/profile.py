@@ -1,8 +1,9 @@
 """Column profiling: NULL share, distinct count, sample values.
 
-Exact plan (default).  Every column of every source is turned into text
-(``value_text``, injective per type) and unpivoted into
-``(table_name, column_name, value)``.  One grouped count on that shape,
+Exact plan (default).  Every cell of every source is unpivoted into
+``(col_id, kind, l, d, s)``: the column as a global integer id, and the value
+as a long (integers, booleans, dates, timestamps), a double, or an injective
+text (everything else, ``value_text``).  One grouped count on that shape,
 ``value_counts``, serves everything:
 
 - rows and NULLs of a column are sums over its groups, its distinct count is
@@ -15,11 +16,13 @@ already collapses repeated values (partial aggregation).  A value that holds a
 third of all rows is one partial row per map task, not a hot reducer.  The
 second level (per column) only ever sees one row per column per partition.
 Sample picking uses a row_number limit that Spark runs as a partial
-WindowGroupLimit before its shuffle, so at most ``n`` rows per column and map
-task move, however many distinct values a column has.
+WindowGroupLimit before its shuffle, so at most ``n + 1`` rows per column and
+map task move, however many distinct values a column has.  Names come back
+from the column list (``Slots``, one row per column) at the very end.
 
 Approximate plan (``mode="approx"``): one global aggregate with
 ``approx_count_distinct`` per column, no wide shuffle at all; same schema.
+Digest plan (``mode="digest"``): as exact, with long texts keyed by SHA-256.
 """
 
 from __future__ import annotations
@@ -50,6 +53,16 @@ PROFILE_COLUMNS = ["table_name", "column_name", "row_count", "null_count",
 K_TEXT, K_INT, K_BOOL, K_DATE, K_TS, K_DOUBLE, K_FLOAT = range(7)
 
 
+def _kind(dtype: T.DataType) -> int:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return K_INT
+    for t, k in ((T.BooleanType, K_BOOL), (T.DateType, K_DATE), (T.TimestampType, K_TS),
+                 (T.DoubleType, K_DOUBLE), (T.FloatType, K_FLOAT)):
+        if isinstance(dtype, t):
+            return k
+    return K_TEXT
+
+
 def _typed(c: Column, dtype: T.DataType) -> tuple[int, Column, Column, Column]:
     """``(kind, as_long, as_double, as_text)``: exactly one is set for a
     non-NULL value, and equal values give equal parts.  Numbers stay
@@ -74,7 +87,7 @@ def _typed(c: Column, dtype: T.DataType) -> tuple[int, Column, Column, Column]:
 def _display(kind: Column, l: Column, d: Column, s: Column) -> Column:
     """Text of a typed value as Spark casts the original type to text."""
     return (F.when(kind == K_INT, l.cast("string"))
-            .when(kind == K_BOOL, F.when(l == 1, F.lit("true")).otherwise(F.lit("false")))
+            .when(kind == K_BOOL, F.when(l == 1, F.lit("true")).when(l == 0, F.lit("false")))
             .when(kind == K_DATE, F.date_from_unix_date(l.cast("int")).cast("string"))
             .when(kind == K_TS, F.timestamp_micros(l).cast("string"))
             .when(kind == K_DOUBLE, d.cast("string"))
@@ -93,7 +106,7 @@ class Slots:
         for name, df in sources.items():
             self.base[name] = len(self.rows)
             for i, f in enumerate(df.schema.fields, start=1):
-                self.rows.append((len(self.rows), name, f.name, i, _typed(F.lit(None), f.dataType)[0]))
+                self.rows.append((len(self.rows), name, f.name, i, _kind(f.dataType)))
 
     def frame(self) -> DataFrame:
         return metadata_frame(

@@ -230,3 +230,18 @@ def test_upsert_rejects_duplicate_source_keys(spark):
 
 def test_parse_fields_listed():
     assert TABLE_REPLY_FIELDS == ["description", "business_owner", "source_system", "tags", "refresh_frequency"]
+
+
+def test_samples_print_each_type_like_spark(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+        (true, DATE'2024-01-02', TIMESTAMP'2024-01-02 03:04:05', CAST(1.5 AS FLOAT), -0.0D, 7),
+        (NULL, NULL, NULL, NULL, 0.0D, NULL),
+        (true, DATE'2024-01-02', TIMESTAMP'2024-01-02 03:04:05', CAST(1.5 AS FLOAT), 2.25D, 7)
+        AS t(b, dt, ts, f, d, i)""")
+    got = {r.column_name: (r.sample_values, r.distinct_count) for r in profile(df, with_samples=True).collect()}
+    assert got["b"] == ("true", 1)
+    assert got["dt"] == ("2024-01-02", 1)
+    assert got["ts"] == ("2024-01-02 03:04:05", 1)
+    assert got["f"] == ("1.5", 1)
+    assert got["d"] == ("0.0 | 2.25", 2)
+    assert got["i"] == ("7", 1)
