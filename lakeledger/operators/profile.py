@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeledger.functions.text import value_text
-from lakeledger.sources.schema import metadata_frame
+from lakeledger.sources.schema import BROADCAST_ROW_LIMIT, metadata_frame
 
 # ---- fixed values ----------------------------------------------------------
 SAMPLE_COUNT = 5          # distinct values per column
@@ -207,6 +207,10 @@ def _finish(slots: Slots, stats: DataFrame) -> DataFrame:
     """Drive the result from the column list (one row per column, so a
     zero-row table still yields its columns, with NULL statistics) and put
     the names back on the ids."""
+    # ``stats`` has at most one row per column, a count known here: under the
+    # limit it is broadcast (the column list must be the preserved side).
+    if len(slots.rows) <= BROADCAST_ROW_LIMIT:
+        stats = F.broadcast(stats)
     j = slots.frame().select("col_id", "table_name", "column_name", "ordinal_position") \
         .join(stats, "col_id", "left")
     has_rows = F.coalesce(F.col("row_count"), F.lit(0)) > 0
