@@ -55,12 +55,27 @@ def refresh(spark: SparkSession, sources: Mapping[str, DataFrame | Callable[[],
 
 
 def refresh_stats(spark: SparkSession, sources: Mapping[str, DataFrame], root: str,
-                  mode: str = "exact", rsd: float = 0.05) -> int:
-    """Profile ``sources`` (one job) and store the statistics on the
-    column rows; columns not profiled keep what they had."""
-    cols = store.load(spark, root, store.COLUMNS, COLUMNS_SCHEMA)
-    stats = profile_all(spark, sources, mode=mode, with_samples=True, rsd=rsd)
-    return store.save_columns(attach_stats(cols, stats), root)
+                  mode: str = "exact", rsd: float = 0.05, batch_tables: int | None = None) -> int:
+    """Profile ``sources`` and store the statistics on the column rows;
+    columns not profiled keep what they had.
+
+    By default all sources are profiled in one job.  With ``batch_tables``
+    they are profiled that many tables at a time and every batch is
+    committed as its own snapshot: each job's shuffle stays bounded, and a
+    failure late in a large refresh only repeats its own batch (the earlier
+    ones are already written to the shared store).  Returns the last
+    version written."""
+    names = list(sources)
+    size = batch_tables or max(1, len(names))
+    version = -1
+    for i in range(0, max(1, len(names)), size):
+        part = {n: sources[n] for n in names[i:i + size]}
+        if not part:
+            break
+        cols = store.load(spark, root, store.COLUMNS, COLUMNS_SCHEMA)
+        stats = profile_all(spark, part, mode=mode, with_samples=True, rsd=rsd)
+        version = store.save_columns(attach_stats(cols, stats), root)
+    return version
 
 
 def cleanup(spark: SparkSession, root: str, live: DataFrame, live_columns: DataFrame | None = None,

@@ -102,7 +102,7 @@ def column_prompts(tables: DataFrame, columns: DataFrame) -> DataFrame:
 def reply_text(text: Column) -> Column:
     """The JSON part of a reply: if fenced, the text between the first
     and second fence, without a leading ``json``, trimmed; else as is."""
-    inner = F.element_at(F.split(text, FENCE), 2)
+    inner = F.try_element_at(F.split(text, FENCE), F.lit(2))
     inner = F.regexp_replace(F.regexp_replace(inner, "^json", ""), r"^\s+|\s+$", "")
     return F.when(text.contains(FENCE), inner).otherwise(text)
 

@@ -23,7 +23,7 @@ def test_refresh_stats_edit_cleanup(spark, tmp_path):
     assert t.count() == 14
     assert t.filter("table_name = 'brz_lineitem'").first().row_count == 6000
 
-    catalogue.refresh_stats(spark, sources, root)
+    catalogue.refresh_stats(spark, sources, root, batch_tables=5)
     c = store.load_columns(spark, root, "brz_orders").collect()
     assert [x.column_name for x in c][:2] == ["o_orderkey", "o_custkey"]
     assert c[0].distinct_count == 1500 and c[0].is_primary_key and c[0].null_percentage == 0.0
