@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 S, L, I, B, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.DoubleType()
 
+# ---- fixed values: the catalogue's fields, names and types ------------------
 # Table rows, key ``table_name``.
 TABLES_SCHEMA = T.StructType([
     T.StructField("table_name", S, False),
@@ -48,6 +49,7 @@ COLUMNS_SCHEMA = T.StructType([
 COLUMN_KEYS = ["table_name", "column_name"]
 COLUMN_USER_FIELDS = ["description", "business_name"]
 COLUMN_STAT_FIELDS = ["null_percentage", "distinct_count", "sample_values"]
+# ---------------------------------------------------------------------------
 
 # Shape of the edit log: one row per saved field value.
 EDITS_SCHEMA = T.StructType([
