@@ -35,7 +35,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeledger.functions.text import value_text
 from lakeledger.sources.schema import BROADCAST_ROW_LIMIT, metadata_frame
 
 # ---- fixed values ----------------------------------------------------------
@@ -63,25 +62,44 @@ def _kind(dtype: T.DataType) -> int:
     return K_TEXT
 
 
-def _typed(c: Column, dtype: T.DataType) -> tuple[int, Column, Column, Column]:
-    """``(kind, as_long, as_double, as_text)``: exactly one is set for a
-    non-NULL value, and equal values give equal parts.  Numbers stay
-    numbers (cheaper to hash and shuffle than their text); Spark normalises
-    -0.0 and NaN in double grouping keys, matching SQL equality."""
-    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return K_INT, c.cast("long"), nd, ns
-    if isinstance(dtype, T.BooleanType):
-        return K_BOOL, c.cast("long"), nd, ns
-    if isinstance(dtype, T.DateType):
-        return K_DATE, F.unix_date(c).cast("long"), nd, ns
-    if isinstance(dtype, T.TimestampType):
-        return K_TS, F.unix_micros(c), nd, ns
-    if isinstance(dtype, T.DoubleType):
-        return K_DOUBLE, nl, c, ns
-    if isinstance(dtype, T.FloatType):
-        return K_FLOAT, nl, c.cast("double"), ns
-    return K_TEXT, nl, nd, value_text(c, dtype)
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+_NULL_L, _NULL_D, _NULL_S = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
+
+
+def _text_sql(c: str, dtype: T.DataType) -> str:
+    """``value_text`` as a SQL expression (same forms)."""
+    if isinstance(dtype, T.StringType):
+        return c
+    if isinstance(dtype, T.BinaryType):
+        return f"base64({c})"
+    if isinstance(dtype, T.MapType):
+        return f"to_json(array_sort(map_entries({c})), map('ignoreNullFields', 'false'))"
+    if isinstance(dtype, T.StructType) or (isinstance(dtype, T.ArrayType) and
+                                            isinstance(dtype.elementType, (T.StructType, T.MapType,
+                                                                           T.ArrayType, T.BinaryType))):
+        return f"to_json({c}, map('ignoreNullFields', 'false'))"
+    return f"CAST({c} AS STRING)"
+
+
+def _typed_sql(name: str, dtype: T.DataType) -> tuple[int, str, str, str]:
+    """``_typed`` as SQL text: one expression per part, so a whole table's
+    unpivot is a single ``selectExpr`` (one driver round trip per table, not
+    dozens per column)."""
+    c, k = _ident(name), _kind(dtype)
+    if k in (K_INT, K_BOOL):
+        return k, f"CAST({c} AS BIGINT)", _NULL_D, _NULL_S
+    if k == K_DATE:
+        return k, f"CAST(unix_date({c}) AS BIGINT)", _NULL_D, _NULL_S
+    if k == K_TS:
+        return k, f"unix_micros({c})", _NULL_D, _NULL_S
+    if k == K_DOUBLE:
+        return k, _NULL_L, c, _NULL_S
+    if k == K_FLOAT:
+        return k, _NULL_L, f"CAST({c} AS DOUBLE)", _NULL_S
+    return k, _NULL_L, _NULL_D, _text_sql(c, dtype)
 
 
 def _display(kind: Column, l: Column, d: Column, s: Column) -> Column:
@@ -116,30 +134,33 @@ class Slots:
 def unpivot_typed(df: DataFrame, base: int, digest_over: int | None = None,
                   width: int = SAMPLE_WIDTH) -> DataFrame:
     """``(col_id, kind, l, d, s)``: one row per cell of ``df``, ids from
-    ``base``.  The id and kind are literals of each unpivot slot, so no
-    per-row lookup is needed and the plan stays the same size per column.
+    ``base``, built by one ``stack`` generator over all columns.  The id and
+    kind are literals of each stacked row, so no per-row lookup is needed.
 
     With ``digest_over`` texts longer than that many characters are keyed by
     their SHA-256 digest (``dg``, 32 bytes) instead of the full text, and
     carry only their first ``width`` characters (``h``) for samples."""
     fields = df.schema.fields
-    extra = ", dg binary, h string" if digest_over else ""
+    out = "col_id, kind, l, d, s" + (", dg, h" if digest_over else "")
     if not fields:
-        return df.sparkSession.createDataFrame([], f"col_id int, kind int, l long, d double, s string{extra}")
-    aliases = [f"_v{i}" for i in range(len(fields))]
-    cells = []
-    for i, (f, a) in enumerate(zip(fields, aliases)):
-        kind, l, d, s = _typed(df[f"`{f.name}`"], f.dataType)
-        parts = [F.lit(base + i).alias("col_id"), F.lit(kind).alias("kind"), l.alias("l"), d.alias("d")]
+        types = "col_id int, kind int, l long, d double, s string" + (", dg binary, h string" if digest_over else "")
+        return df.sparkSession.createDataFrame([], types)
+    rows = []
+    for i, f in enumerate(fields):
+        kind, l, d, txt = _typed_sql(f.name, f.dataType)
+        row = [str(base + i), str(kind), l, d]
         if digest_over:
-            big = F.length(s) > digest_over
-            parts += [F.when(~big, s).alias("s"),
-                      F.when(big, F.unhex(F.sha2(s, 256))).alias("dg"),
-                      F.when(big, F.substring(s, 1, width)).alias("h")]
+            if txt == _NULL_S:
+                row += [_NULL_S, "CAST(NULL AS BINARY)", _NULL_S]
+            else:
+                big = f"length({txt}) > {int(digest_over)}"
+                row += [f"CASE WHEN {big} THEN {_NULL_S} ELSE {txt} END",
+                        f"CASE WHEN {big} THEN unhex(sha2({txt}, 256)) END",
+                        f"CASE WHEN {big} THEN substring({txt}, 1, {int(width)}) END"]
         else:
-            parts.append(s.alias("s"))
-        cells.append(F.struct(*parts).alias(a))
-    return df.select(cells).unpivot([], aliases, "_slot", "v").select("v.*")
+            row.append(txt)
+        rows.append(", ".join(row))
+    return df.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS ({out})")
 
 
 def value_counts(slots: Slots, digest_over: int | None = None, width: int = SAMPLE_WIDTH) -> DataFrame:
@@ -223,32 +244,28 @@ def _finish(slots: Slots, stats: DataFrame) -> DataFrame:
         *([c for c in stats.columns if c == "sample_values"]))
 
 
-def _hll_input(c: Column, dtype: T.DataType) -> Column:
-    """What the sketch hashes: atomic values as they are (doubles with -0.0
-    folded into 0.0, as grouping does), other types through their text."""
+def _hll_sql(name: str, dtype: T.DataType) -> str:
+    c = _ident(name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.when(c == 0, F.lit(0.0).cast(dtype)).otherwise(c)
+        return f"CASE WHEN {c} = 0 THEN CAST(0.0 AS {dtype.simpleString()}) ELSE {c} END"
     if isinstance(dtype, (T.StringType, T.NumericType, T.BooleanType, T.DateType,
                           T.TimestampType, T.TimestampNTZType)):
         return c
-    return value_text(c, dtype)
+    return _text_sql(c, dtype)
 
 
 def _approx_stats(df: DataFrame, base: int, rsd: float) -> DataFrame:
+    """One global aggregate per source (row count, non-NULL count and an
+    HLL++ sketch per column), then one row per column."""
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = [F.expr("count(1)").alias("_rows")]
     for i, f in enumerate(fields):
-        c = df[f"`{f.name}`"]
-        aggs.append(F.count(c).alias(f"_n{i}"))
-        aggs.append(F.approx_count_distinct(_hll_input(c, f.dataType), rsd).alias(f"_d{i}"))
+        aggs.append(F.expr(f"count({_ident(f.name)})").alias(f"_n{i}"))
+        aggs.append(F.expr(f"approx_count_distinct({_hll_sql(f.name, f.dataType)}, {float(rsd)!r})").alias(f"_d{i}"))
     one = df.agg(*aggs)
-    per_col = F.explode(F.array(*[
-        F.struct(F.lit(base + i).alias("col_id"),
-                 (F.col("_rows") - F.col(f"_n{i}")).alias("null_count"),
-                 F.col(f"_d{i}").cast("long").alias("distinct_count"))
-        for i, f in enumerate(fields)]))
-    return one.select(F.col("_rows").alias("row_count"), per_col.alias("c")) \
-        .select("c.col_id", "row_count", "c.null_count", "c.distinct_count")
+    rows = ", ".join(f"{base + i}, _rows - _n{i}, CAST(_d{i} AS BIGINT)" for i in range(len(fields)))
+    return one.selectExpr(f"stack({len(fields)}, {rows}) AS (col_id, null_count, distinct_count)",
+                          "_rows AS row_count").select("col_id", "row_count", "null_count", "distinct_count")
 
 
 def spread_narrow(spark: SparkSession, sources: Mapping[str, DataFrame],
