@@ -67,3 +67,14 @@ def test_table_header_point_lookup(spark):
     name = t.filter(F.col("row_count").isNull()).orderBy("table_name").first().table_name
     h = table_header(t, name).collect()
     assert len(h) == 1 and h[0].rows_text == "?" and h[0].last_scanned == "2024-01-01T00:00:00"
+
+
+def test_value_text_column_and_sql_forms_agree(spark):
+    from lakeledger.functions.text import value_text
+    from lakeledger.operators.profile import _ident, _text_sql
+    df = spark.sql("SELECT map('b', 1, 'a', 2) m, named_struct('x', CAST(NULL AS INT)) st, "
+                   "binary('ab') bi, array(named_struct('y', 1)) ar, DATE'2024-01-02' dt")
+    for f in df.schema.fields:
+        a = df.select(value_text(df[f.name], f.dataType)).first()[0]
+        b = df.selectExpr(_text_sql(_ident(f.name), f.dataType)).first()[0]
+        assert a == b, f.name
