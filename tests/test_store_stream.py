@@ -90,3 +90,21 @@ def test_catalog_sources_list_base_tables_only(spark):
     assert set(src) == {"ref_region", "dd_internal"}
     rows = {r.table_name: r.row_count for r in scan_tables(spark, src, "now").collect()}
     assert rows == {"ref_region": 5, "dd_internal": 25}
+
+
+def test_stream_applies_column_edits_keeping_empty_text(spark, tmp_path):
+    root, log = str(tmp_path / "cat"), str(tmp_path / "log")
+    fx = Fixtures(spark, SF_SMALL)
+    store.save_columns(fx.fx_columns, root)
+    key = fx.fx_columns.orderBy("table_name", "column_name").first()
+    t0 = dt.datetime(2024, 6, 1)
+    edits = spark.createDataFrame(
+        [(key.table_name, key.column_name, "description", "", t0),
+         (key.table_name, key.column_name, "business_name", None, t0),
+         (key.table_name, None, "description", "table-level", t0)],
+        "table_name string, column_name string, field string, value string, edited_at timestamp_ntz")
+    append_edits(log, edits)
+    q = apply_edit_stream(spark, log, root, "columns", checkpoint=str(tmp_path / "ck"), now_fn=lambda: "N")
+    q.awaitTermination()
+    row = store.load_columns(spark, root, key.table_name).filter(F.col("column_name") == key.column_name).first()
+    assert (row.description, row.business_name, row.updated_at) == ("", key.business_name, "N")
