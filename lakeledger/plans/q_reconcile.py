@@ -157,3 +157,25 @@ def q_update_fields(spark, sf_dir):
                           drop="none")
     return update_fields(fx.fx_tables, last.select("table_name", F.col("value").alias("description")),
                          ["table_name"], NOW)
+
+
+# -- refresh_tables: scan the driver tables and merge them into the catalogue --
+def _refresh_sql() -> str:
+    from lakeledger.plans.q_scan import _SCAN_TABLES_SQL
+    src = f"""
+SELECT s.table_name, s.layer, s.row_count, s.column_count,
+       nullif(t.description, '') AS description, nullif(t.business_owner, '') AS business_owner,
+       nullif(t.source_system, '') AS source_system, nullif(t.refresh_frequency, '') AS refresh_frequency,
+       nullif(t.tags, '') AS tags, s.scanned_at,
+       nullif(t.updated_at, '') AS updated_at, nullif(t.updated_by, '') AS updated_by
+FROM ({_SCAN_TABLES_SQL}) s LEFT JOIN fx_tables t ON s.table_name = t.table_name"""
+    return with_fx(["fx_tables"], _upsert_sql("fx_tables", "src", TABLE_KEYS, _T), [("src", src)])
+
+
+@register("refresh_tables", _refresh_sql())
+def q_refresh_tables(spark, sf_dir):
+    from lakeledger.sources.scan import scan_tables
+    from lakeledger.sources.tables import driver_sources
+    fx = Fixtures(spark, sf_dir)
+    scanned = scan_tables(spark, driver_sources(spark, sf_dir), NOW)
+    return upsert(fx.fx_tables, preserve_tables(scanned, fx.fx_tables), TABLE_KEYS)
