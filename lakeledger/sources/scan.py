@@ -173,7 +173,7 @@ def scan(spark: SparkSession,
     if isolate_failures and ok:
         try:
             rows = tables.collect()  # one row per table
-            tables = spark.createDataFrame(rows, tables.schema)
+            tables = metadata_frame(spark, rows, tables.schema)
         except Exception:
             good_rows = []
             for name in list(ok):
@@ -182,7 +182,7 @@ def scan(spark: SparkSession,
                 except Exception as e:  # job failure of this source only
                     errors.append((name, str(e).splitlines()[0][:500]))
                     ok.pop(name)
-            tables = spark.createDataFrame(good_rows, tables.schema)
+            tables = metadata_frame(spark, good_rows, tables.schema)
     cols = live_columns(spark, ok, ordered=False)
     columns = scan_columns(cols, keys, now)
     err = spark.createDataFrame(errors, "table_name string, error string")
