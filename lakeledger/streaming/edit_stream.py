@@ -8,6 +8,14 @@ were applied, which is exactly "consume the queue": applied edits are never
 applied twice by offset, and edits that arrive while a batch runs are picked
 up by the next one, never dropped.
 
+Edits can arrive late: an edit saved earlier may land in a later batch.
+To give the same field values as applying the whole log at once, the
+applier keeps a small state table in the store, ``<level>_edit_state``:
+for each (key, field) the ``(edited_at, seq)`` of the value it applied.  A
+batch applies only winners newer than that, then updates the state (the
+target snapshot is committed first, so a replayed batch re-applies the same
+values: idempotent).
+
 ``trigger(availableNow=True)`` makes it a catch-up job: apply everything
 queued, then stop.  The checkpoint must live on shared storage; by default
 it goes under the session's ``spark.checkpoint.dir``.
@@ -21,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakeledger.operators.edits import apply_edits
+from lakeledger.operators.edits import apply_edits, collapse_edits
+from lakeledger.operators.reconcile import upsert
 from lakeledger.session import scratch_path
 from lakeledger.sources import store
 from lakeledger.sources.schema import (
@@ -53,13 +62,27 @@ def apply_edit_stream(spark: SparkSession, log_path: str, root: str, level: str
         raise ValueError(level)
     ckpt = checkpoint or scratch_path(spark, f"edit-stream-{level}")
 
+    state_name = f"{name}_edit_state"
+    state_schema = f"{', '.join(k + ' string' for k in keys)}, field string, edited_at timestamp_ntz, seq long"
+
     def apply_batch(edits: DataFrame, epoch_id: int) -> None:
         batch = edits.filter(pick)
         if batch.isEmpty():
             return
+        winners = collapse_edits(batch, keys, drop=drop)
+        empty_state = spark.createDataFrame([], state_schema)
+        if store.current(spark, root, state_name) is None:
+            state = empty_state
+        else:
+            state = store.load(spark, root, state_name, empty_state.schema)
+        seen = state.select(*keys, "field", F.struct("edited_at", "seq").alias("_applied"))
+        newer = (winners.join(seen, [*keys, "field"], "left")
+                 .filter(F.col("_applied").isNull() | (F.struct("edited_at", "seq") > F.col("_applied")))
+                 .drop("_applied"))
         target = store.load(spark, root, name, schema)
-        updated = apply_edits(target, batch, keys, now_fn(), drop=drop)
-        store.write_snapshot(updated, root, name, part)
+        store.write_snapshot(apply_edits(target, newer, keys, now_fn(), drop=drop), root, name, part)
+        new_state = upsert(state, newer.select(*keys, "field", "edited_at", "seq"), [*keys, "field"])
+        store.write_snapshot(new_state, root, state_name)
 
     writer = (edit_stream(spark, log_path).writeStream
               .foreachBatch(apply_batch)

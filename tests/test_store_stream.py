@@ -108,3 +108,24 @@ def test_stream_applies_column_edits_keeping_empty_text(spark, tmp_path):
     q.awaitTermination()
     row = store.load_columns(spark, root, key.table_name).filter(F.col("column_name") == key.column_name).first()
     assert (row.description, row.business_name, row.updated_at) == ("", key.business_name, "N")
+
+
+def test_stream_with_late_edit_equals_batch_apply(spark, tmp_path):
+    from lakeledger.operators.edits import apply_edits
+    root, log = str(tmp_path / "cat"), str(tmp_path / "log")
+    fx = Fixtures(spark, SF_SMALL)
+    store.save_tables(fx.fx_tables, root)
+    name = fx.fx_tables.orderBy("table_name").first().table_name
+    schema = "table_name string, field string, value string, edited_at timestamp_ntz"
+    newer = spark.createDataFrame([(name, "description", "newer", dt.datetime(2024, 6, 2))], schema)
+    older = spark.createDataFrame([(name, "description", "older", dt.datetime(2024, 6, 1)),
+                                   (name, "tags", "late-but-only", dt.datetime(2024, 6, 1))], schema)
+    ck = str(tmp_path / "ck")
+    append_edits(log, newer)
+    apply_edit_stream(spark, log, root, "tables", checkpoint=ck, now_fn=lambda: "N1").awaitTermination()
+    append_edits(log, older)
+    apply_edit_stream(spark, log, root, "tables", checkpoint=ck, now_fn=lambda: "N2").awaitTermination()
+    got = store.load_tables(spark, root).filter(F.col("table_name") == name).first()
+    whole = apply_edits(fx.fx_tables, spark.read.parquet(log), ["table_name"], "N") \
+        .filter(F.col("table_name") == name).first()
+    assert (got.description, got.tags) == (whole.description, whole.tags) == ("newer", "late-but-only")
