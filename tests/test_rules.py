@@ -245,3 +245,12 @@ def test_samples_print_each_type_like_spark(spark):
     assert got["f"] == ("1.5", 1)
     assert got["d"] == ("0.0 | 2.25", 2)
     assert got["i"] == ("7", 1)
+
+
+def test_profile_handles_awkward_column_names(spark):
+    df = spark.createDataFrame([(1, "x", 2.0), (None, "y", 2.0)], ["a.b", "c d", "e`f"])
+    got = {r.column_name: (r.null_count, r.distinct_count, r.sample_values)
+           for r in profile(df, with_samples=True).collect()}
+    assert got == {"a.b": (1, 1, "1"), "c d": (0, 2, "x | y"), "e`f": (0, 1, "2.0")}
+    approx = {r.column_name: r.distinct_count for r in profile(df, mode="approx").collect()}
+    assert approx == {"a.b": 1, "c d": 2, "e`f": 1}
