@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeledger.sources.schema import select_existing
 
@@ -133,15 +134,22 @@ def export_nested(tables: DataFrame, columns: DataFrame, as_json: bool = True) -
 
     cols = no_nan(columns)
     item = F.struct(*[F.col(c) for c in cols.columns])
-    per_table = cols.groupBy("table_name").agg(F.collect_list(item).alias("_cols"))
-    ordered = F.array_sort("_cols", lambda a, b: F.when(
-        a["ordinal_position"] < b["ordinal_position"], -1).when(
-        a["ordinal_position"] > b["ordinal_position"], 1).when(
-        a["column_name"] < b["column_name"], -1).when(
-        a["column_name"] > b["column_name"], 1).otherwise(0))
+    if not _has_map(cols.schema):
+        # Sort (ordinal, name, item) structs with the built-in ordering (no
+        # comparator call per comparison), then keep the item.
+        keyed = F.struct(F.col("ordinal_position").alias("_o"), F.col("column_name").alias("_n"), item.alias("_i"))
+        per_table = cols.groupBy("table_name").agg(F.sort_array(F.collect_list(keyed)).alias("_cols"))
+        ordered = F.col("_cols._i")
+    else:  # maps have no ordering: compare the two keys explicitly
+        per_table = cols.groupBy("table_name").agg(F.collect_list(item).alias("_cols"))
+        ordered = F.array_sort("_cols", lambda a, b: F.when(
+            a["ordinal_position"] < b["ordinal_position"], -1).when(
+            a["ordinal_position"] > b["ordinal_position"], 1).when(
+            a["column_name"] < b["column_name"], -1).when(
+            a["column_name"] > b["column_name"], 1).otherwise(0))
     t = no_nan(tables)
     j = t.join(per_table.select("table_name", ordered.alias("columns")), "table_name", "left")
-    arr = F.coalesce(F.col("columns"), F.array().cast(per_table.schema["_cols"].dataType))
+    arr = F.coalesce(F.col("columns"), F.array().cast(T.ArrayType(cols.select(item).schema[0].dataType)))
     out = j.select(*t.columns, arr.alias("columns"))
     res = out.select("table_name", "layer", F.size("columns").cast("long").alias("n_columns"),
                      F.array_join(F.col("columns.column_name"), ",").alias("column_names"),
@@ -150,6 +158,16 @@ def export_nested(tables: DataFrame, columns: DataFrame, as_json: bool = True) -
     return res
 
 
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return True
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    return False
+
+
 def write_export(doc_frame: DataFrame, path: str) -> None:
     """Write the export as JSON lines ordered by (layer, table_name)."""
     doc_frame.orderBy("layer", "table_name").select(F.col("doc").alias("value")) \

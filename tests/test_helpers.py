@@ -78,3 +78,12 @@ def test_value_text_column_and_sql_forms_agree(spark):
         a = df.select(value_text(df[f.name], f.dataType)).first()[0]
         b = df.selectExpr(_text_sql(_ident(f.name), f.dataType)).first()[0]
         assert a == b, f.name
+
+
+def test_export_with_map_valued_column_rows(spark):
+    t = Fixtures(spark, SF_SMALL).fx_tables.limit(3)
+    names = [r.table_name for r in t.collect()]
+    cols = spark.createDataFrame([(names[0], "b", 2, {"k": "v"}), (names[0], "a", 1, None)],
+                                 "table_name string, column_name string, ordinal_position int, tags map<string,string>")
+    r = {x.table_name: x.column_names for x in export_nested(t, cols).collect()}
+    assert r[names[0]] == "a,b" and r[names[1]] == ""
