@@ -44,9 +44,6 @@ SAMPLE_SEPARATOR = " | "
 DIGEST_OVER = 256         # digest mode: texts longer than this are keyed by SHA-256
 # ---------------------------------------------------------------------------
 
-PROFILE_COLUMNS = ["table_name", "column_name", "row_count", "null_count",
-                   "null_percentage", "distinct_count"]
-
 # Kinds of values, by how they are grouped (as a long, a double or a text)
 # and how they are written back as text for samples.
 K_TEXT, K_INT, K_BOOL, K_DATE, K_TS, K_DOUBLE, K_FLOAT = range(7)

@@ -28,10 +28,6 @@ LIVE_COLUMNS_SCHEMA = T.StructType([
 ])
 
 
-def _spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def live_tables(names: DataFrame, exclude=EXCLUDE_PREFIXES, name_col: str = "table_name") -> DataFrame:
     """Names not starting with an excluded prefix, sorted by name."""
     return (names.select(F.col(name_col).alias("table_name"))
@@ -39,11 +35,6 @@ def live_tables(names: DataFrame, exclude=EXCLUDE_PREFIXES, name_col: str = "tab
             .orderBy("table_name"))
 
 
-def source_names(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:
-    """The names of the sources as a one-column frame."""
-    return metadata_frame(spark, [(n,) for n in sources], "table_name string")
-
-
 def live_columns(spark: SparkSession, sources: Mapping[str, DataFrame], ordered: bool = True) -> DataFrame:
     """One row per column of every source, ordinal 1-based.
 

@@ -77,10 +77,6 @@ def metadata_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_ROW_LIMIT else df
 
 
-def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def select_existing(df: DataFrame, cols: list[str]) -> DataFrame:
     """Keep the listed columns that exist, in the listed order."""
     have = set(df.columns)

@@ -87,3 +87,9 @@ def test_export_with_map_valued_column_rows(spark):
                                  "table_name string, column_name string, ordinal_position int, tags map<string,string>")
     r = {x.table_name: x.column_names for x in export_nested(t, cols).collect()}
     assert r[names[0]] == "a,b" and r[names[1]] == ""
+
+
+def test_nullify_fields_before_save(spark):
+    from lakeledger.operators.suggest import nullify_fields
+    df = spark.createDataFrame([("a", "", "x"), ("b", None, "")], "k string, d string, o string")
+    assert [tuple(r) for r in nullify_fields(df, ["d"]).collect()] == [("a", None, "x"), ("b", None, "")]
