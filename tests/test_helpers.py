@@ -93,3 +93,10 @@ def test_nullify_fields_before_save(spark):
     from lakeledger.operators.suggest import nullify_fields
     df = spark.createDataFrame([("a", "", "x"), ("b", None, "")], "k string, d string, o string")
     assert [tuple(r) for r in nullify_fields(df, ["d"]).collect()] == [("a", None, "x"), ("b", None, "")]
+
+
+def test_checkpoint_root_comes_from_the_session(spark):
+    from lakeledger.session import checkpoint_root, scratch_path
+    root = checkpoint_root(spark)
+    assert root == spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(root)
