@@ -124,3 +124,33 @@ _LONG_TEXT = ["documents", "pages", "conversations", "benchmark"]
 def q_profile_digest(spark, sf_dir):
     sources = {CATALOGUE_NAMES[t]: read_table(spark, sf_dir, t) for t in _LONG_TEXT}
     return _proj(profile_all(spark, sources, mode="digest"))
+
+
+# -- profile_catalogue: statistics and samples of the stored catalogue rows -----
+# (fx_tables mixes NULL, '' and values, so null shares and samples are real;
+# its columns are text and integers, which print alike on both engines)
+_CAT_COLS = ["table_name", "layer", "row_count", "column_count", "description", "business_owner",
+             "source_system", "refresh_frequency", "tags", "scanned_at", "updated_at", "updated_by"]
+
+
+def _profile_samples_sql(label: str, src: str, cols: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols, start=1):
+        parts.append(f"""
+SELECT {_q(label)} AS table_name, {_q(c)} AS column_name, CAST({i} AS INTEGER) AS ordinal_position,
+       CAST(count(*) AS BIGINT) AS row_count,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) - count("{c}") AS BIGINT) END AS null_count,
+       CASE WHEN count(*) > 0 THEN round_even(CAST(count(*) - count("{c}") AS DOUBLE) / count(*) * 100, 2) END AS null_percentage,
+       CASE WHEN count(*) > 0 THEN CAST(count(DISTINCT "{c}") AS BIGINT) END AS distinct_count,
+       (SELECT CASE WHEN regexp_matches(s, '^\\s*$') THEN NULL ELSE s END
+        FROM (SELECT string_agg(h, ' | ' ORDER BY h) AS s
+              FROM (SELECT DISTINCT substring(CAST("{c}" AS VARCHAR), 1, 200) AS h FROM {src}
+                    WHERE "{c}" IS NOT NULL ORDER BY h LIMIT 5))) AS sample_values
+FROM {src}""")
+    return "\nUNION ALL".join(parts)
+
+
+@register("profile_catalogue", with_fx(["fx_tables"], _profile_samples_sql("fx_tables", "fx_tables", _CAT_COLS)))
+def q_profile_catalogue(spark, sf_dir):
+    p = profile_all(spark, {"fx_tables": Fixtures(spark, sf_dir).fx_tables}, with_samples=True)
+    return p.select(*_OUT.split(", "), "sample_values")
