@@ -105,3 +105,17 @@ def test_digest_mode_equals_exact_including_samples(spark):
     exact = _rows(profile_all(spark, srcs, with_samples=True))
     digest = _rows(profile_all(spark, srcs, mode="digest", with_samples=True, digest_over=16))
     assert exact == digest
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.5, -2.25, float("nan"), float("inf")])),
+                min_size=1, max_size=25))
+def test_double_distinct_follows_sql_equality(spark, vals):
+    import math
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r = profile(df, with_samples=True).first()
+    norm = {("nan" if math.isnan(v) else (0.0 if v == 0 else v)) for v in vals if v is not None}
+    assert r.null_count == sum(v is None for v in vals)
+    assert r.distinct_count == len(norm)
+    approx = profile(df, mode="approx").first()
+    assert approx.distinct_count == len(norm)
