@@ -28,6 +28,10 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.MapType):
             c = F.array_sort(F.map_entries(c))
         return F.to_json(c, {"ignoreNullFields": "false"})
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.FloatType, T.DoubleType)):
+        # -0.0 and 0.0 are one value inside arrays too (as Spark groups them)
+        zero = F.lit(0.0).cast(dtype.elementType)
+        return F.transform(c, lambda x: F.when(x == 0, zero).otherwise(x)).cast("string")
     # integers, decimals, booleans, dates, timestamps, arrays of scalars
     return c.cast("string")
 

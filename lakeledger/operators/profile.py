@@ -78,6 +78,10 @@ def _text_sql(c: str, dtype: T.DataType) -> str:
                                             isinstance(dtype.elementType, (T.StructType, T.MapType,
                                                                            T.ArrayType, T.BinaryType))):
         return f"to_json({c}, map('ignoreNullFields', 'false'))"
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.FloatType, T.DoubleType)):
+        # -0.0 and 0.0 are one value inside arrays too (as Spark groups them)
+        e = dtype.elementType.simpleString()
+        return f"CAST(transform({c}, x -> CASE WHEN x = 0 THEN CAST(0.0 AS {e}) ELSE x END) AS STRING)"
     return f"CAST({c} AS STRING)"
 
 

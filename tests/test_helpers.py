@@ -73,7 +73,7 @@ def test_value_text_column_and_sql_forms_agree(spark):
     from lakeledger.functions.text import value_text
     from lakeledger.operators.profile import _ident, _text_sql
     df = spark.sql("SELECT map('b', 1, 'a', 2) m, named_struct('x', CAST(NULL AS INT)) st, "
-                   "binary('ab') bi, array(named_struct('y', 1)) ar, DATE'2024-01-02' dt")
+                   "binary('ab') bi, array(named_struct('y', 1)) ar, DATE'2024-01-02' dt, array(-0.0D, 1.5D) ad")
     for f in df.schema.fields:
         a = df.select(value_text(df[f.name], f.dataType)).first()[0]
         b = df.selectExpr(_text_sql(_ident(f.name), f.dataType)).first()[0]

@@ -254,3 +254,10 @@ def test_profile_handles_awkward_column_names(spark):
     assert got == {"a.b": (1, 1, "1"), "c d": (0, 2, "x | y"), "e`f": (0, 1, "2.0")}
     approx = {r.column_name: r.distinct_count for r in profile(df, mode="approx").collect()}
     assert approx == {"a.b": 1, "c d": 2, "e`f": 1}
+
+
+def test_float_arrays_with_signed_zero_are_one_value(spark):
+    df = spark.sql("SELECT array(CAST(-0.0 AS FLOAT), 1.0F) a UNION ALL SELECT array(0.0F, 1.0F) "
+                   "UNION ALL SELECT array(2.0F)")
+    assert profile(df).first().distinct_count == 2
+    assert df.selectExpr("count(DISTINCT a)").first()[0] == 2
