@@ -314,7 +314,12 @@ def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str
     else:
         raise ValueError(f"unknown profile mode {mode!r}")
     if with_samples:
-        stats = stats.join(samples_from_counts(counts, slots, n, width), "col_id", "full")
+        # Every column with samples has a stats row, so a left join keeps all;
+        # the samples side has at most one row per column (a known count).
+        smp = samples_from_counts(counts, slots, n, width)
+        if len(slots.rows) <= BROADCAST_ROW_LIMIT:
+            smp = F.broadcast(smp)
+        stats = stats.join(smp, "col_id", "left")
     return _finish(slots, stats)
 
 
