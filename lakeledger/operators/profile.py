@@ -66,22 +66,55 @@ def _ident(name: str) -> str:
 _NULL_L, _NULL_D, _NULL_S = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
 
 
+def _has_float(dtype: T.DataType) -> bool:
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return True
+    if isinstance(dtype, T.StructType):
+        return any(_has_float(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_float(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_float(dtype.keyType) or _has_float(dtype.valueType)
+    return False
+
+
+def _zero_sql(e: str, dtype: T.DataType, depth: int = 0) -> str:
+    """``e`` with every float/double -0.0 inside it turned into 0.0 (SQL
+    equality and Spark grouping treat them as one value; their text does not)."""
+    if not _has_float(dtype):
+        return e
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"CASE WHEN {e} = 0 THEN CAST(0.0 AS {dtype.simpleString()}) ELSE {e} END"
+    if isinstance(dtype, T.ArrayType):
+        x = f"_x{depth}"
+        return f"transform({e}, {x} -> {_zero_sql(x, dtype.elementType, depth + 1)})"
+    if isinstance(dtype, T.StructType):
+        parts = ", ".join(f"'{f.name.replace(chr(39), chr(39) * 2)}', "
+                          f"{_zero_sql(e + '.' + _ident(f.name), f.dataType, depth + 1)}" for f in dtype.fields)
+        return f"CASE WHEN {e} IS NULL THEN NULL ELSE named_struct({parts}) END"
+    return e  # maps are normalised entry by entry in _text_sql
+
+
 def _text_sql(c: str, dtype: T.DataType) -> str:
-    """``value_text`` as a SQL expression (same forms)."""
+    """``value_text`` as a SQL expression (same forms; signed zeros inside
+    nested values are folded as well)."""
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BinaryType):
         return f"base64({c})"
     if isinstance(dtype, T.MapType):
-        return f"to_json(array_sort(map_entries({c})), map('ignoreNullFields', 'false'))"
+        entries = f"map_entries({c})"
+        if _has_float(dtype):
+            kv = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
+            entries = f"transform({entries}, _kv -> {_zero_sql('_kv', kv, 1)})"
+        return f"to_json(array_sort({entries}), map('ignoreNullFields', 'false'))"
     if isinstance(dtype, T.StructType) or (isinstance(dtype, T.ArrayType) and
                                             isinstance(dtype.elementType, (T.StructType, T.MapType,
                                                                            T.ArrayType, T.BinaryType))):
-        return f"to_json({c}, map('ignoreNullFields', 'false'))"
+        return f"to_json({_zero_sql(c, dtype)}, map('ignoreNullFields', 'false'))"
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.FloatType, T.DoubleType)):
         # -0.0 and 0.0 are one value inside arrays too (as Spark groups them)
-        e = dtype.elementType.simpleString()
-        return f"CAST(transform({c}, x -> CASE WHEN x = 0 THEN CAST(0.0 AS {e}) ELSE x END) AS STRING)"
+        return f"CAST({_zero_sql(c, dtype)} AS STRING)"
     return f"CAST({c} AS STRING)"
 
 

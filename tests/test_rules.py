@@ -261,3 +261,14 @@ def test_float_arrays_with_signed_zero_are_one_value(spark):
                    "UNION ALL SELECT array(2.0F)")
     assert profile(df).first().distinct_count == 2
     assert df.selectExpr("count(DISTINCT a)").first()[0] == 2
+
+
+def test_signed_zero_inside_structs_and_maps_is_one_value(spark):
+    df = spark.sql("""SELECT named_struct('a', -0.0D, 'b', array(named_struct('c', CAST(-0.0 AS FLOAT))), 'n', 'x') s,
+                             map('k', -0.0D) m
+                      UNION ALL
+                      SELECT named_struct('a', 0.0D, 'b', array(named_struct('c', 0.0F)), 'n', 'x'), map('k', 0.0D)
+                      UNION ALL
+                      SELECT CAST(NULL AS STRUCT<a: DOUBLE, b: ARRAY<STRUCT<c: FLOAT>>, n: STRING>), NULL""")
+    got = {r.column_name: (r.distinct_count, r.null_count) for r in profile(df).collect()}
+    assert got == {"s": (1, 1), "m": (1, 1)}
