@@ -3,16 +3,19 @@
 import pytest
 
 import __spark_entry__ as E
+from lakeledger.plans import registry
 from tests.conftest import SF_SMALL
 from tools.check_oracle import rows_of
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+registry.load_all()
+QUERIES = registry.QUERIES
+ORACLE = registry.ORACLE
 
 
 def test_every_query_but_approx_has_an_oracle():
     assert set(QUERIES) - set(ORACLE) == {"profile_approx"}
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
