@@ -30,7 +30,7 @@ from lakeledger.llm.common import share, shared
 from lakeledger.llm.registry import register, table
 
 #: Chunks kept per Python worker; beyond this the memory is emptied and filled anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
 #: Unicode white space.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Python's extra separators that are no Unicode white space.
