@@ -12,11 +12,13 @@ and a bound from the shared part of their prefixes; survivors are expanded
 to members (one per distinct set) and verified on the whole texts.
 
 The result is connected components, so links inside a component need not be
-listed one by one.  First every component tries the neighbour it shares most
-postings with, round after round (one row per component, whatever a group's
-size).  Then the pairs of groups that still lie in different components are
-all examined.  No link between components is lost, and a group of thousands
-of near copies costs a few rows per copy.
+listed one by one.  Groups are first gathered into families: each joins the
+posting leader that it shares most of its prefix with.  The sets of a family
+are compared in blocks of bounded size by one matrix product a block, and a
+block sends back a spanning forest of its links.  Blocks then meet only the
+sets that are not yet in their family's main component.  Candidate pairs
+across families are all examined one by one.  No link between components is
+lost, and a family of thousands of near copies costs a few rows per copy.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ ORDER_BITS = 24
 BLOCK = 1 << 16
 #: Words kept by a task's word-hash memory before it is emptied.
 WORD_CACHE = 1_000_000
-#: Rounds of linking to one neighbour before the full pass.
-ROUNDS = 4
+#: Sets in a block of a family, about.
+FAMILY_BLOCK = 256
 
 
 class _WordHash(dict):
@@ -204,21 +206,13 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = sets.join(wanted, (F.col("sig") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("low_id")))
     texts = saved(texts.select("sig", "text").dropDuplicates(["sig"]), "jaccard-texts")
 
-    # Sets of one group: each against the group's smallest.
-    first = active.groupBy("g").agg(F.min("sig").alias("b"))
-    inside = active.join(first, "g").where("sig <> b").select(F.col("sig").alias("a"), "b")
-    links = saved(verified(inside, texts, words, percent), "jaccard-links")
-    labels = _labels(active, links)
-    for turn in range(ROUNDS):
-        tries = _nearest(posts, labels, percent, turn)
-        new = saved(verified(tries, texts, words, percent), "jaccard-links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        labels = _labels(active, links)
-    left = _crossing(posts, labels, percent)
-    new = saved(verified(left, texts, words, percent), "jaccard-links")
-    labels = _labels(active, links.unionByName(new))
+    family = _families(posts, active, percent)
+    near = saved(_inside(family, texts, words, percent), "jaccard-links")
+    labels = _labels(family, near)
+    near = near.unionByName(saved(_rest(labels, texts, words, percent), "jaccard-links"))
+    labels = _labels(family, near)
+    far = saved(verified(_crossing(posts, labels, percent), texts, words, percent), "jaccard-links")
+    labels = _labels(family, near.unionByName(far))
 
     named = members.join(labels.select("sig", "comp"), "sig", "left").select("sig", "low_id", F.coalesce("comp", "sig").alias("comp"))
     low = named.groupBy("comp").agg(F.min("low_id").alias("component_id"))
@@ -228,47 +222,143 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return full.unionByName(empty)
 
 
-def _labels(active: DataFrame, links: DataFrame) -> DataFrame:
-    """``sig, g, n, comp`` of every active set under the links so far."""
-    comp = components(links, "jaccard-components")
-    joined = active.join(comp.withColumnRenamed("node", "sig"), "sig", "left")
-    return saved(joined.select("sig", "g", "n", F.coalesce("comp", "sig").alias("comp")), "jaccard-labels")
-
-
-def _classes(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings per group and component, for keys that still meet several components."""
-    classes = labels.groupBy("g", "comp").agg(F.min("sig").alias("sig"))
-    marked = saved(posts.join(classes, "g"), "jaccard-marked")
-    open_ = marked.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    return saved(marked.join(open_, "key").select("key", "g", "n", "pos", "comp", "sig"), "jaccard-open")
-
+def _families(posts: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """``sig, g, n, fam``: groups joined to the leader they share most keys with.
 
-def _nearest(posts: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For every component one pair: the leader that it shares most open postings with.
-
-    A posting's leader is its member with the smallest hash for this turn, so
-    the same member tends to lead all postings of a family.
+    A posting's leader is its group with the smallest hash, so one member
+    tends to lead all postings of a family.  A third of the prefix must be
+    shared; families only decide who is compared in blocks.
+    """
+    lead = posts.groupBy("key").agg(F.min(F.struct(F.xxhash64("g").alias("h"), F.col("g").alias("b"), F.col("n").alias("nb"))).alias("lead"))
+    lead = saved(lead.select("key", "lead.b", "lead.nb"), "jaccard-leads")
+    met = (posts.join(lead, "key").where("g <> b").where(similar_sizes("n", "nb", percent))
+           .groupBy("g", "b").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+           .where(F.col("m") * 300 >= F.col("n") * (100 - percent)))
+    best = met.groupBy("g").agg(F.max(F.struct("m", "b")).alias("best")).select(F.col("g").alias("a"), F.col("best.b").alias("b"))
+    comp = components(best, "jaccard-families").select(F.col("node").alias("g"), F.col("comp").alias("fam"))
+    joined = active.join(comp, "g", "left").select("sig", "g", "n", F.coalesce("fam", "g").alias("fam"))
+    return saved(joined, "jaccard-family")
+
+
+def _sized(family: DataFrame) -> DataFrame:
+    """Adds ``blocks`` and ``blk`` to the sets of families of several sets."""
+    size = family.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / FAMILY_BLOCK).cast("int")
+    return (family.join(size, "fam").withColumn("blocks", blocks)
+            .withColumn("blk", F.pmod(F.hash("sig"), "blocks")).drop("m"))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the left with the right sets.
+
+    Shingles of one side only are left out; the others become columns of two
+    0/1 matrices, multiplied a bounded number of columns at a time.
     """
-    marked = _classes(posts, labels)
-    lead = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig").alias("h"), F.col("sig").alias("b"),
-                                                    F.col("comp").alias("cb"), F.col("n").alias("nb"))).alias("lead"))
-    lead = saved(lead.select("key", "lead.*").drop("h"), "jaccard-leads")
-    met = (marked.join(lead, "key").where("comp <> cb").where(similar_sizes("n", "nb", percent))
-           .groupBy("comp", "sig", "b").agg(F.count("*").alias("m")))
-    best = met.groupBy("comp").agg(F.max(F.struct("m", "sig", "b")).alias("best"))
-    return best.select(F.col("best.sig").alias("a"), F.col("best.b").alias("b")).distinct()
+    total = np.zeros((len(left), len(right)), np.float32)
+    every = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in (left, right)]
+    shared = np.intersect1d(np.unique(every[0]), np.unique(every[1]), assume_unique=True)
+    place = []
+    for sets, flat in zip((left, right), every):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        col = np.searchsorted(shared, flat)
+        hit = col < len(shared)
+        hit[hit] = shared[col[hit]] == flat[hit]
+        order = np.argsort(col[hit], kind="stable")
+        place.append((row[hit][order], col[hit][order]))
+    for lo in range(0, len(shared), 4096):
+        grid = []
+        for sets, (row, col) in zip((left, right), place):
+            x, y = np.searchsorted(col, [lo, lo + 4096])
+            g = np.zeros((len(sets), min(4096, len(shared) - lo)), np.float32)
+            g[row[x:y], col[x:y] - lo] = 1
+            grid.append(g)
+        total += grid[0] @ grid[1].T
+    return total
+
+
+def _forest(left: list, right: list, words: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Spanning links between rows ``(sig, comp, text)`` of two lists."""
+    known = _WordHash()
+    sets = [[shingle_set(t, words, known) for _, _, t in side] for side in (left, right)]
+    size = [np.array([len(x) for x in side], np.int64) for side in sets]
+    both = np.rint(_overlaps(*sets)).astype(np.int64)
+    link = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(link).tolist():
+        x, y = root(left[i][1]), root(right[j][1])
+        if x != y:
+            parent[x] = y
+            out.append((left[i][0], right[j][0]))
+    return out
+
+
+def _link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+
+def _inside(family: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links inside each block of a family."""
+    rows = _sized(family).select("sig", "fam", "blk").join(texts, "sig")
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = list(zip(t.column("sig").to_pylist(), t.column("sig").to_pylist(), t.column("text").cast(pa.binary()).to_pylist()))
+        return _link_batch(_forest(rows, rows, words, percent))
+
+    return rows.groupBy("fam", "blk").applyInArrow(run, "a binary, b binary")
+
+
+def _rest(labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of the sets outside their family's main component with all blocks."""
+    sized = _sized(labels).where("blocks > 1")
+    counts = sized.groupBy("fam", "comp").agg(F.count("*").alias("m"))
+    main = counts.groupBy("fam").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"))
+    main = main.select("fam", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / FAMILY_BLOCK).cast("int").alias("chunks")).where("chunks > 0")
+    sized = sized.join(main, "fam").join(texts, "sig")
+    some = (sized.where("comp <> main").withColumn("chunk", F.pmod(F.hash("sig", F.lit(1)), "chunks"))
+            .withColumn("blk", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1")))))
+    every = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr("chunks - 1"))))
+    cols = ["fam", "blk", "chunk", "sig", "comp", "text"]
+    rows = some.select(*cols, F.lit(True).alias("some")).unionByName(every.select(*cols, F.lit(False).alias("some")))
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right = [], []
+        for some, sig, comp, text in zip(*(t.column(c).to_pylist() for c in ("some", "sig", "comp")), t.column("text").cast(pa.binary()).to_pylist()):
+            (left if some else right).append((sig, comp, text))
+        return _link_batch(_forest(left, right, words, percent))
+
+    return rows.groupBy("fam", "blk", "chunk").applyInArrow(run, "a binary, b binary")
+
+
+def _labels(family: DataFrame, links: DataFrame) -> DataFrame:
+    """``sig, g, n, fam, comp`` of every active set under the links so far."""
+    comp = components(links, "jaccard-components")
+    joined = family.join(comp.withColumnRenamed("node", "sig"), "sig", "left")
+    return saved(joined.select("sig", "g", "n", "fam", F.coalesce("comp", "sig").alias("comp")), "jaccard-labels")
 
 
 def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs of sets in different components.
+    """All candidate pairs of sets in different families and components.
 
     Pairs of (group, component) classes that share postings, cut by size and
     by the bound that the shared prefix keys leave, then expanded to sets.
     """
-    marked = _classes(posts, labels).drop("sig")
-    other = marked.select("key", *[F.col(c).alias(c + "2") for c in ("g", "n", "pos", "comp")])
+    marked = posts.join(labels.select("g", "fam", "comp").distinct(), "g")
+    open_ = marked.groupBy("key").agg(F.min("fam").alias("f0"), F.max("fam").alias("f1")).where("f0 <> f1").select("key")
+    marked = saved(marked.join(open_, "key").select("key", "g", "n", "pos", "fam", "comp"), "jaccard-open")
+    # The smaller set of a pair (g on ties) needs the first keys only.
+    first = F.expr(f"n - ceil(2 * {percent} * n / (100.0 + {percent})) + 1")
+    other = marked.where(F.col("pos") < first).select("key", *[F.col(c).alias(c + "2") for c in ("g", "n", "pos", "fam", "comp")])
     need = F.expr(f"cast(ceil({percent} * (n + n2) / (100.0 + {percent})) as long)")
-    met = (marked.join(other, "key").where("comp < comp2").where(similar_sizes("n", "n2", percent))
+    met = (marked.join(other, "key").where("fam <> fam2 and comp <> comp2 and (n2 < n or (n2 = n and g2 < g))")
+           .where(similar_sizes("n", "n2", percent))
            .groupBy("g", "comp", "g2", "comp2").agg(
                F.count("*").alias("m"), F.first("n").alias("n"), F.first("n2").alias("n2"),
                F.max("pos").alias("pos"), F.max("pos2").alias("pos2")))
@@ -276,13 +366,7 @@ def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     met = met.where(F.col("m") + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1")) >= need)
     left = labels.select("g", "comp", F.col("sig").alias("a"))
     right = labels.select(F.col("g").alias("g2"), F.col("comp").alias("comp2"), F.col("sig").alias("b"))
-    across = met.select("g", "comp", "g2", "comp2").join(left, ["g", "comp"]).join(right, ["g2", "comp2"]).select("a", "b")
-    # Sets of one group that are still apart share all their prefix.
-    apart = labels.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g")
-    left = labels.join(apart, "g").select("g", F.col("sig").alias("a"), F.col("comp").alias("ca"))
-    right = labels.join(apart, "g").select("g", F.col("sig").alias("b"), F.col("comp").alias("cb"))
-    same = left.join(right, "g").where("ca < cb").select("a", "b")
-    return across.unionByName(same).distinct()
+    return met.select("g", "comp", "g2", "comp2").join(left, ["g", "comp"]).join(right, ["g2", "comp2"]).select("a", "b").distinct()
 
 
 ORACLE_OP4 = r"""
