@@ -44,17 +44,21 @@ def with_measures(docs: DataFrame) -> DataFrame:
     # Bits that hold a position, and windows as hash and position in one long.
     df = df.withColumn("__b", F.greatest(F.lit(1), F.ceil(F.log2(F.col("n_words") + 1)).cast("int")))
     df = df.withColumn("__k", F.when(F.col("n_words") >= 3, F.expr(
-        "array_sort(transform(sequence(0, int(n_words) - 3), i -> shiftleft(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __b) | i))"))
+        "sort_array(transform(sequence(0, int(n_words) - 3), i -> shiftleft(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __b) | i))"))
         .otherwise(F.expr("cast(array() as array<bigint>)"))).drop("__w")
     # Positions of windows that equal a neighbour in hash order, in text order.
     df = df.withColumn("__p", F.expr(
-        "array_sort(transform(filter(transform(__k, (k, i) -> struct(k, (i > 0 and shiftright(__k[i - 1], __b) = shiftright(k, __b))"
+        "sort_array(transform(filter(transform(__k, (k, i) -> struct(k, (i > 0 and shiftright(__k[i - 1], __b) = shiftright(k, __b))"
         " or (i + 1 < size(__k) and shiftright(get(__k, i + 1), __b) = shiftright(k, __b)) as rep)),"
         " s -> s.rep), s -> s.k & (shiftleft(1L, __b) - 1)))")).drop("__k", "__b")
     # A window adds the words past the window before it, three at most.
     df = df.withColumn("n_repeat_words", F.expr(
         "aggregate(transform(__p, (p, i) -> if(i = 0, 3L, least(3L, p - __p[i - 1]))), 0L, (a, x) -> a + x)"))
-    return df.drop("__p")
+    # A generator of one row per document keeps the optimizer from copying the
+    # measures into every later filter and rule.
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    once = F.inline_outer(F.array(F.struct(*names)))
+    return df.select(*[c for c in docs.columns if c not in names], once)
 
 
 def rules() -> dict[str, Column]:
@@ -66,7 +70,7 @@ def rules() -> dict[str, Column]:
         "few_words": n < 50,
         "repeated_words": 100 * F.col("n_repeat_words") > 50 * n,
         "symbols": 10 * F.col("n_symbols") > n,
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.size(F.split(text, "\n")),
+        "repeated_lines": 10 * F.col("n_dup_lines") > 7 * F.size(F.split(text, "\n")),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n),
         "shouting": 10 * F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) > 5 * letters,
         "exclaiming": 10 * (F.length(text) - F.length(F.translate(text, "!?", ""))) > 3 * n,
@@ -80,8 +84,8 @@ BASE = ("few_words", "repeated_words")
 
 def cascade_order(docs: DataFrame, rule: dict[str, Column], sample: int = SAMPLE) -> list[str]:
     """Rule names by rejection per cost on the ``sample`` rows with the smallest hash."""
-    some = docs.orderBy(F.xxhash64("text", "n_words"), "n_words").limit(sample)
-    some = saved(some.select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "quality-sample")
+    some = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
+    some = saved(with_measures(some), "quality-sample")
     names = list(rule)
     count = some.agg(F.count("*").alias("all"), *[F.count_if(rule[r]).alias(r) for r in names]).first()
     cost = {}
@@ -104,7 +108,7 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     measured = with_measures(docs)
     rule = rules()
     chain = None
-    for r in cascade_order(measured, rule, sample):
+    for r in cascade_order(docs, rule, sample):
         chain = F.when(rule[r], r) if chain is None else chain.when(rule[r], r)
     base = rule[BASE[0]]
     for r in BASE[1:]:
@@ -131,7 +135,7 @@ a AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(text
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 7 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words
     OR 10 * upper_letters > 5 * letters OR 10 * marks > 3 * n_words OR 10 * letters < 5 * word_chars) AS kept
 FROM b
 """
