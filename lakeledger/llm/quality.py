@@ -84,7 +84,9 @@ BASE = ("few_words", "repeated_words")
 
 def cascade_order(docs: DataFrame, rule: dict[str, Column], sample: int = SAMPLE) -> list[str]:
     """Rule names by rejection per cost on the ``sample`` rows with the smallest hash."""
-    some = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
+    h = F.xxhash64(*docs.columns)
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = docs.where(h <= F.lit(last)).select("text").limit(sample)
     some = saved(with_measures(some), "quality-sample")
     names = list(rule)
     count = some.agg(F.count("*").alias("all"), *[F.count_if(rule[r]).alias(r) for r in names]).first()
