@@ -14,6 +14,7 @@ third of all edits still moves one partial row per map task.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +148,9 @@ def append_edits(log_path: str, edits: DataFrame, spark=None) -> int:
     spark = spark or edits.sparkSession
     try:
         top = spark.read.parquet(log_path).agg(F.max("seq")).first()[0]
-    except Exception:  # noqa: BLE001 - no log yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # an unreadable log is not an empty one
+            raise
         top = None
     base = 0 if top is None else int(top) + 1
     if "seq" not in edits.columns:

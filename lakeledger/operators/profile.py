@@ -95,6 +95,11 @@ def _zero_sql(e: str, dtype: T.DataType, depth: int = 0) -> str:
     return e  # maps are normalised entry by entry in _text_sql
 
 
+# JSON text that keeps NULL fields and microseconds, so distinct values differ.
+_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_JSON = f"map('ignoreNullFields', 'false', 'timestampFormat', '{_MICROS}', 'timestampNTZFormat', '{_MICROS}')"
+
+
 def _text_sql(c: str, dtype: T.DataType) -> str:
     """``value_text`` as a SQL expression (same forms; signed zeros inside
     nested values are folded as well)."""
@@ -107,11 +112,12 @@ def _text_sql(c: str, dtype: T.DataType) -> str:
         if _has_float(dtype):
             kv = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
             entries = f"transform({entries}, _kv -> {_zero_sql('_kv', kv, 1)})"
-        return f"to_json(array_sort({entries}), map('ignoreNullFields', 'false'))"
+        return f"to_json(array_sort({entries}), {_JSON})"
     if isinstance(dtype, T.StructType) or (isinstance(dtype, T.ArrayType) and
                                             isinstance(dtype.elementType, (T.StructType, T.MapType,
-                                                                           T.ArrayType, T.BinaryType))):
-        return f"to_json({_zero_sql(c, dtype)}, map('ignoreNullFields', 'false'))"
+                                                                           T.ArrayType, T.BinaryType, T.StringType,
+                                                                           T.TimestampType, T.TimestampNTZType))):
+        return f"to_json({_zero_sql(c, dtype)}, {_JSON})"
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.FloatType, T.DoubleType)):
         # -0.0 and 0.0 are one value inside arrays too (as Spark groups them)
         return f"CAST({_zero_sql(c, dtype)} AS STRING)"
@@ -302,25 +308,10 @@ def _approx_stats(df: DataFrame, base: int, rsd: float) -> DataFrame:
                           "_rows AS row_count").select("col_id", "row_count", "null_count", "distinct_count")
 
 
-def spread_narrow(spark: SparkSession, sources: Mapping[str, DataFrame],
-                  threads: int = 16) -> dict[str, DataFrame]:
-    """Round-robin a source over the session's default parallelism when its
-    scan has fewer partitions than that (a few large row groups that cannot
-    be split).  The unpivot multiplies rows by columns, so a narrow scan
-    would leave cores idle for the heaviest map-side work.  A source read in
-    at least that many partitions (every large table on a cluster) is left
-    as it is: no extra shuffle at scale."""
-    target = spark.sparkContext.defaultParallelism
-    names = list(sources)
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(names)))) as ex:
-        parts = list(ex.map(lambda n: sources[n].rdd.getNumPartitions(), names))
-    return {n: (sources[n].repartition(target) if p < target else sources[n]) for n, p in zip(names, parts)}
-
-
 def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str = "exact",
                 with_samples: bool = False, rsd: float = 0.05,
                 n: int = SAMPLE_COUNT, width: int = SAMPLE_WIDTH,
-                digest_over: int = DIGEST_OVER, spread: bool = False) -> DataFrame:
+                digest_over: int = DIGEST_OVER) -> DataFrame:
     """Profile many tables into one ``(table_name, column_name, ...)`` frame.
 
     ``mode="exact"``: one grouped count over all sources together.
@@ -330,8 +321,6 @@ def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str
     ``mode="approx"``: HyperLogLog++ with relative error ``rsd``, one global
     aggregate per source and no wide shuffle; samples, when asked for, are
     still exact (they need the grouped frame)."""
-    if spread and mode != "approx":
-        sources = spread_narrow(spark, sources)
     slots = Slots(spark, sources)
     empty = spark.createDataFrame([], "col_id int, row_count long, null_count long, distinct_count long")
     if not slots.rows:

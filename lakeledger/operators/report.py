@@ -74,7 +74,7 @@ def search_tables(df: DataFrame, layer_list: list[str] | None = None, text: str
     if layer_list is not None:
         out = out.filter(F.col("layer").isin(list(layer_list)))
     if text:
-        pat = "(?i)" + (re.escape(text) if literal else text)
+        pat = "(?iu)" + (re.escape(text) if literal else text)
         cond = None
         for f in fields:
             m = F.coalesce(F.col(f).rlike(pat), F.lit(False))

@@ -107,6 +107,13 @@ def reply_text(text: Column) -> Column:
     return F.when(text.contains(FENCE), inner).otherwise(text)
 
 
+def _one_value(t: Column) -> Column:
+    """Whether a text is exactly one JSON value, with nothing after it."""
+    listed = F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), T.ArrayType(T.StringType()))) == 1
+    wrapped = F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), "v string")["v"].isNotNull()
+    return F.coalesce(listed & wrapped, F.lit(False))
+
+
 def parse_replies(df: DataFrame, schema: T.StructType = TABLE_REPLY_SCHEMA,
                   text_col: str = "response", keys: list[str] = ("table_name",)) -> DataFrame:
     """Replies holding one JSON object -> one row of fields, plus
@@ -114,7 +121,7 @@ def parse_replies(df: DataFrame, schema: T.StructType = TABLE_REPLY_SCHEMA,
     its fields are NULL)."""
     t = reply_text(F.col(text_col))
     parsed = df.select(*keys, t.alias("_t"))
-    bad = F.json_object_keys(F.col("_t")).isNull()
+    bad = F.json_object_keys(F.col("_t")).isNull() | ~_one_value(F.col("_t"))
     return parsed.select(*keys, F.from_json(F.col("_t"), schema).alias("_p"), bad.alias("is_bad")) \
         .select(*keys, *[F.when(~F.col("is_bad"), F.col(f"_p.{f.name}")).alias(f.name) for f in schema.fields],
                 "is_bad")
@@ -128,6 +135,7 @@ def explode_replies(df: DataFrame, schema: T.StructType = COLUMN_REPLY_SCHEMA,
     field comes with ``has_<field>``: whether the element had that key
     (a missing key and a JSON null differ for the fill rule)."""
     t = reply_text(F.col(text_col))
+    t = F.when(_one_value(t), t)
     items = df.select(*keys, F.posexplode(F.from_json(t, T.ArrayType(T.StringType()))).alias("_pos", "_e"))
     fields = [f.name for f in schema.fields if f.name != item_key]
     ks = F.json_object_keys(F.col("_e"))

@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
-
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,7 +141,8 @@ def scan(spark: SparkSession,
 
     Sources may be DataFrames or callables returning one (e.g. a reader), so
     a path that cannot be read fails inside the loop, not before it.  Analysis
-    errors are caught per source.  With ``isolate_failures`` the row counts
+    errors, and any other exception a source raises, are caught per source and
+    kept with their full text.  With ``isolate_failures`` the row counts
     run once for all sources; only if that job fails is each source counted
     on its own to find the broken ones.  The per-source result is one row per
     table, so the recovery path is bounded by the number of tables."""
@@ -157,8 +156,8 @@ def scan(spark: SparkSession,
             df = src() if callable(src) else src
             _ = df.schema  # forces analysis
             ok[name] = df
-        except PySparkException as e:  # analysis / read errors
-            errors.append((name, str(e).splitlines()[0][:500]))
+        except Exception as e:  # noqa: BLE001 - any failure of one source is that source's
+            errors.append((name, str(e) or repr(e)))
 
     tables = scan_tables(spark, ok, now)
     if isolate_failures and ok:
@@ -171,7 +170,7 @@ def scan(spark: SparkSession,
                 try:
                     good_rows.extend(scan_tables(spark, {name: ok[name]}, now).collect())
                 except Exception as e:  # job failure of this source only
-                    errors.append((name, str(e).splitlines()[0][:500]))
+                    errors.append((name, str(e) or repr(e)))
                     ok.pop(name)
             tables = metadata_frame(spark, good_rows, tables.schema)
     cols = live_columns(spark, ok, ordered=False)
