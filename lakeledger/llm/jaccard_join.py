@@ -209,10 +209,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     family = _families(posts, active, percent)
     near = saved(_inside(family, texts, words, percent), "jaccard-links")
     labels = _labels(family, near)
-    near = near.unionByName(saved(_rest(labels, texts, words, percent), "jaccard-links"))
-    labels = _labels(family, near)
+    rest = saved(_rest(labels, texts, words, percent), "jaccard-links")
     far = saved(verified(_crossing(posts, labels, percent), texts, words, percent), "jaccard-links")
-    labels = _labels(family, near.unionByName(far))
+    labels = _labels(family, near.unionByName(rest).unionByName(far))
 
     named = members.join(labels.select("sig", "comp"), "sig", "left").select("sig", "low_id", F.coalesce("comp", "sig").alias("comp"))
     low = named.groupBy("comp").agg(F.min("low_id").alias("component_id"))
@@ -234,8 +233,12 @@ def _families(posts: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     met = (posts.join(lead, "key").where("g <> b").where(similar_sizes("n", "nb", percent))
            .groupBy("g", "b").agg(F.count("*").alias("m"), F.first("n").alias("n"))
            .where(F.col("m") * 300 >= F.col("n") * (100 - percent)))
-    best = met.groupBy("g").agg(F.max(F.struct("m", "b")).alias("best")).select(F.col("g").alias("a"), F.col("best.b").alias("b"))
-    comp = components(best, "jaccard-families").select(F.col("node").alias("g"), F.col("comp").alias("fam"))
+    best = met.groupBy("g").agg(F.max(F.struct("m", "b")).alias("best")).select("g", F.col("best.b").alias("fam"))
+    comp = saved(best, "jaccard-best")
+    # A leader has the smaller hash, so leaders of leaders end; four steps up.
+    for _ in range(2):
+        up = comp.select(F.col("g").alias("fam"), F.col("fam").alias("next"))
+        comp = saved(comp.join(up, "fam", "left").select("g", F.coalesce("next", "fam").alias("fam")), "jaccard-best")
     joined = active.join(comp, "g", "left").select("sig", "g", "n", F.coalesce("fam", "g").alias("fam"))
     return saved(joined, "jaccard-family")
 
