@@ -14,11 +14,13 @@ to members (one per distinct set) and verified on the whole texts.
 The result is connected components, so links inside a component need not be
 listed one by one.  Groups are first gathered into families: each joins the
 posting leader that it shares most of its prefix with.  The sets of a family
-are compared in blocks of bounded size by one matrix product a block, and a
-block sends back a spanning forest of its links.  Blocks then meet only the
-sets that are not yet in their family's main component.  Candidate pairs
-across families are all examined one by one.  No link between components is
-lost, and a family of thousands of near copies costs a few rows per copy.
+are compared in blocks of bounded size by one matrix product a block.  Every
+block also holds the family's smallest set, so blocks that link to it share a
+label without a further pass.  Blocks then meet only the sets that are not yet
+in their family's main component, and send back links between labels.
+Candidate pairs across families are all examined one by one.  No link between
+components is lost, and a family of thousands of near copies costs a few rows
+per copy.
 """
 
 from __future__ import annotations
@@ -105,18 +107,26 @@ def shingle_order(docs: DataFrame, words: int) -> bytes:
     def unpack(data: bytes) -> np.ndarray:
         return np.frombuffer(pa.decompress(data, BLOCK * 4, codec="zstd", asbytes=True), np.uint32)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.uint64)
+    def total(t: pa.Table) -> np.ndarray:
+        cells = np.zeros(BLOCK, np.uint64)
         for x in t.column("data").to_pylist():
-            total += unpack(x)
-        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-        return pa.table({"block": t.column("block")[:1], "data": pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+            cells += unpack(x)
+        return np.minimum(cells, (1 << 32) - 1).astype(np.uint32)
+
+    def packed(t: pa.Table, cells: np.ndarray) -> pa.Table:
+        return pa.table({"block": t.column("block")[:1], "data": pa.array([pa.compress(cells.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        return packed(t, total(t))
+
+    def levels(t: pa.Table) -> pa.Table:
+        return packed(t, np.minimum(255, 8 * np.log2(1 + total(t).astype(float))).astype(np.uint8))
 
     parts = docs.select("text").mapInArrow(count, "block int, salt int, data binary")
     once = parts.groupBy("block", "salt").applyInArrow(add, "block int, data binary")
     level = np.zeros(1 << ORDER_BITS, np.uint8)
-    for r in once.groupBy("block").applyInArrow(add, "block int, data binary").toLocalIterator():
-        level[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.minimum(255, 8 * np.log2(1 + unpack(bytes(r["data"])).astype(float))).astype(np.uint8)
+    for r in once.groupBy("block").applyInArrow(levels, "block int, data binary").collect():
+        level[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(pa.decompress(bytes(r["data"]), BLOCK, codec="zstd", asbytes=True), np.uint8)
     return level.tobytes()
 
 
@@ -154,7 +164,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` of sets whose similarity reaches the threshold."""
+    """``(comp, comp2)`` of the ``pairs(a, b, comp, comp2)`` that reach the threshold."""
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
 
@@ -169,7 +179,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.filter(pa.array(keep)).select([0, 1])
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+    joined = pairs.join(a, "a").join(b, "b").select("comp", "comp2", "ta", "tb")
     return joined.mapInArrow(run, "a binary, b binary")
 
 
@@ -207,13 +217,14 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = saved(texts.select("sig", "text").dropDuplicates(["sig"]), "jaccard-texts")
 
     family = _families(posts, active, percent)
-    near = saved(_inside(family, texts, words, percent), "jaccard-links")
-    labels = _labels(family, near)
-    rest = saved(_rest(labels, texts, words, percent), "jaccard-links")
-    far = saved(verified(_crossing(posts, labels, percent), texts, words, percent), "jaccard-links")
-    labels = _labels(family, near.unionByName(rest).unionByName(far))
-
-    named = members.join(labels.select("sig", "comp"), "sig", "left").select("sig", "low_id", F.coalesce("comp", "sig").alias("comp"))
+    near = _inside(family, texts, words, percent).select(F.col("a").alias("sig"), F.col("b").alias("comp"))
+    labels = saved(family.join(near, "sig", "left").select("sig", "g", "n", "fam", F.coalesce("comp", "sig").alias("comp")), "jaccard-labels")
+    rest = _rest(labels, texts, words, percent)
+    far = verified(_crossing(posts, labels, percent), texts, words, percent)
+    merged = components(rest.unionByName(far), "jaccard-components").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+
+    named = members.join(labels.select("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    named = named.join(merged, "comp", "left").select("sig", "low_id", F.coalesce("whole", "comp").alias("comp"))
     low = named.groupBy("comp").agg(F.min("low_id").alias("component_id"))
     named = saved(named.join(low, "comp").select("sig", "component_id"), "jaccard-named")
     full = coded.where("n > 0").select("doc_id", "n", "sig").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -234,11 +245,26 @@ def _families(posts: DataFrame, active: DataFrame, percent: int) -> DataFrame:
            .groupBy("g", "b").agg(F.count("*").alias("m"), F.first("n").alias("n"))
            .where(F.col("m") * 300 >= F.col("n") * (100 - percent)))
     best = met.groupBy("g").agg(F.max(F.struct("m", "b")).alias("best")).select(F.col("g").alias("a"), F.col("best.b").alias("b"))
-    comp = components(best, "jaccard-families").select(F.col("node").alias("g"), F.col("comp").alias("fam"))
-    joined = active.join(comp, "g", "left").select("sig", "g", "n", F.coalesce("fam", "g").alias("fam"))
+    root = _roots(best).select(F.col("a").alias("g"), F.col("b").alias("fam"))
+    joined = active.join(root, "g", "left").select("sig", "g", "n", F.coalesce("fam", "g").alias("fam"))
     return saved(joined, "jaccard-family")
 
 
+def _roots(parent: DataFrame) -> DataFrame:
+    """``(a, b)`` with ``b`` the root of ``a`` in the forest ``parent(a, b)``.
+
+    A leader's hash is below its follower's, so there are no cycles.  Each
+    round doubles the distance that is followed, until every parent is a root.
+    """
+    cur = saved(parent, "jaccard-leaders")
+    while True:
+        up = cur.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        cur = saved(cur.select("a", "b").join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "jaccard-leaders")
+        if cur.where("moved").isEmpty():
+            return cur.select("a", "b")
+        cur = cur.select("a", "b")
+
+
 def _sized(family: DataFrame) -> DataFrame:
     """Adds ``blocks`` and ``blk`` to the sets of families of several sets."""
     size = family.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
@@ -276,9 +302,9 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _forest(left: list, right: list, words: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Spanning links between rows ``(sig, comp, text)`` of two lists."""
+    """Spanning links between the labels of rows ``(label, text)`` of two lists."""
     known = _WordHash()
-    sets = [[shingle_set(t, words, known) for _, _, t in side] for side in (left, right)]
+    sets = [[shingle_set(t, words, known) for _, t in side] for side in (left, right)]
     size = [np.array([len(x) for x in side], np.int64) for side in sets]
     both = np.rint(_overlaps(*sets)).astype(np.int64)
     link = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
@@ -290,13 +316,10 @@ def _forest(left: list, right: list, words: int, percent: int) -> list[tuple[byt
             x = parent[x]
         return x
 
-    out = []
     for i, j in np.argwhere(link).tolist():
-        x, y = root(left[i][1]), root(right[j][1])
-        if x != y:
-            parent[x] = y
-            out.append((left[i][0], right[j][0]))
-    return out
+        x, y = root(left[i][0]), root(right[j][0])
+        parent[max(x, y)] = min(x, y)
+    return [(x, root(x)) for x in list(parent) if root(x) != x]
 
 
 def _link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
@@ -304,18 +327,25 @@ def _link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
 
 
 def _inside(family: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links inside each block of a family."""
-    rows = _sized(family).select("sig", "fam", "blk").join(texts, "sig")
+    """``(set, label)`` links inside each block of a family, one per linked set.
+
+    Every block also holds the family's smallest set, which is then the label
+    of all that reach it, whatever their block.
+    """
+    sized = _sized(family)
+    small = sized.groupBy("fam").agg(F.min("sig").alias("sig"), F.first("blocks").alias("blocks")).where("blocks > 1")
+    small = small.select("sig", "fam", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1"))).alias("blk"))
+    rows = sized.select("sig", "fam", "blk").unionByName(small).join(texts, "sig")
 
     def run(t: pa.Table) -> pa.Table:
-        rows = list(zip(t.column("sig").to_pylist(), t.column("sig").to_pylist(), t.column("text").cast(pa.binary()).to_pylist()))
+        rows = list(dict(zip(t.column("sig").to_pylist(), t.column("text").cast(pa.binary()).to_pylist())).items())
         return _link_batch(_forest(rows, rows, words, percent))
 
     return rows.groupBy("fam", "blk").applyInArrow(run, "a binary, b binary")
 
 
 def _rest(labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of the sets outside their family's main component with all blocks."""
+    """Links between labels: sets outside their family's main component with all blocks."""
     sized = _sized(labels).where("blocks > 1")
     counts = sized.groupBy("fam", "comp").agg(F.count("*").alias("m"))
     main = counts.groupBy("fam").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"))
@@ -324,25 +354,18 @@ def _rest(labels: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     some = (sized.where("comp <> main").withColumn("chunk", F.pmod(F.hash("sig", F.lit(1)), "chunks"))
             .withColumn("blk", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1")))))
     every = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr("chunks - 1"))))
-    cols = ["fam", "blk", "chunk", "sig", "comp", "text"]
+    cols = ["fam", "blk", "chunk", "comp", "text"]
     rows = some.select(*cols, F.lit(True).alias("some")).unionByName(every.select(*cols, F.lit(False).alias("some")))
 
     def run(t: pa.Table) -> pa.Table:
         left, right = [], []
-        for some, sig, comp, text in zip(*(t.column(c).to_pylist() for c in ("some", "sig", "comp")), t.column("text").cast(pa.binary()).to_pylist()):
-            (left if some else right).append((sig, comp, text))
+        for some, comp, text in zip(*(t.column(c).to_pylist() for c in ("some", "comp")), t.column("text").cast(pa.binary()).to_pylist()):
+            (left if some else right).append((comp, text))
         return _link_batch(_forest(left, right, words, percent))
 
     return rows.groupBy("fam", "blk", "chunk").applyInArrow(run, "a binary, b binary")
 
 
-def _labels(family: DataFrame, links: DataFrame) -> DataFrame:
-    """``sig, g, n, fam, comp`` of every active set under the links so far."""
-    comp = components(links, "jaccard-components")
-    joined = family.join(comp.withColumnRenamed("node", "sig"), "sig", "left")
-    return saved(joined.select("sig", "g", "n", "fam", F.coalesce("comp", "sig").alias("comp")), "jaccard-labels")
-
-
 def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of sets in different families and components.
 
@@ -365,7 +388,7 @@ def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     met = met.where(F.col("m") + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1")) >= need)
     left = labels.select("g", "comp", F.col("sig").alias("a"))
     right = labels.select(F.col("g").alias("g2"), F.col("comp").alias("comp2"), F.col("sig").alias("b"))
-    return met.select("g", "comp", "g2", "comp2").join(left, ["g", "comp"]).join(right, ["g2", "comp2"]).select("a", "b").distinct()
+    return met.select("g", "comp", "g2", "comp2").join(left, ["g", "comp"]).join(right, ["g2", "comp2"]).select("a", "b", "comp", "comp2")
 
 
 ORACLE_OP4 = r"""

@@ -67,8 +67,11 @@ def test_packing_places_every_token_once(odd, library):
     assert pack(odd.where("false")).collect() == []
 
 
-def test_jaccard_components_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [256, 8])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, block):
+    from lakeledger.llm import jaccard_join
     from lakeledger.llm.jaccard_join import link_components
+    monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", block)
     import random
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(400)}" for _ in range(120)]
