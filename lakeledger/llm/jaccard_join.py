@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeledger.llm.common import components, saved
@@ -212,9 +212,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     several = members.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
     active = members.join(posts.select("g").unionByName(several).distinct(), "g")
     active = saved(active, "jaccard-active")
-    wanted = active.select(F.col("sig").alias("s"), "low_id")
-    texts = sets.join(wanted, (F.col("sig") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("low_id")))
-    texts = saved(texts.select("sig", "text").dropDuplicates(["sig"]), "jaccard-texts")
+    texts = saved(sets.groupBy("sig").agg(F.min("text").alias("text")).join(active.select("sig"), "sig"), "jaccard-texts")
 
     family = _families(posts, active, percent)
     near = _inside(family, texts, words, percent).select(F.col("a").alias("sig"), F.col("b").alias("comp"))
@@ -370,17 +368,21 @@ def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of sets in different families and components.
 
     Pairs of (group, component) classes that share postings, cut by size and
-    by the bound that the shared prefix keys leave, then expanded to sets.
+    by the bound that the shared prefix keys leave, then expanded to sets.  A
+    key's rank among its group's postings bounds the keys shared before it:
+    those that no other group has are no postings.
     """
-    marked = posts.join(labels.select("g", "fam", "comp").distinct(), "g")
+    ranked = posts.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("pos")).cast("long"))
+    marked = ranked.join(labels.select("g", "fam", "comp").distinct(), "g")
     open_ = marked.groupBy("key").agg(F.min("fam").alias("f0"), F.max("fam").alias("f1")).where("f0 <> f1").select("key")
-    marked = saved(marked.join(open_, "key").select("key", "g", "n", "pos", "fam", "comp"), "jaccard-open")
+    marked = saved(marked.join(open_, "key").select("key", "g", "n", "pos", "rank", "fam", "comp"), "jaccard-open")
     # The smaller set of a pair (g on ties) needs the first keys only.
     first = F.expr(f"n - ceil(2 * {percent} * n / (100.0 + {percent})) + 1")
-    other = marked.where(F.col("pos") < first).select("key", *[F.col(c).alias(c + "2") for c in ("g", "n", "pos", "fam", "comp")])
+    other = marked.where(F.col("pos") < first).select("key", *[F.col(c).alias(c + "2") for c in ("g", "n", "pos", "rank", "fam", "comp")])
     need = F.expr(f"cast(ceil({percent} * (n + n2) / (100.0 + {percent})) as long)")
     met = (marked.join(other, "key").where("fam <> fam2 and comp <> comp2 and (n2 < n or (n2 = n and g2 < g))")
            .where(similar_sizes("n", "n2", percent))
+           .where(F.expr("least(rank, rank2) + least(n - pos - 1, n2 - pos2 - 1)") >= need)
            .groupBy("g", "comp", "g2", "comp2").agg(
                F.count("*").alias("m"), F.first("n").alias("n"), F.first("n2").alias("n2"),
                F.max("pos").alias("pos"), F.max("pos2").alias("pos2")))
