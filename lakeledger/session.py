@@ -48,12 +48,14 @@ def get_spark(master: str | None = None, app: str = "lakeledger",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local runs, tests) do we create a
-    private scratch folder and record it in the session, so later calls
-    agree.  On a cluster the setting must point at shared storage.
+    Only a local session (tests) may name none; it gets a private scratch
+    folder, recorded in the session, so later calls agree.  A cluster without
+    the setting is an error: its machines would not see that folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="lakeledger-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root
