@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeledger.llm.common import components, saved
+from lakeledger.llm.common import bucketed, components, saved
 from lakeledger.llm.registry import register, table
 
 #: log2 of the cells of the shingle count table (one byte each when broadcast).
@@ -164,7 +164,14 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(comp, comp2)`` of the ``pairs(a, b, comp, comp2)`` that reach the threshold."""
+    """``(comp, comp2)`` of the ``pairs(a, b, comp, comp2)`` that reach the threshold.
+
+    The texts of the pairs' sets are picked from the buckets first, so that
+    no other text is shuffled for the two joins.
+    """
+    pairs = saved(pairs, "jaccard-pairs")
+    asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    texts = saved(texts.join(asked, "sig"), "jaccard-pair-texts")
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
 
@@ -212,7 +219,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     several = members.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
     active = members.join(posts.select("g").unionByName(several).distinct(), "g")
     active = saved(active, "jaccard-active")
-    texts = saved(sets.groupBy("sig").agg(F.min("text").alias("text")).join(active.select("sig"), "sig"), "jaccard-texts")
+    texts = bucketed(sets.groupBy("sig").agg(F.min("text").alias("text")).join(active.select("sig"), "sig"), "jaccard-texts", "sig")
 
     family = _families(posts, active, percent)
     near = _inside(family, texts, words, percent).select(F.col("a").alias("sig"), F.col("b").alias("comp"))
@@ -332,8 +339,9 @@ def _inside(family: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """
     sized = _sized(family)
     small = sized.groupBy("fam").agg(F.min("sig").alias("sig"), F.first("blocks").alias("blocks")).where("blocks > 1")
-    small = small.select("sig", "fam", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1"))).alias("blk"))
-    rows = sized.select("sig", "fam", "blk").unionByName(small).join(texts, "sig")
+    known = saved(small.select("sig").join(texts, "sig"), "jaccard-smallest")
+    small = small.select("sig", "fam", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1"))).alias("blk")).join(known, "sig")
+    rows = sized.select("sig", "fam", "blk").join(texts, "sig").unionByName(small)
 
     def run(t: pa.Table) -> pa.Table:
         rows = list(dict(zip(t.column("sig").to_pylist(), t.column("text").cast(pa.binary()).to_pylist())).items())
