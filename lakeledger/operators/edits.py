@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeledger.functions.empties import differs_flag, differs_text
 from lakeledger.functions.layers import detect_layer
@@ -87,7 +88,7 @@ def overlay(df: DataFrame, log: DataFrame, keys: list[str], drop: str = "falsy",
     out = []
     for c in df.columns:
         if c in fields:
-            out.append(F.coalesce(F.col(f"_e_{c}").cast(types[c]), F.col(c)).alias(c))
+            out.append(F.coalesce(F.col(f"_e_{c}").try_cast(types[c]), F.col(c)).alias(c))
         elif c == stamp:
             out.append(F.when(F.col("_hit"), iso_text("_last_edit")).otherwise(F.col(c)).alias(c))
         else:
@@ -119,7 +120,7 @@ def apply_edits(target: DataFrame, log: DataFrame, keys: list[str], now: str,
     out = []
     for c in target.columns:
         if c in fields:
-            e = F.coalesce(F.col(f"_e_{c}").cast(types[c]), F.col(c))
+            e = F.coalesce(F.col(f"_e_{c}").try_cast(types[c]), F.col(c))
         elif c == stamp:
             e = F.when(hit, F.lit(now)).otherwise(F.col(c))
         else:
@@ -132,11 +133,22 @@ def apply_edits(target: DataFrame, log: DataFrame, keys: list[str], now: str,
     return j.select(out)
 
 
-def consume_edits(log: DataFrame, up_to_seq) -> DataFrame:
-    """M9: the queue after applying everything up to ``up_to_seq``: only
-    later edits remain, so edits that arrived meanwhile are never lost."""
-    cut = up_to_seq if isinstance(up_to_seq, Column) else F.lit(up_to_seq)
-    return log.filter(F.col("seq") > cut)
+def bad_edits(log: DataFrame, schema: T.StructType) -> DataFrame:
+    """The edits whose value does not cast to the type of the field they set
+    (``overlay`` and ``apply_edits`` keep the stored value for these)."""
+    bad = F.lit(False)
+    for f in schema.fields:
+        bad = bad | ((F.col("field") == f.name) & F.col("value").try_cast(f.dataType).isNull())
+    return log.filter(F.col("value").isNotNull() & bad)
+
+
+def consume_edits(log: DataFrame, applied: DataFrame) -> DataFrame:
+    """M9: the queue without exactly the ``applied`` edits (rows of the log as
+    they were read for the apply).  All columns are compared: two appenders may
+    use the same ``seq``, and an edit that arrived meanwhile must stay,
+    whatever its ``seq`` or time."""
+    gone = applied.select(*[F.col(c).alias(f"_a_{c}") for c in log.columns])
+    return log.join(gone, [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in log.columns], "left_anti")
 
 
 def append_edits(log_path: str, edits: DataFrame, spark=None) -> int:

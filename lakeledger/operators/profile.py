@@ -28,14 +28,12 @@ Digest plan (``mode="digest"``): as exact, with long texts keyed by SHA-256.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeledger.sources.schema import BROADCAST_ROW_LIMIT, metadata_frame
+from lakeledger.sources.schema import metadata_frame, union_all
 
 # ---- fixed values ----------------------------------------------------------
 SAMPLE_COUNT = 5          # distinct values per column
@@ -206,8 +204,7 @@ def unpivot_typed(df: DataFrame, base: int, digest_over: int | None = None,
 def value_counts(slots: Slots, digest_over: int | None = None, width: int = SAMPLE_WIDTH) -> DataFrame:
     """``(col_id, kind, l, d, s, cnt)``: the shared grouped frame of all
     sources (plus ``dg, h`` with ``digest_over``)."""
-    long = reduce(DataFrame.unionByName,
-                  [unpivot_typed(df, slots.base[name], digest_over, width) for name, df in slots.sources.items()])
+    long = union_all([unpivot_typed(df, slots.base[name], digest_over, width) for name, df in slots.sources.items()])
     # ``kind`` depends on ``col_id`` only: it adds no groups, it is carried
     # so that samples can print each value as its original type would.
     if digest_over:
@@ -268,10 +265,6 @@ def _finish(slots: Slots, stats: DataFrame) -> DataFrame:
     """Drive the result from the column list (one row per column, so a
     zero-row table still yields its columns, with NULL statistics) and put
     the names back on the ids."""
-    # ``stats`` has at most one row per column, a count known here: under the
-    # limit it is broadcast (the column list must be the preserved side).
-    if len(slots.rows) <= BROADCAST_ROW_LIMIT:
-        stats = F.broadcast(stats)
     j = slots.frame().select("col_id", "table_name", "column_name", "ordinal_position") \
         .join(stats, "col_id", "left")
     has_rows = F.coalesce(F.col("row_count"), F.lit(0)) > 0
@@ -330,18 +323,13 @@ def profile_all(spark: SparkSession, sources: Mapping[str, DataFrame], mode: str
     if mode in ("exact", "digest"):
         stats = column_stats(counts)
     elif mode == "approx":
-        stats = reduce(DataFrame.unionByName,
-                       [_approx_stats(df, slots.base[name], rsd) for name, df in sources.items()
-                        if df.schema.fields], empty)
+        stats = union_all([empty, *(_approx_stats(df, slots.base[name], rsd) for name, df in sources.items()
+                                    if df.schema.fields)])
     else:
         raise ValueError(f"unknown profile mode {mode!r}")
     if with_samples:
-        # Every column with samples has a stats row, so a left join keeps all;
-        # the samples side has at most one row per column (a known count).
-        smp = samples_from_counts(counts, slots, n, width)
-        if len(slots.rows) <= BROADCAST_ROW_LIMIT:
-            smp = F.broadcast(smp)
-        stats = stats.join(smp, "col_id", "left")
+        # Every column with samples has a stats row, so a left join keeps all.
+        stats = stats.join(samples_from_counts(counts, slots, n, width), "col_id", "left")
     return _finish(slots, stats)
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeledger.functions.layers import EXCLUDE_PREFIXES, detect_layer, excluded
-from lakeledger.sources.schema import metadata_frame
+from lakeledger.sources.schema import metadata_frame, union_all
 
 LIVE_COLUMNS_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType(), False),
@@ -57,7 +57,7 @@ def _count_parts(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataF
     parts = [df.select(F.lit(name).alias("table_name"), F.lit(1).alias("one"),
                        F.lit(None).cast("int").alias("column_count"))
              for name, df in sources.items()]
-    return reduce(DataFrame.unionByName, parts, meta)
+    return union_all([meta, *parts])
 
 
 def row_counts(spark: SparkSession, sources: Mapping[str, DataFrame]) -> DataFrame:

@@ -62,19 +62,19 @@ EDITS_SCHEMA = T.StructType([
 ])
 
 
-# ---- fixed values ----------------------------------------------------------
-# Frames built on the driver from metadata (schemas, declared keys) carry an
-# exact row count; up to this many rows they are marked for broadcast.
-BROADCAST_ROW_LIMIT = 100_000
-# ---------------------------------------------------------------------------
-
-
 def metadata_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
-    """A small frame built on the driver from metadata.  Its size is known
-    (``len(rows)``), so it is broadcast only when that count is under the
-    limit; beyond it, joins are left to AQE's runtime sizes."""
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROW_LIMIT else df
+    """A small frame built on the driver from metadata (schemas, declared
+    keys).  It carries no join hint: Spark knows its size in bytes."""
+    return spark.createDataFrame(rows, schema)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by name as a balanced tree: a left-deep chain over thousands of
+    tables would be analysed again at every step."""
+    while len(frames) > 1:
+        pairs = zip(frames[::2], frames[1::2])
+        frames = [a.unionByName(b) for a, b in pairs] + frames[len(frames) // 2 * 2:]
+    return frames[0]
 
 
 def select_existing(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lakeledger.operators.edits import append_edits
+from lakeledger.operators.edits import append_edits, apply_edits, bad_edits, consume_edits
 from lakeledger.operators.profile import profile
 from lakeledger.operators.report import search_tables
 from lakeledger.operators.suggest import explode_replies, parse_replies
@@ -23,6 +23,23 @@ def test_an_unreadable_edit_log_is_not_an_empty_one(spark, tmp_path):
         append_edits(log, edits)
 
 
+def test_consume_drops_exactly_the_applied_edits(spark):
+    schema = "table_name string, column_name string, field string, value string, edited_at string, seq long"
+    read = [("t", None, "tags", "x", "2024-01-02", 5)]
+    late = [("t", None, "tags", "y", "2024-01-01", 5), ("u", None, "tags", None, "2024-01-02", 3)]
+    left = consume_edits(spark.createDataFrame(read + late, schema), spark.createDataFrame(read, schema))
+    assert sorted(map(tuple, left.collect())) == sorted(late)
+
+
+def test_an_edit_that_does_not_cast_is_reported_and_changes_nothing(spark):
+    target = spark.createDataFrame([("t", 7, "old", None)], "table_name string, row_count long, tags string, updated_at string")
+    log = spark.createDataFrame([("t", "row_count", "abc", "2024-01-01", 0), ("t", "tags", "new", "2024-01-01", 1)],
+                                "table_name string, field string, value string, edited_at string, seq long")
+    row = apply_edits(target, log, ["table_name"], "N").first()
+    assert (row.row_count, row.tags, row.updated_at) == (7, "new", "N")
+    assert [r.value for r in bad_edits(log, target.schema).collect()] == ["abc"]
+
+
 def test_writers_with_one_current_version_both_survive(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "cat")
     frame = spark.createDataFrame([(1,)], "a int")
