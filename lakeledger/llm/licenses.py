@@ -1,7 +1,8 @@
 """Licence recognition by sentences and ordered rules, in SQL functions only.
 
-A text is cut into sentences, each is normalised, and a sentence that equals
-a known licence sentence is replaced by its identifier.  The identifiers in
+A text is cut into sentences, over the line ends of wrapped text, each is
+normalised, and a sentence that equals a known licence sentence is replaced by
+its identifier.  The identifiers in
 text order form a sequence, and ordered rules (patterns over identifiers) are
 matched against it; the first rule that matches names the licence.
 """
@@ -63,24 +64,72 @@ RULES = [
 ]
 # -----------------------------------------------------------------------------
 
-#: A sentence ends at a line end, or at .;!? before white space.
-_ENDS = r"\n|[.;!?]+(?=[\x20\x09-\x0D]|$)"
+#: A sentence ends at .;!? before white space or at a line without letters and digits.  "v. 2" does not end one,
+#: nor does the semicolon inside the notices of the GNU licences.
+_ENDS = (r"\n(?=[^\p{L}\p{N}\n]*(?:\n|$))|(?!(?<=\s[vV])\.\s+\d)(?!(?<=(?i:software|foundation));[^a-zA-Z]{1,20}(?:you|either)\s)"
+         r"[.;!?]+(?=[\x20\x09-\x0D]|$)")
 #: Words that one of the sentence patterns needs; other sentences are left out early.
-_HINT = r"(?i)licen[cs]|permission|copyright|redistribut|rights reserved|warranty|free software|endorse|public domain|creative commons|either version"
+_HINT = (r"(?i)licen[cs]|permission|copyright|redistribut|rights\W+reserved|warranty|free\W+software|endorse|public\W+domain|creative\W+commons"
+         r"|either\W+version")
+
+#: What a name sentence may begin with.
+_SUBJECT = (r"(this|the) ((open |entire |whole )?(source|software|sample|example) )?(work|program|software|project|file|code|library|package|repository|"
+            r"module|script|tool|application|app|plugin|framework|document|documentation|data|dataset|text|article|book|page|site|website|content|"
+            r"material) (is|are|has been) (hereby )?")
+_NAMES = frozenset("mit-name apache-2-name gpl-3-name gpl-2-name lgpl-name bsd-name cc-by-nc-sa cc-by-nc cc-by-sa cc-by cc0 public-domain".split())
+#: The notices of the GNU licences, with the version where the same sentence names it.
+_FREE = r"^([a-z0-9]+ ){1,6}is free software you can redistribute it and or modify it under the terms of the "
+_LATER = r" public license([\s\S]*?either version [0-9]+( [0-9]+)? of the license or (at your option )?any later version)?.*$"
+NOTICES = {"gpl-free": _FREE + "gnu general" + _LATER, "lgpl-name": _FREE + "gnu (lesser|library) general" + _LATER,
+           "agpl-free": _FREE + "gnu affero general" + _LATER}
+#: Before RULES.
+NOTICE_RULES = [("AGPL", r"\|agpl-free\|")]
+
+
+def _wrapped(ident: str, pattern: str) -> str:
+    """A sentence pattern over the lines of a wrapped text: from a line's start to a line's end, over line ends between words."""
+    if ident in _NAMES:
+        bare = pattern.removeprefix("^").removeprefix("(this (work|program|software) is )?").removeprefix("(this work is )?")
+        if ident == "public-domain":
+            bare, subject = bare.removeprefix("this (work|software) is "), f"({_SUBJECT})"
+        else:
+            subject = f"({_SUBJECT})?"
+        pattern = f"^{subject}{bare.removesuffix('$')}( see .*)?$"
+    elif ident == "all-rights":
+        # Over line ends only where no other licence sentence can lie between.
+        other = r"(?!.*(licen[cs]|permission|redistribut|released|distributed|available|public domain))"
+        pattern = rf"^(c |copyright .* |copyright .*(\n{other}.*){{0,8}}? )?all rights reserved$"
+    elif ident == "bsd-endorse":
+        pattern = pattern.replace("of .* may", r"of [\s\S]*? may")
+    if not ident.endswith("-title"):
+        # A list's number or letter, as in (3) or c).
+        pattern = pattern.replace("^", r"^([0-9]{1,2} |[a-z] )?", 1)
+    return r"(?<!\bnot\n)(?<!\bnever\n)" + pattern.replace(" ", r"[ \n]").replace(".*", r"[^\n]*")
+
+
+_PATTERNS = [(i, _wrapped(i, p)) for i, p in (*NOTICES.items(), *SENTENCES.items())]
+_ANY = "(?m)" + "|".join(f"(?:{p})" for _, p in _PATTERNS)
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the text's known licence sentences, in text order."""
+    """Identifiers of the text's known licence sentences, in text order.
+
+    A sentence may begin and end at any line's start and end and may be
+    wrapped between them; a GNU notice that names a version has two
+    identifiers.
+    """
     found = F.filter(F.split(text, _ENDS), lambda s: s.rlike(_HINT))
-    plain = F.transform(found, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    plain = F.transform(found, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9\n]+", " "), " ?\n ?", "\n")))
+    parts = F.flatten(F.transform(plain, lambda s: F.regexp_extract_all(s, F.lit(_ANY), F.lit(0))))
 
     def name(s: Column) -> Column:
         out = None
-        for ident, pattern in SENTENCES.items():
+        for ident, pattern in _PATTERNS:
             out = F.when(s.rlike(pattern), ident) if out is None else out.when(s.rlike(pattern), ident)
-        return out
+        version = F.regexp_extract(s, r"either[ \n]version[ \n]([23])[ \n]of[ \n]the[ \n]license", 1)
+        return F.array(out, F.when((out == "gpl-free") & (version != ""), F.concat(F.lit("gpl-either-"), version)))
 
-    return F.filter(F.transform(plain, name), lambda s: s.isNotNull())
+    return F.filter(F.flatten(F.transform(parts, name)), lambda s: s.isNotNull())
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -94,7 +143,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("license_ids", F.when(text.rlike(_HINT), sentence_ids(text)).otherwise(nothing))
     seq = F.concat(F.lit("|"), F.array_join("license_ids", "|"), F.lit("|"))
     rule = None
-    for licence, pattern in RULES:
+    for licence, pattern in NOTICE_RULES + RULES:
         rule = F.when(seq.rlike(pattern), licence) if rule is None else rule.when(seq.rlike(pattern), licence)
     return out.withColumn("license", rule)
 

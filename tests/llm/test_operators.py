@@ -231,6 +231,44 @@ def test_licenses(spark):
     assert scan_licenses(out.where("false")).collect() == []
 
 
+def test_licenses_in_wrapped_texts(spark):
+    from lakeledger.llm.licenses import scan_licenses
+    gpl3 = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+            "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    lgpl = ["This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public",
+            "License as published by the Free Software Foundation; either", "version 3 of the License, or (at your option) any later version."]
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal",
+           "in the Software without restriction, subject to the following conditions:", "",
+           "The above copyright notice and this permission notice shall be included in all", "copies or substantial portions of the Software."]
+    bsd = ["Copyright (c) 2020, A. Writer", "All rights reserved.", "", "Redistribution and use in source and binary forms, with or without",
+           "modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the notice.",
+           "3. Neither the name of the copyright holder nor the names of its", "   contributors may be used to endorse or promote products derived from",
+           "   this software without specific prior written permission."]
+    cases = [
+        ("\n".join(gpl3), "GPL-3.0"), (" ".join(gpl3), "GPL-3.0"), ("/*\n * " + "\n * ".join(gpl3) + "\n */\nint x;", "GPL-3.0"),
+        ("\r\n".join(gpl3).replace("software: you", "software; you").replace("tion, either version 3", "tion; either version 2"), "GPL-2.0"),
+        ("\n".join(lgpl), "LGPL"), ("\n".join(gpl3).replace("GNU General", "GNU Affero General"), "AGPL"),
+        ("\n".join(mit), "MIT"), ("\n".join(bsd), "BSD-3-Clause"), ("\n".join(bsd[:6]), "BSD"),
+        ("Licensed under the Apache License,\nVersion 2.0 (the \"License\");\nyou may not use this file except in compliance.", "Apache-2.0"),
+        ("                Apache License\n          Version 2.0, January 2004\n", "Apache-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not", "MPL-2.0"),
+        ("This project is licensed under the MIT License.", "MIT"), ("This project is licensed under the\nMIT License - see the LICENSE file for details", "MIT"),
+        ("The source code is released under the MIT\nlicense.", "MIT"), ("This file is in the public\ndomain.", "Public-Domain"),
+        ("This dataset is licensed under\nCC BY-SA 4.0.", "CC-BY-SA"),
+        ("My library 1.0\nReleased under the MIT License\nHave fun", "MIT"), ("Copyright 2020 A\nReleased under the MIT License\nAll rights reserved", "MIT"),
+        # No licence: talk of one, a denial over a line end, and words on both sides of an empty line.
+        ("We talk of an MIT\nlicence here.", None), ("This file is not\nlicensed under the MIT License.", None),
+        ("This project is licensed\n\nunder the MIT License.", None), ("Copyright (c) 2020\nA, B and C, all rights\nreserved.", "All-Rights-Reserved"),
+    ]
+    out = scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    found = {r.doc_id: (cases[r.doc_id][0], r.license) for r in out.collect()}
+    assert [found[i] for i in range(len(cases))] == cases
+    lines = "Released under the MIT License\nReleased under the MIT License\nAll rights reserved"
+    assert scan_licenses(spark.createDataFrame([(lines,)], "text string")).first().license_ids == ["mit-name", "mit-name", "all-rights"]
+    # A long text without a sentence end.
+    assert scan_licenses(spark.createDataFrame([("copyright " + "word and\n" * 50_000,)], "text string")).first().license_ids == []
+
+
 def test_levenshtein_lexicon():
     from lakeledger.llm.toxicity import Lexicon
     lex = Lexicon({"idiot": 5.0, "vequ*": 4.0, "worthless": 3.0, "scum": 2.0})
