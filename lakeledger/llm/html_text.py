@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 The page becomes a DOM.  Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments are taken out by element, role and name.
+forms, scripts, styles and comments are taken out by element, role and name;
+by name only where the element holds neither the page's article nor most of
+its text outside links.
 Every remaining node has a link-adjusted density: characters per tag, scaled
 down by the share of characters and tags that belong to links.  The node
 whose children's densities have the largest sum is the article's body.  The
@@ -46,6 +48,10 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|adbox|sp
                    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?|"
                    r"footer|foot|header|masthead|comments?|commentlist|disqus|replies|respond|reactions|related|recommended|share|sharing|"
                    r"social|widget|toolbar|pagination|pager|search|skip|toc|tags|byline|outbrain|taboola)(?=$|[\s_-])", re.I)
+#: The rest of a name that says what a layout has or lacks: has-sidebar, no-comments.
+LAYOUT = re.compile(r"(?<![^\s_-])(?:has|with|no|without)[_-]\S*", re.I)
+#: Words of these beginnings mark lists that often hold article elements of their own.
+LISTS = ("ad", "sponsor", "promo", "comment", "disqus", "repl", "respond", "reactions", "related", "recommended", "outbrain", "taboola")
 # -----------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -54,7 +60,7 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone")
+    __slots__ = ("tag", "attrs", "parent", "items", "words", "own", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -113,7 +119,7 @@ def _close(at: Node, names: set[str], border: set[str]) -> Node:
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
-    """Whether an element is no main text; ``inside``: it lies in an article."""
+    """Whether an element is no main text, by element, role or style; ``inside``: it lies in an article."""
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED:
         return True
@@ -125,26 +131,76 @@ def boilerplate(node: Node, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if attrs.get("role", "").lower() in ROLES:
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return attrs.get("role", "").lower() in ROLES
+
+
+def boilerplate_words(node: Node, inside: bool) -> set[str]:
+    """The words of an element's class and id that mark boilerplate."""
+    if node.tag in ("html", "body", "main", "header") or not ("class" in node.attrs or "id" in node.attrs):
+        return set()
+    names = LAYOUT.sub("", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
     found = {x.group().strip(" _-\t\n").lower() for x in NAMES.finditer(names)}
-    if inside:
-        found -= {"header"}
-    return bool(found)
+    return found - {"header"} if inside else found
 
 
 def walk(root: Node) -> list[Node]:
     """All kept nodes, parents first."""
-    out, todo = [], [(root, False)]
+    nodes, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
         if boilerplate(node, inside):
             node.gone = True
             continue
-        out.append(node)
+        nodes.append(node)
+        node.words = boilerplate_words(node, inside)
+        node.own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
         inside = inside or node.tag in ("article", "main")
         todo += [(x, inside) for x in reversed(node.items) if isinstance(x, Node)]
+    if not any(n.words for n in nodes):
+        return nodes
+    spared = holders(nodes)
+    out, dropped = [], set()
+    for n in nodes:
+        if id(n.parent) in dropped or n.words and id(n) not in spared:
+            dropped.add(id(n))
+            n.gone = True
+        else:
+            out.append(n)
+    if not any(n.own for n in out):
+        # Names alone would leave nothing of the page.
+        for n in nodes:
+            n.gone = False
+        return nodes
+    return out
+
+
+def holders(nodes: list[Node]) -> set[int]:
+    """Elements that no name takes out: they hold the page's main element or article, or most of its text outside links."""
+    for n in nodes:
+        n.plain = n.own
+    for n in reversed(nodes):
+        if n.tag == "a":
+            n.plain = 0
+        if n is not nodes[0]:
+            n.parent.plain += n.plain
+
+    def lists(n: Node) -> bool:
+        return any(w.startswith(LISTS) for w in n.words)
+
+    marked = [n for n in nodes if n.tag in ("article", "main") and n.plain and not lists(n)]
+    articles = [n for n in marked if n.tag == "article"]
+    out = {id(a) for n in marked if n.tag == "main" for a in (n, *_above(n))}
+    if articles:
+        first = max(articles, key=lambda n: n.plain)
+        out |= {id(a) for a in (first, *_above(first)) if len(articles) == 1 or not lists(a)}
+    total = nodes[0].plain
+    for n in nodes:
+        if n.words and 2 * n.plain > total and id(n) not in out:
+            # A long list of comments beside a marked article is still one.
+            above = {id(a) for a in _above(n)}
+            beside = [m.plain - (n.plain if id(m) in above else 0) for m in marked if lists(n) and not any(a is n for a in (m, *_above(m)))]
+            if 4 * max(beside, default=0) <= total:
+                out.add(id(n))
     return out
 
 
@@ -155,7 +211,7 @@ def measure(nodes: list[Node]) -> list[Node]:
         n.chars = n.link_chars = n.link_tags = 0
         n.tags, n.total = 0, 0.0
     for n in reversed(nodes):
-        n.chars += sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
+        n.chars += n.own
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1
         if n is not top:
@@ -189,6 +245,11 @@ def main_nodes(root: Node) -> list[Node]:
         scope = nodes
         measure(scope)
     best = max(scope, key=lambda n: n.total)
+    # Elements with a name of boilerplate stay only where the best node is in them or holds them.
+    above = {id(a) for a in (best, *_above(best))}
+    for n in scope:
+        if n.words and id(n) not in above and not any(a is best for a in _above(n)):
+            n.gone = True
     marked = [a for a in (best, *_above(best)) if a.tag in ("article", "main")]
     if marked:
         return [marked[-1]]

@@ -177,6 +177,32 @@ def test_main_text(page, text):
     assert extract(page) == text
 
 
+LOREM = ("Lorem ipsum dolor sit amet, consectetur elit. " * 4).strip()
+NOTE = "<p>Nice.</p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    # Names of a layout that only mention a part.
+    *[(f"<body><div class='{c}'><h2>T</h2>{P}{P}</div><div class='menu'><a>h</a></div></body>", f"T\n{LOREM}\n{LOREM}")
+      for c in ("content has-sidebar", "post no-comments", "layout with_sidebar", "layout-without-left-sidebar", "page-sidebar-left", "main-menu-open")],
+    # The article or main element inside a named wrapper, also where other text is longer.
+    (f"<body><div class='layout-sidebar'><article>{P}</article></div><div>{NOTE}</div></body>", LOREM),
+    (f"<body><div id='comments-open'><main>{P}</main></div></body>", LOREM),
+    (f"<body><article class='post category-social'>{P}</article><div class='sidebar'>{NOTE}</div></body>", LOREM),
+    # Names still take out what is beside the article, articles of its own or not.
+    (f"<body><main><div>{P}{P}</div><div class='comments'><article>{NOTE}</article><article>{NOTE}</article></div></main></body>", f"{LOREM}\n{LOREM}"),
+    (f"<body><article>{P}{P}</article><div class='comments'>{P * 5}</div></body>", f"{LOREM}\n{LOREM}"),
+    (f"<body><article>{P}{P}<div class='related'>{NOTE}</div></article><div class='sidebar'><article>{NOTE}</article></div></body>", f"{LOREM}\n{LOREM}"),
+    (f"<body><div id='content'>{P}{P}</div><div class='comments'>{'<div class=comment>' + P + '</div>'}{'<div class=comment>' + P + '</div>'}"
+     f"{'<div class=comment>' + P + '</div>'}</div></body>", f"{LOREM}\n{LOREM}"),
+    # Three named parts of equal length are all that there is.
+    ("<body>" + f"<div class='widget'>{P}</div>" * 3 + "</body>", "\n".join([LOREM] * 3)),
+])
+def test_main_text_in_elements_named_like_boilerplate(page, text):
+    from lakeledger.llm.html_text import extract
+    assert extract(page) == text
+
+
 def test_main_text_keeps_rows_and_columns(spark):
     from lakeledger.llm.html_text import with_main_text
     pages = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, "<p>a</p>", "old"), (None, None, None)], "page_id long, html string, text string")
