@@ -4,8 +4,9 @@ The lexicon is learned from labelled training rows: stems (a word's beginning
 that only toxic texts use) and whole words.  Its trie is intersected with the
 Levenshtein automaton of the lexicon: a state is a set of (trie node, edits)
 pairs, built when first met and kept, so a word is read letter by letter and
-most words leave the automaton after a few letters.  Misspelled whole words
-match within one edit, or two from nine letters on; stems match exactly.
+most words leave the automaton after a few letters.  Misspelled words and
+stems match within one edit from five letters on, words within two from nine
+letters on; shorter entries match exactly.
 
 Every match is weighed by its context window: a match in quotation marks or
 beside a word of reporting counts as quotation, any other as abuse.  The sums
@@ -58,7 +59,7 @@ class Lexicon:
         """Entries ending in ``*`` are stems, others whole words."""
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, tuple[float, int]] = {}
-        self.stem: dict[int, float] = {}
+        self.stem: dict[int, tuple[float, int]] = {}
         for entry, weight in entries.items():
             at = 0
             name = entry.rstrip("*")
@@ -68,22 +69,20 @@ class Lexicon:
                     nxt = self.children[at][c] = len(self.children)
                     self.children.append({})
                 at = nxt
-            if entry.endswith("*"):
-                self.stem[at] = weight
-            else:
-                self.word[at] = (weight, 0 if len(name) < 5 else 1 if len(name) < 9 else 2)
-        self.edits = max((k for _, k in self.word.values()), default=0)
+            kind = self.stem if entry.endswith("*") else self.word
+            kind[at] = (weight, 0 if len(name) < 5 else 1 if len(name) < 9 else 2)
+        self.edits = max((k for _, k in (*self.word.values(), *self.stem.values())), default=0)
         self.forget()
 
     def forget(self) -> None:
-        self.states: list[tuple[dict[int, int], float]] = []
+        self.states: list[tuple[dict[int, int], float, float]] = []
         self.number: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.known: dict[str, tuple[float, float]] = {}
-        self.start = self._state({0: 0}, 0.0)
+        self.start = self._state({0: 0}, 0.0, 0.0)
 
-    def _state(self, nodes: dict[int, int], stem: float) -> int:
-        """Number of a state: least edits per node, closed under missing letters."""
+    def _state(self, nodes: dict[int, int], stem: float, near: float) -> int:
+        """Number of a state: least edits per node, closed under missing letters, and the best stems met, exact and misspelled."""
         todo = list(nodes.items())
         while todo:
             node, edits = todo.pop()
@@ -92,15 +91,22 @@ class Lexicon:
                     if nodes.get(nxt, self.edits + 1) > edits + 1:
                         nodes[nxt] = edits + 1
                         todo.append((nxt, edits + 1))
-        key = frozenset([*nodes.items(), (-1, stem)])
+        for node, edits in nodes.items():
+            if node in self.stem:
+                weight, most = self.stem[node]
+                if edits == 0:
+                    stem = max(stem, weight)
+                elif edits <= most:
+                    near = max(near, weight)
+        key = frozenset([*nodes.items(), (-1, stem), (-2, near)])
         if key not in self.number:
             self.number[key] = len(self.states)
-            self.states.append((nodes, stem))
+            self.states.append((nodes, stem, near))
             self.steps.append({})
         return self.number[key]
 
     def _step(self, state: int, c: str) -> int:
-        nodes, stem = self.states[state]
+        nodes, stem, near = self.states[state]
         out: dict[int, int] = {}
         for node, edits in nodes.items():
             nxt = self.children[node].get(c)
@@ -110,10 +116,7 @@ class Lexicon:
                 for other in [node, *self.children[node].values()]:
                     if out.get(other, self.edits + 1) > edits + 1:
                         out[other] = edits + 1
-        for node, edits in out.items():
-            if edits == 0 and node in self.stem:
-                stem = max(stem, self.stem[node])
-        got = self._state(out, stem) if out or stem else -1
+        got = self._state(out, stem, near) if out or stem or near else -1
         self.steps[state][c] = got
         return got
 
@@ -128,8 +131,7 @@ class Lexicon:
             if nxt < 0:
                 return 0.0, 0.0
             state = nxt
-        nodes, exact = self.states[state]
-        near = 0.0
+        nodes, exact, near = self.states[state]
         for node, edits in nodes.items():
             if node in self.word:
                 weight, most = self.word[node]

@@ -304,6 +304,16 @@ def test_levenshtein_lexicon():
     assert lex.features('he called you an "idiot" there')[2] > 0 == lex.features("you idiot there")[2]
 
 
+def test_levenshtein_stems():
+    from lakeledger.llm.toxicity import Lexicon
+    lex = Lexicon({"idiot*": 5.0, "vequ*": 4.0, "clown": 3.0})
+    for word, want in {"idiot": (5.0, 0.0), "idiotic": (5.0, 0.0), "idi0t": (0.0, 5.0), "idi0ts": (0.0, 5.0), "1diotic": (0.0, 5.0), "iidiots": (0.0, 5.0),
+                       "idotic": (0.0, 5.0), "id10tic": (0.0, 0.0), "vequaire": (4.0, 0.0), "vaquaire": (0.0, 0.0), "cl0wn": (0.0, 3.0),
+                       "cl0wns": (0.0, 0.0), "other": (0.0, 0.0), "": (0.0, 0.0)}.items():
+        assert lex.read(word) == want, word
+    assert Lexicon({"idiot*": 5.0}).read("idi0ts") == (0.0, 5.0)
+
+
 def test_toxicity_on_held_out_rows(spark):
     from lakeledger.llm.toxicity import scored
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
