@@ -9,7 +9,7 @@ that are still too large take part in the next step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeledger.llm.common import saved
@@ -19,6 +19,8 @@ from lakeledger.llm.registry import register, table
 HASH_BITS = 60
 #: Bits that one pass over the rows adds to the directory.
 STEP = 12
+#: Rows of one hash whose running sum one task makes, about.
+BLOCK = 10_000
 
 
 def hash_bits(key: str):
@@ -32,9 +34,10 @@ def shards(rows: DataFrame, key: str, n_bytes: str, limit: int) -> DataFrame:
     Adds ``shard_depth`` (bits of the prefix), ``shard_prefix`` (their value)
     and ``shard_part``.  ``n_bytes`` names a column with the row's size, NULL
     counting 0.  Rows with one hash cannot be split by bits: if together they
-    exceed the limit, they are dealt in parts by a row number drawn from the
-    read order, ``shard_part`` 0, 1, ... (0 everywhere else); such a part holds
-    its expected share, and a single row over the limit is a shard of its own.
+    exceed the limit, they are laid end to end and cut at its multiples: the
+    rows between two cuts are one part, a row across a cut is a part of its
+    own (``shard_part``, 0 everywhere else).  So only a single row that is
+    larger itself is over the limit.
     NULL keys count as the empty text.  All rows and columns stay.
     """
     base = rows.withColumn("__h", hash_bits(key)).withColumn("__s", F.coalesce(F.col(n_bytes), F.lit(0)).cast("long"))
@@ -59,13 +62,30 @@ def shards(rows: DataFrame, key: str, n_bytes: str, limit: int) -> DataFrame:
         depth = deep
         if depth >= HASH_BITS or todo.isEmpty():
             break
-    parts = F.when((F.col("depth") == HASH_BITS) & (F.col("s") > limit), F.least(F.col("m"), F.ceil(F.col("s") / limit))).otherwise(1)
-    directory = saved(found.select(F.col("h").alias("__h"), "depth", parts.alias("__parts")), "shard-directory")
-    return (base.withColumn("__i", F.monotonically_increasing_id()).join(directory, "__h")
-            .withColumn("shard_depth", F.col("depth").cast("int"))
-            .withColumn("shard_prefix", F.expr(f"shiftright(__h, {HASH_BITS} - depth)"))
-            .withColumn("shard_part", F.pmod(F.col("__i"), F.col("__parts")).cast("int"))
-            .drop("__h", "__s", "__i", "__parts", "depth"))
+    over = (F.col("depth") == HASH_BITS) & (F.col("s") > limit)
+    blocks = F.when(over, F.ceil(F.col("m") / BLOCK)).otherwise(0)
+    directory = saved(found.select(F.col("h").alias("__h"), "depth", blocks.alias("__blocks")), "shard-directory")
+
+    def placed(part_rows: DataFrame) -> DataFrame:
+        return (part_rows.withColumn("shard_depth", F.col("depth").cast("int"))
+                .withColumn("shard_prefix", F.expr(f"shiftright(__h, {HASH_BITS} - depth)"))
+                .withColumn("shard_part", F.col("__part").cast("int"))
+                .select(*[c for c in rows.columns if c not in ("shard_depth", "shard_prefix", "shard_part")], "shard_depth", "shard_prefix", "shard_part"))
+
+    hot = directory.where("__blocks > 0")
+    if hot.isEmpty():
+        return placed(base.join(directory, "__h").withColumn("__part", F.lit(0)))
+    # Running sums within blocks, then over the blocks of a hash; saved, so that one numbering of the rows serves both.
+    dealt = (base.withColumn("__i", F.monotonically_increasing_id()).join(hot, "__h")
+             .withColumn("__b", F.pmod(F.xxhash64("__i"), F.col("__blocks"))))
+    dealt = saved(dealt.withColumn("__end", F.sum("__s").over(Window.partitionBy("__h", "__b").orderBy("__i"))), "shard-blocks")
+    sums = dealt.groupBy("__h", "__b").agg(F.sum("__s").alias("__sum"))
+    sums = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy("__h").orderBy("__b")) - F.col("__sum")).drop("__sum")
+    cut = dealt.join(sums, ["__h", "__b"]).withColumn("__end", F.expr("__end + __before"))
+    first, last = f"(__end - __s) div {int(limit)}", f"greatest(__end - 1, __end - __s) div {int(limit)}"
+    cut = cut.withColumn("__part", F.expr(f"2 * ({first}) + if({first} = {last}, 0, 1)"))
+    rest = base.join(directory.where("__blocks = 0"), "__h").withColumn("__part", F.lit(0))
+    return placed(rest).unionByName(placed(cut))
 
 
 def write_shards(rows: DataFrame, path: str, key: str, n_bytes: str, limit: int) -> None:

@@ -246,6 +246,19 @@ def test_shards_fit_their_limit(spark, odd):
     assert shards(rows.where("false"), "doc_id", "size", 40).collect() == []
 
 
+def test_shards_of_one_key_fit_their_limit(spark, monkeypatch):
+    from lakeledger.llm import sharding
+    monkeypatch.setattr(sharding, "BLOCK", 20)
+    sizes = [(i * 37) % 90 for i in range(300)] + [0, 0, None, 100, 250]
+    rows = spark.createDataFrame([(i, "a" if i % 10 else f"b{i}", n) for i, n in enumerate(sizes)], "id long, source string, size int").repartition(5)
+    out = sharding.shards(rows, "source", "size", 100).collect()
+    assert sorted(r.id for r in out) == list(range(len(sizes)))
+    sums = {}
+    for r in out:
+        sums.setdefault((r.shard_depth, r.shard_prefix, r.shard_part), []).append(r["size"] or 0)
+    assert all(sum(s) <= 100 or len(s) == 1 for s in sums.values())
+
+
 def test_licenses(spark):
     from lakeledger.llm.licenses import scan_licenses
     rows = [(1, "Intro.\nReleased under the MIT License.\nrest", "z"), (2, None, "z"), (3, "", None), (4, "We talk of an MIT licence here.", "z"),
