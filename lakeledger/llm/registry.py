@@ -27,4 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import the modules that register queries."""
     from lakeledger.llm import (  # noqa: F401
-        bpe, html_text, jaccard_join, licenses, mtree, packing, quality, sharding, toxicity, warc)
+        bpe, collocations, html_text, jaccard_join, licenses, mtree, packing, periodic, quality, sharding, simhash,
+        toxicity, warc)
