@@ -11,7 +11,9 @@ that ends with it.
 A stripe of a frequent word grows with the vocabulary, so stripes are cut into
 SEGMENTS by the next word's hash; a segment is the unit that is shuffled and
 merged, and merging streams over sorted rows.  A task sends one row per
-prefix and segment, however often a phrase occurs in its texts.
+prefix and segment, however often a phrase occurs in its texts.  A segment
+that still holds more than MERGE different words is not kept in one task: its
+sums so far are sent on, entry by entry, and added up by their full key.
 
 Stripes of two words are counted in a second pass over the texts, only where
 both of their word pairs may be frequent: a bitmap of 2**BITMAP_BITS cells
@@ -34,12 +36,12 @@ from lakeledger.llm.common import saved
 from lakeledger.llm.registry import register, table
 
 #: Segments of a stripe.
-SEGMENTS = 32
+SEGMENTS = 8
 #: log2 of the cells that mark frequent word pairs.
 BITMAP_BITS = 27
 #: Tokens counted at a time, entries and words that a task holds before it sends its stripes.
 TOKENS, ENTRIES, WORDS = 1 << 18, 1 << 21, 1 << 20
-#: Entries merged at a time.
+#: Entries merged at a time; a segment with more distinct next words is added up entry by entry.
 MERGE = 1 << 19
 
 _SHIFT, _BREAK = 21, 0
@@ -48,7 +50,7 @@ _MASK = (1 << _SHIFT) - 1
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
 _STRIPE = "lang string, prefix string, seg int, next array<string>, n array<bigint>"
-_MERGED = "lang string, prefix string, seg int, total bigint, next array<string>, n array<bigint>"
+_MERGED = "lang string, prefix string, seg int, total bigint, next array<string>, n array<bigint>, open boolean"
 
 
 class _Words(dict):
@@ -170,8 +172,8 @@ def stripes(docs: DataFrame, order: int, frequent: Callable[[], np.ndarray] | No
     return docs.select("lang", "text").mapInArrow(count, _STRIPE)
 
 
-def merged(found: DataFrame, least: int) -> DataFrame:
-    """Stripes merged elementwise: a row per segment with its total and its entries of ``least`` or more."""
+def merged(found: DataFrame, least: int, name: str) -> DataFrame:
+    """Stripes merged elementwise: rows per segment with their total and their entries of ``least`` or more."""
     def same(t: pa.Table) -> np.ndarray:
         """Whether a row has the key of the row before."""
         out = np.ones(max(0, t.num_rows - 1), bool)
@@ -199,26 +201,46 @@ def merged(found: DataFrame, least: int) -> DataFrame:
                 .append_column("n", pa.ListArray.from_arrays(offsets, pa.array(n[keep]))))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        def rows(t: pa.Table, least: int, open_: bool) -> Iterator[pa.RecordBatch]:
+            t = add(t, least)
+            yield from t.append_column("open", pa.array(np.full(t.num_rows, open_))).to_batches()
+
+        # wide: the segment coming last has been sent in part already.
+        held, size, wide = [], 0, False
         for batch in batches:
-            # Row by row where few long lists fill a batch.
             size += pc.sum(pc.list_value_length(batch.column("next"))).as_py() or 0
             held.append(batch)
             if size < MERGE:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            ends = np.flatnonzero(~same(t))
-            open_ = int(ends[-1]) + 1 if len(ends) else 0
-            if open_:
-                yield from add(t.slice(0, open_), least).to_batches()
-            # The segment still coming is added up, none of its entries dropped.
-            rest = add(t.slice(open_), 0).select(["lang", "prefix", "seg", "next", "n"])
-            held = rest.to_batches()
-            size = 0
+            ends = np.flatnonzero(~same(t)) + 1
+            if len(ends):
+                done = int(ends[0]) if wide else 0
+                yield from rows(t.slice(0, done), 0, True) if wide else ()
+                yield from rows(t.slice(done, int(ends[-1]) - done), least, False) if ends[-1] > done else ()
+                t, wide = t.slice(int(ends[-1])), False
+            t = add(t, 0)
+            size = pc.sum(pc.list_value_length(t.column("next"))).as_py()
+            held = t.select(["lang", "prefix", "seg", "next", "n"]).to_batches()
+            if 2 * size > MERGE:
+                yield from rows(pa.Table.from_batches(held), 0, True)
+                held, size, wide = held[0:0], 0, True
         if held:
-            yield from add(pa.Table.from_batches(held).combine_chunks(), least).to_batches()
-
-    return found.repartition("lang", "prefix", "seg").sortWithinPartitions("lang", "prefix", "seg").mapInArrow(merge, _MERGED)
+            t = pa.Table.from_batches(held).combine_chunks()
+            ends = np.flatnonzero(~same(t)) + 1
+            done = (int(ends[0]) if len(ends) else t.num_rows) if wide else 0
+            yield from rows(t.slice(0, done), 0, True) if done else ()
+            yield from rows(t.slice(done), least, False) if done < t.num_rows else ()
+
+    sorted_ = found.repartition("lang", "prefix", "seg").sortWithinPartitions("lang", "prefix", "seg")
+    out = saved(sorted_.mapInArrow(merge, _MERGED), name)
+    part = (out.where("open").select("lang", "prefix", "seg", F.explode(F.arrays_zip("next", "n")).alias("e"))
+            .groupBy("lang", "prefix", "seg", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n")))
+    none = F.filter(F.array("next"), lambda x: F.lit(False))
+    enough = F.col("n") >= least
+    return out.where("not open").drop("open").unionByName(part.select(
+        "lang", "prefix", "seg", F.col("n").alias("total"), F.when(enough, F.array("next")).otherwise(none).alias("next"),
+        F.when(enough, F.array("n")).otherwise(F.array().cast("array<bigint>")).alias("n")))
 
 
 def _entries(stripes_: DataFrame) -> DataFrame:
@@ -258,12 +280,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     one without candidates, gives no row.
     """
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
-    first = saved(merged(stripes(src, 1), least), "stripes-one")
+    first = merged(stripes(src, 1), least, "stripes-one")
     every = first.groupBy("lang", "prefix").agg(F.sum("total").alias("f"))
     words = saved(every.where(F.col("f") >= least), "stripes-words")
     totals = first.groupBy("lang").agg(F.sum("total").alias("n"))
     pairs = saved(_entries(first), "stripes-pairs")
-    second = merged(stripes(src, 2, pair_bitmap(pairs)), least)
+    second = merged(stripes(src, 2, pair_bitmap(pairs)), least, "stripes-two")
     triples = saved(_entries(second).select("lang", "prefix", "next", "a", F.substring_index("prefix", " ", 1).alias("w1"),
                                             F.concat_ws(" ", F.substring_index("prefix", " ", -1), "next").alias("rest")), "stripes-triples")
     phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
@@ -292,8 +314,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
              .select("lang", "phrase", "a", *(F.when(F.col("s1") <= F.col("s2"), F.col(x + "1")).otherwise(F.col(x + "2")).alias(y)
                                               for x, y in (("l", "l"), ("r", "r"), ("s", "score")))))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE_OP12 = """
