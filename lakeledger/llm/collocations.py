@@ -41,6 +41,8 @@ SEGMENTS = 8
 BITMAP_BITS = 27
 #: Tokens counted at a time, entries and words that a task holds before it sends its stripes.
 TOKENS, ENTRIES, WORDS = 1 << 18, 1 << 21, 1 << 20
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: Entries merged at a time; a segment with more distinct next words is added up entry by entry.
 MERGE = 1 << 19
 
@@ -313,16 +315,19 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
              .withColumns({"s1": exact("l1", "r1"), "s2": exact("l2", "r2")})
              .select("lang", "phrase", "a", *(F.when(F.col("s1") <= F.col("s2"), F.col(x + "1")).otherwise(F.col(x + "2")).alias(y)
                                               for x, y in (("l", "l"), ("r", "r"), ("s", "score")))))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # The first ranks of each part of a language before those of the language: no task sees all its phrases.
+    by = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    scored = two.unionByName(three).withColumn("part", F.pmod(F.hash("phrase"), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= top)
+    return scored.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE_OP12 = """
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
-g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS phrase
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
       FROM w, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k),
 f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
@@ -335,8 +340,8 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3
       UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
 kept AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2 WHERE coalesce(100 * longer < 50 * a, true)),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
-SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, ranked.r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
 """
 
 
