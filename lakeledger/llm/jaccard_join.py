@@ -18,9 +18,11 @@ are compared in blocks of bounded size by one matrix product a block.  Every
 block also holds the family's smallest set, so blocks that link to it share a
 label without a further pass.  Blocks then meet only the sets that are not yet
 in their family's main component, and send back links between labels.
-Candidate pairs across families are all examined one by one.  No link between
-components is lost, and a family of thousands of near copies costs a few rows
-per copy.
+Candidate pairs across families stay pairs of classes (one group's sets in one
+component): small ones are verified set by set, larger ones in blocks by the
+same matrix product, each block answering for its two components.  No link
+between components is lost, and a family of thousands of near copies costs a
+few rows per copy.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ ORDER_BITS = 24
 BLOCK = 1 << 16
 #: Words kept by a task's word-hash memory before it is emptied.
 WORD_CACHE = 1_000_000
-#: Sets in a block of a family, about.
+#: Sets in a block of a family or class, about.
 FAMILY_BLOCK = 256
+#: Member pairs of a pair of classes that are verified one by one; classes with more meet in blocks.
+SINGLE_PAIRS = 16
 
 
 class _WordHash(dict):
@@ -225,7 +229,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = _inside(family, texts, words, percent).select(F.col("a").alias("sig"), F.col("b").alias("comp"))
     labels = saved(family.join(near, "sig", "left").select("sig", "g", "n", "fam", F.coalesce("comp", "sig").alias("comp")), "jaccard-labels")
     rest = _rest(labels, texts, words, percent)
-    far = verified(_crossing(posts, labels, percent), texts, words, percent)
+    far = _across(_crossing(posts, labels, percent), labels, texts, words, percent)
     merged = components(rest.unionByName(far), "jaccard-components").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
 
     named = members.join(labels.select("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -373,11 +377,10 @@ def _rest(labels: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
 
 def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs of sets in different families and components.
+    """All candidate pairs ``(g, comp, g2, comp2)`` of classes in different families and components.
 
     Pairs of (group, component) classes that share postings, cut by size and
-    by the bound that the shared prefix keys leave, then expanded to sets.  A
-    key's rank among its group's postings bounds the keys shared before it:
+    by the bound that the shared prefix keys leave.  A key's rank among its group's postings bounds the keys shared before it:
     those that no other group has are no postings.
     """
     ranked = posts.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("pos")).cast("long"))
@@ -396,9 +399,44 @@ def _crossing(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                F.max("pos").alias("pos"), F.max("pos2").alias("pos2")))
     # Shared keys after the last one met lie behind both positions.
     met = met.where(F.col("m") + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1")) >= need)
+    return met.select("g", "comp", "g2", "comp2")
+
+
+def _across(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(comp, comp2)`` between the classes of the candidate pairs ``met``.
+
+    A pair of classes of m and m2 sets costs m * ceil(m2 / FAMILY_BLOCK) +
+    m2 * ceil(m / FAMILY_BLOCK) rows, never m * m2.
+    """
+    sizes = labels.groupBy("g", "comp").agg(F.count("*").alias("m"))
+    other = sizes.select(F.col("g").alias("g2"), F.col("comp").alias("comp2"), F.col("m").alias("m2"))
+    met = saved(met.join(sizes, ["g", "comp"]).join(other, ["g2", "comp2"]).withColumn("pair", F.xxhash64("g", "comp", "g2", "comp2")), "jaccard-met")
     left = labels.select("g", "comp", F.col("sig").alias("a"))
     right = labels.select(F.col("g").alias("g2"), F.col("comp").alias("comp2"), F.col("sig").alias("b"))
-    return met.select("g", "comp", "g2", "comp2").join(left, ["g", "comp"]).join(right, ["g2", "comp2"]).select("a", "b", "comp", "comp2")
+    few = met.where(F.col("m") * F.col("m2") <= SINGLE_PAIRS).select("g", "comp", "g2", "comp2")
+    single = verified(few.join(left, ["g", "comp"]).join(right, ["g2", "comp2"]).select("a", "b", "comp", "comp2"), texts, words, percent)
+
+    many = met.where(F.col("m") * F.col("m2") > SINGLE_PAIRS)
+    blocks, blocks2 = (F.ceil(F.col(m) / FAMILY_BLOCK).cast("int") for m in ("m", "m2"))
+
+    def side(members: DataFrame, keys: list[str], sig: str, comp: str, own: tuple, met_: tuple, first: bool) -> DataFrame:
+        """Members with their block among ``own`` blocks, once for each block they meet."""
+        rows = many.join(members, keys).select(
+            "pair", F.col(comp).alias("comp"), F.col(sig).alias("sig"), F.pmod(F.hash(sig), own[1]).alias(own[0]),
+            F.explode(F.sequence(F.lit(0), met_[1] - 1)).alias(met_[0]))
+        return rows.withColumn("first", F.lit(first))
+
+    i, j = ("i", blocks), ("j", blocks2)
+    rows = side(left, ["g", "comp"], "a", "comp", i, j, True).unionByName(side(right, ["g2", "comp2"], "b", "comp2", j, i, False))
+
+    def run(t: pa.Table) -> pa.Table:
+        both = ([], [])
+        for first, comp, text in zip(*(t.column(c).to_pylist() for c in ("first", "comp")), t.column("text").cast(pa.binary()).to_pylist()):
+            both[not first].append((comp, text))
+        return _link_batch(_forest(*both, words, percent))
+
+    blocked = rows.join(texts, "sig").select("pair", "i", "j", "first", "comp", "text").groupBy("pair", "i", "j").applyInArrow(run, "a binary, b binary")
+    return single.unionByName(blocked)
 
 
 ORACLE_OP4 = r"""

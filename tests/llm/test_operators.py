@@ -67,11 +67,12 @@ def test_packing_places_every_token_once(odd, library):
     assert pack(odd.where("false")).collect() == []
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, single", [(256, 16), (8, 0)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, block, single):
     from lakeledger.llm import jaccard_join
     from lakeledger.llm.jaccard_join import link_components
     monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SINGLE_PAIRS", single)
     import random
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(400)}" for _ in range(120)]
@@ -103,6 +104,22 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_large_classes_meet_in_blocks(spark, monkeypatch, linked):
+    """Two classes of 60 sets that share a passage: no row for each pair, and the one link is found."""
+    from lakeledger.llm import jaccard_join
+    monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", 16)
+    shared = [f"s{i}" for i in range(40)]
+    text = {(c, k): " ".join(shared + [f"{c}{k}x{i}" for i in range(40)]) for c in "pq" for k in range(60)}
+    if linked:
+        text["q", 59] = text["p", 7] + " more"
+    labels = spark.createDataFrame([(c.encode(), c.encode(), f"{c}{k}".encode()) for c, k in text], "g binary, comp binary, sig binary")
+    texts = spark.createDataFrame([(f"{c}{k}".encode(), t) for (c, k), t in text.items()], "sig binary, text string")
+    met = spark.createDataFrame([(b"p", b"p", b"q", b"q")], "g binary, comp binary, g2 binary, comp2 binary")
+    links = jaccard_join._across(met, labels, texts, 4, 85)
+    assert {(bytes(r.a), bytes(r.b)) for r in links.collect()} == ({(b"q", b"p")} if linked else set())
+
+
 def test_jaccard_empty_table(odd):
     from lakeledger.llm.jaccard_join import link_components
     assert link_components(odd.where("false")).collect() == []
