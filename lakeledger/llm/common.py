@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Folders of local sessions without a shared one, by application.
 _OWN: dict[str, str] = {}
+#: Where tables made by ``saved`` lie.
+_SAVED: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,7 +48,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SAVED[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``saved`` once nothing reads them: what was derived from them is saved too."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_SAVED.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -93,7 +105,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(cur)
         cur = saved(small, name)
+        discard(large)
         now = _digest(cur)
         if now == seen:
             break

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeledger.llm.common import bucketed, components, saved
+from lakeledger.llm.common import bucketed, components, discard, saved
 from lakeledger.llm.registry import register, table
 
 #: log2 of the cells of the shingle count table (one byte each when broadcast).
@@ -216,9 +216,10 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # One posting per group and prefix key; keys of one group only are dropped.
     groups = sets.groupBy("g").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     posts = groups.select("g", "n", F.posexplode("prefix").alias("pos", "key"))
-    posts = saved(posts, "jaccard-postings")
-    shared = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    posts = saved(posts.join(shared, "key").select("key", "g", "n", "pos"), "jaccard-shared")
+    every = saved(posts, "jaccard-postings")
+    shared = every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    posts = saved(every.join(shared, "key").select("key", "g", "n", "pos"), "jaccard-shared")
+    discard(every)
     # Sets that can meet another one: their group shares a key or has several sets.
     several = members.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
     active = members.join(posts.select("g").unionByName(several).distinct(), "g")
@@ -256,7 +257,9 @@ def _families(posts: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     best = met.groupBy("g").agg(F.max(F.struct("m", "b")).alias("best")).select(F.col("g").alias("a"), F.col("best.b").alias("b"))
     root = _roots(best).select(F.col("a").alias("g"), F.col("b").alias("fam"))
     joined = active.join(root, "g", "left").select("sig", "g", "n", F.coalesce("fam", "g").alias("fam"))
-    return saved(joined, "jaccard-family")
+    family = saved(joined, "jaccard-family")
+    discard(lead)
+    return family
 
 
 def _roots(parent: DataFrame) -> DataFrame:
@@ -268,10 +271,10 @@ def _roots(parent: DataFrame) -> DataFrame:
     cur = saved(parent, "jaccard-leaders")
     while True:
         up = cur.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        cur = saved(cur.select("a", "b").join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "jaccard-leaders")
+        was, cur = cur, saved(cur.select("a", "b").join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "jaccard-leaders")
+        discard(was)
         if cur.where("moved").isEmpty():
             return cur.select("a", "b")
-        cur = cur.select("a", "b")
 
 
 def _sized(family: DataFrame) -> DataFrame:
