@@ -43,7 +43,7 @@ from lakeledger.llm.registry import register, table
 ORDER_BITS = 24
 BLOCK = 1 << 16
 #: Words kept by a task's word-hash memory before it is emptied.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 1 << 18
 #: Sets in a block of a family or class, about.
 FAMILY_BLOCK = 256
 #: Member pairs of a pair of classes that are verified one by one; classes with more meet in blocks.
@@ -98,9 +98,10 @@ def shingle_order(docs: DataFrame, words: int) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, known, any_ = np.zeros(1 << ORDER_BITS, np.uint32), _WordHash(), False
         for b in batches:
-            for h in _sets(b, 0, words, known):
-                cells[(h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] += 1
-                any_ = True
+            for lo in range(0, b.num_rows, 512):
+                for h in _sets(b.slice(lo, 512), 0, words, known):
+                    cells[(h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] += 1
+                    any_ = True
         if any_:
             salt = xxhash.xxh3_64_intdigest(cells[:4096].tobytes()) % 32
             for lo in range(0, len(cells), BLOCK * 16):
