@@ -1,17 +1,21 @@
 """End-to-end catalogue workflows over a snapshot store.
 
-Each workflow reads the latest snapshots, builds one lazy plan from the
-operators and commits new snapshots; nothing passes through the driver but
-schemas and version numbers.
+Each workflow reads one committed state, builds one lazy plan from the
+operators and commits table rows and column rows together
+(``sources.store.transact``): a workflow that another writer overtook is
+computed again on the new state.  Nothing passes through the driver but
+schemas, file names and version numbers.
 
 - ``refresh``        scan sources -> preserve user fields -> upsert -> commit
 - ``refresh_stats``  profile sources -> attach statistics to column rows -> commit
 - ``cleanup``        drop stale tables (with their columns) and orphan columns -> commit
-- ``apply_queued``   apply the edit log up to a cut-off -> commit; returns the cut-off
+- ``apply_queued``   apply the queued edits -> commit; returns what was applied
+- ``consume_queue``  clear what was applied from the queue
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -22,22 +26,35 @@ from lakeledger.functions.layers import EXCLUDE_PREFIXES
 from lakeledger.operators.edits import apply_edits
 from lakeledger.operators.profile import attach_stats, profile_all
 from lakeledger.operators.reconcile import delete_stale, preserve_columns, preserve_tables, upsert
-from lakeledger.sources import store
+from lakeledger.session import scratch_path
+from lakeledger.sources import edit_log, store
+from lakeledger.sources.commits import remove
 from lakeledger.sources.scan import scan
 from lakeledger.sources.schema import COLUMN_KEYS, COLUMNS_SCHEMA, TABLE_KEYS, TABLES_SCHEMA
 
 
 @dataclass
 class RefreshResult:
+    version: int
     tables_version: int
     columns_version: int
     errors: DataFrame
 
 
-def _stored(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    store.ensure_catalogue(spark, root)
-    return (store.load(spark, root, store.TABLES, TABLES_SCHEMA),
-            store.load(spark, root, store.COLUMNS, COLUMNS_SCHEMA))
+@dataclass(frozen=True)
+class AppliedEdits:
+    """What ``apply_queued`` did: the catalogue commit, the queue state it read and its time cut-off."""
+    version: int
+    queue: edit_log.QueueRead
+    up_to: str | None = None
+
+
+def _stored(read: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+    return read(store.TABLES, TABLES_SCHEMA), read(store.COLUMNS, COLUMNS_SCHEMA)
+
+
+def _frames(tables: DataFrame, columns: DataFrame) -> dict[str, DataFrame]:
+    return {store.TABLES: tables.select(TABLES_SCHEMA.fieldNames()), store.COLUMNS: columns.select(COLUMNS_SCHEMA.fieldNames())}
 
 
 def refresh(spark: SparkSession, sources: Mapping[str, DataFrame | Callable[[], DataFrame]],
@@ -48,10 +65,15 @@ def refresh(spark: SparkSession, sources: Mapping[str, DataFrame | Callable[[],
     User-written fields survive (``preserve``); statistics are reset to
     NULL by the scan (they are refreshed on request by ``refresh_stats``)."""
     res = scan(spark, sources, now, keys=keys, exclude=exclude)
-    stored_t, stored_c = _stored(spark, root)
-    new_t = upsert(stored_t, preserve_tables(res.tables, stored_t), TABLE_KEYS)
-    new_c = upsert(stored_c, preserve_columns(res.columns, stored_c), COLUMN_KEYS)
-    return RefreshResult(store.save_tables(new_t, root), store.save_columns(new_c, root), res.errors)
+    store.ensure_catalogue(spark, root)
+
+    def change(read):
+        stored_t, stored_c = _stored(read)
+        return _frames(upsert(stored_t, preserve_tables(res.tables, stored_t), TABLE_KEYS),
+                       upsert(stored_c, preserve_columns(res.columns, stored_c), COLUMN_KEYS))
+
+    done = store.transact(spark, root, change)
+    return RefreshResult(done.version, done.frames[store.TABLES].version, done.frames[store.COLUMNS].version, res.errors)
 
 
 def refresh_stats(spark: SparkSession, sources: Mapping[str, DataFrame], root: str,
@@ -63,42 +85,58 @@ def refresh_stats(spark: SparkSession, sources: Mapping[str, DataFrame], root: s
     they are profiled that many tables at a time and every batch is
     committed as its own snapshot: each job's shuffle stays bounded, and a
     failure late in a large refresh only repeats its own batch (the earlier
-    ones are already written to the shared store).  Returns the last
-    version written."""
+    ones are already written to the shared store).  Returns the last version
+    of the column rows."""
     names = list(sources)
     size = batch_tables or max(1, len(names))
     version = -1
-    for i in range(0, max(1, len(names)), size):
-        part = {n: sources[n] for n in names[i:i + size]}
-        if not part:
-            break
-        cols = store.load(spark, root, store.COLUMNS, COLUMNS_SCHEMA)
-        stats = profile_all(spark, part, mode=mode, with_samples=True, rsd=rsd)
-        version = store.save_columns(attach_stats(cols, stats), root)
+    for i in range(0, len(names), size):
+        stats = profile_all(spark, {n: sources[n] for n in names[i:i + size]}, mode=mode, with_samples=True, rsd=rsd)
+        # Stored first: a change that has to be computed again does not profile again.
+        path = scratch_path(spark, f"stats-{uuid.uuid4().hex}")
+        stats.write.parquet(path)
+        found = spark.read.schema(stats.schema).parquet(path)
+        done = store.transact(spark, root, lambda read: {store.COLUMNS: attach_stats(read(store.COLUMNS, COLUMNS_SCHEMA), found)})
+        remove(spark, path)
+        version = done.frames[store.COLUMNS].version
     return version
 
 
 def cleanup(spark: SparkSession, root: str, live: DataFrame, live_columns: DataFrame | None = None,
             force: bool = False) -> tuple[int, int]:
-    """Remove stale tables with their columns, and orphan columns."""
-    t, c = delete_stale(*_stored(spark, root), live, live_columns, force)
-    return store.save_tables(t, root), store.save_columns(c, root)
-
-
-def apply_queued(spark: SparkSession, root: str, log_path: str, now: str,
-                 up_to_seq: int | None = None) -> int:
-    """Apply the edit log (table and column edits) up to ``up_to_seq``
-    (default: everything in it now) and return the cut-off used; pass it to
-    ``operators.edits.consume_edits`` to keep only later edits."""
-    log = spark.read.parquet(log_path)
-    if up_to_seq is None:
-        up_to_seq = log.agg(F.max("seq")).first()[0]
-        if up_to_seq is None:
-            return -1
-    batch = log.filter(F.col("seq") <= up_to_seq)
-    stored_t, stored_c = _stored(spark, root)
-    new_t = apply_edits(stored_t, batch.filter(F.col("column_name").isNull()), TABLE_KEYS, now, drop="falsy")
-    new_c = apply_edits(stored_c, batch.filter(F.col("column_name").isNotNull()), COLUMN_KEYS, now, drop="null")
-    store.save_tables(new_t, root)
-    store.save_columns(new_c, root)
-    return int(up_to_seq)
+    """Remove stale tables with their columns, and orphan columns, as one commit."""
+    done = store.transact(spark, root, lambda read: _frames(*delete_stale(*_stored(read), live, live_columns, force)))
+    return done.frames[store.TABLES].version, done.frames[store.COLUMNS].version
+
+
+def _until(log: DataFrame, up_to: str | None) -> DataFrame:
+    return log if up_to is None else log.filter(F.col("edited_at") <= F.lit(up_to).cast("timestamp_ntz"))
+
+
+def apply_queued(spark: SparkSession, root: str, log_path: str, now: str, up_to: str | None = None) -> AppliedEdits:
+    """Apply the queued edits (of tables and columns) saved until ``up_to``
+    (default: all) as one commit.
+
+    Pass the result to ``consume_queue``; edits that arrive meanwhile are
+    neither applied nor cleared.  A crash between the two is harmless: the
+    same edits applied again set the same values.  The commit's notes name
+    the queue's generation."""
+    at = edit_log.queue_state(spark, log_path)
+    batch = _until(edit_log.read_queue(spark, log_path, at), up_to)
+    store.ensure_catalogue(spark, root)
+
+    def change(read):
+        stored_t, stored_c = _stored(read)
+        return _frames(apply_edits(stored_t, batch.filter(F.col("column_name").isNull()), TABLE_KEYS, now, drop="falsy"),
+                       apply_edits(stored_c, batch.filter(F.col("column_name").isNotNull()), COLUMN_KEYS, now, drop="null"))
+
+    if not at.files and not at.rest:
+        return AppliedEdits(store.state(spark, root).version, at, up_to)
+    done = store.transact(spark, root, change, {"edit_log": log_path, "generation": at.generation})
+    return AppliedEdits(done.version, at, up_to)
+
+
+def consume_queue(spark: SparkSession, log_path: str, applied: AppliedEdits) -> edit_log.QueueRead:
+    """Clear the edits that ``apply_queued`` applied; the queue's state after that."""
+    rows = None if applied.up_to is None else _until(edit_log.read_queue(spark, log_path, applied.queue), applied.up_to)
+    return edit_log.consume_queue(spark, log_path, applied.queue, rows)

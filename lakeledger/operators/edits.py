@@ -14,7 +14,6 @@ third of all edits still moves one partial row per map task.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from lakeledger.functions.empties import differs_flag, differs_text
 from lakeledger.functions.layers import detect_layer
 from lakeledger.functions.text import iso_text
+from lakeledger.sources.edit_log import append_edits  # noqa: F401 - M5, the queue itself lives with the sources
 
 ORDER = ["edited_at", "seq"]
 
@@ -144,37 +144,13 @@ def bad_edits(log: DataFrame, schema: T.StructType) -> DataFrame:
 
 def consume_edits(log: DataFrame, applied: DataFrame) -> DataFrame:
     """M9: the queue without exactly the ``applied`` edits (rows of the log as
-    they were read for the apply).  All columns are compared: two appenders may
-    use the same ``seq``, and an edit that arrived meanwhile must stay,
-    whatever its ``seq`` or time."""
+    they were read for the apply).  All columns are compared, so this holds for
+    any log frame, and an edit that arrived meanwhile stays, whatever its
+    ``seq`` or time.  ``sources.edit_log.consume_queue`` does it on the stored queue."""
     gone = applied.select(*[F.col(c).alias(f"_a_{c}") for c in log.columns])
     return log.join(gone, [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in log.columns], "left_anti")
 
 
-def append_edits(log_path: str, edits: DataFrame, spark=None) -> int:
-    """M5: append edits to the log at ``log_path`` (parquet).
-
-    ``edits`` needs keys, ``field``, ``value`` and ``edited_at``; when it has
-    no ``seq``, one is assigned above every seq already in the log (so later
-    batches always order after earlier ones).  Returns the first seq used."""
-    spark = spark or edits.sparkSession
-    try:
-        top = spark.read.parquet(log_path).agg(F.max("seq")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # an unreadable log is not an empty one
-            raise
-        top = None
-    base = 0 if top is None else int(top) + 1
-    if "seq" not in edits.columns:
-        edits = edits.withColumn("seq", F.monotonically_increasing_id() + F.lit(base))
-    if "column_name" not in edits.columns:
-        edits = edits.withColumn("column_name", F.lit(None).cast("string"))
-    edits.select("table_name", "column_name", "field", F.col("value").cast("string").alias("value"),
-                 F.col("edited_at").cast("timestamp_ntz").alias("edited_at"),
-                 F.col("seq").cast("long").alias("seq")).write.mode("append").parquet(log_path)
-    return base
-
-
 def pending(table_log: DataFrame, column_log: DataFrame) -> DataFrame:
     """A10: number of tables and of columns with queued edits (one row,
     one job; the two logs are unioned, not joined)."""

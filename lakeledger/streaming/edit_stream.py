@@ -12,9 +12,9 @@ Edits can arrive late: an edit saved earlier may land in a later batch.
 To give the same field values as applying the whole log at once, the
 applier keeps a small state table in the store, ``<level>_edit_state``:
 for each (key, field) the ``(edited_at, seq)`` of the value it applied.  A
-batch applies only winners newer than that, then updates the state (the
-target snapshot is committed first, so a replayed batch re-applies the same
-values: idempotent).
+batch applies only winners newer than that.  Target and state are one commit,
+so a replayed batch finds its edits applied, and another writer's commit in
+between leads to the batch being applied on top of it.
 
 ``trigger(availableNow=True)`` makes it a catch-up job: apply everything
 queued, then stop.  The checkpoint must live on shared storage; by default
@@ -53,10 +53,10 @@ def apply_edit_stream(spark: SparkSession, log_path: str, root: str, level: str
     """Start a query that applies queued edits of one ``level``
     (``"tables"`` or ``"columns"``) to the catalogue under ``root``."""
     if level == "tables":
-        keys, schema, name, part, drop = TABLE_KEYS, TABLES_SCHEMA, store.TABLES, "layer", "falsy"
+        keys, schema, name, drop = TABLE_KEYS, TABLES_SCHEMA, store.TABLES, "falsy"
         pick = F.col("column_name").isNull()
     elif level == "columns":
-        keys, schema, name, part, drop = COLUMN_KEYS, COLUMNS_SCHEMA, store.COLUMNS, None, "null"
+        keys, schema, name, drop = COLUMN_KEYS, COLUMNS_SCHEMA, store.COLUMNS, "null"
         pick = F.col("column_name").isNotNull()
     else:
         raise ValueError(level)
@@ -70,19 +70,18 @@ def apply_edit_stream(spark: SparkSession, log_path: str, root: str, level: str
         if batch.isEmpty():
             return
         winners = collapse_edits(batch, keys, drop=drop)
-        empty_state = spark.createDataFrame([], state_schema)
-        if store.current(spark, root, state_name) is None:
-            state = empty_state
-        else:
-            state = store.load(spark, root, state_name, empty_state.schema)
-        seen = state.select(*keys, "field", F.struct("edited_at", "seq").alias("_applied"))
-        newer = (winners.join(seen, [*keys, "field"], "left")
-                 .filter(F.col("_applied").isNull() | (F.struct("edited_at", "seq") > F.col("_applied")))
-                 .drop("_applied"))
-        target = store.load(spark, root, name, schema)
-        store.write_snapshot(apply_edits(target, newer, keys, now_fn(), drop=drop), root, name, part)
-        new_state = upsert(state, newer.select(*keys, "field", "edited_at", "seq"), [*keys, "field"])
-        store.write_snapshot(new_state, root, state_name)
+        empty_state = spark.createDataFrame([], state_schema).schema
+
+        def change(read):
+            state = read(state_name, empty_state)
+            seen = state.select(*keys, "field", F.struct("edited_at", "seq").alias("_applied"))
+            newer = (winners.join(seen, [*keys, "field"], "left")
+                     .filter(F.col("_applied").isNull() | (F.struct("edited_at", "seq") > F.col("_applied")))
+                     .drop("_applied"))
+            return {name: apply_edits(read(name, schema), newer, keys, now_fn(), drop=drop),
+                    state_name: upsert(state, newer.select(*keys, "field", "edited_at", "seq"), [*keys, "field"])}
+
+        store.transact(spark, root, change)
 
     writer = (edit_stream(spark, log_path).writeStream
               .foreachBatch(apply_batch)
