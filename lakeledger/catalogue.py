@@ -8,6 +8,7 @@ schemas, file names and version numbers.
 
 - ``refresh``        scan sources -> preserve user fields -> upsert -> commit
 - ``refresh_stats``  profile sources -> attach statistics to column rows -> commit
+- ``refresh_sketches``  sum up new parts of tables -> merge with stored sketches -> commit with the estimates
 - ``cleanup``        drop stale tables (with their columns) and orphan columns -> commit
 - ``apply_queued``   apply the queued edits -> commit; returns what was applied
 - ``consume_queue``  clear what was applied from the queue
@@ -19,13 +20,14 @@ import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeledger.functions.layers import EXCLUDE_PREFIXES
 from lakeledger.operators.edits import apply_edits
 from lakeledger.operators.profile import attach_stats, profile_all
 from lakeledger.operators.reconcile import delete_stale, preserve_columns, preserve_tables, upsert
+from lakeledger.operators.sketches import SKETCH_SCHEMA, replace_parts, sketch_all, sketch_profile
 from lakeledger.session import scratch_path
 from lakeledger.sources import edit_log, store
 from lakeledger.sources.commits import remove
@@ -102,6 +104,28 @@ def refresh_stats(spark: SparkSession, sources: Mapping[str, DataFrame], root: s
     return version
 
 
+def refresh_sketches(spark: SparkSession, sources: Mapping[str, DataFrame], root: str,
+                     parts: Mapping[str, Column | str] | None = None) -> int:
+    """Sum up the given parts of tables, merge them with the stored sketches
+    and put the estimates on the column rows; one commit of both.
+
+    ``sources`` holds the new or changed parts of each table only, ``parts``
+    its part column or the part's name (``operators.sketches``); parts that
+    aren't given are not read.  Returns the commit."""
+    store.ensure_catalogue(spark, root)
+    path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
+    sketch_all(sources, parts).write.parquet(path)
+    new = spark.read.schema(SKETCH_SCHEMA).parquet(path)
+
+    def change(read):
+        kept = replace_parts(read(store.SKETCHES, SKETCH_SCHEMA), new)
+        return {store.SKETCHES: kept, store.COLUMNS: attach_stats(read(store.COLUMNS, COLUMNS_SCHEMA), sketch_profile(kept))}
+
+    done = store.transact(spark, root, change)
+    remove(spark, path)
+    return done.version
+
+
 def cleanup(spark: SparkSession, root: str, live: DataFrame, live_columns: DataFrame | None = None,
             force: bool = False) -> tuple[int, int]:
     """Remove stale tables with their columns, and orphan columns, as one commit."""

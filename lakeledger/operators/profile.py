@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeledger.operators.reconcile import guard_unique
 from lakeledger.sources.schema import metadata_frame, union_all
 
 # ---- fixed values ----------------------------------------------------------
@@ -356,10 +357,11 @@ def samples(df: DataFrame, table_name: str = "t", n: int = SAMPLE_COUNT,
 
 def attach_stats(columns: DataFrame, stats: DataFrame) -> DataFrame:
     """Put computed statistics on column rows; where a statistic was not
-    computed (NULL), keep the stored value.  Column order of ``columns`` kept."""
-    s = stats.select("table_name", "column_name",
-                     *[F.col(c).alias(f"_new_{c}") for c in ("null_percentage", "distinct_count", "sample_values")
-                       if c in stats.columns])
+    computed (NULL), keep the stored value.  Column order of ``columns`` kept.
+    Two rows of statistics for one column fail the job."""
+    have = [c for c in ("null_percentage", "distinct_count", "sample_values") if c in stats.columns]
+    s = guard_unique(stats.select("table_name", "column_name", *have), ["table_name", "column_name"], "statistics")[0].select(
+        "table_name", "column_name", *[F.when(F.col("_present"), F.col(c)).alias(f"_new_{c}") for c in have])
     j = columns.join(s, ["table_name", "column_name"], "left")
     out = []
     for c in columns.columns:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakeledger.functions.empties import has_text
 from lakeledger.sources.schema import (
-    COLUMN_KEYS, COLUMNS_SCHEMA, TABLE_KEYS, TABLES_SCHEMA, align_to,
+    COLUMN_KEYS, COLUMNS_SCHEMA, TABLE_KEYS, TABLES_SCHEMA, align_to, fit,
 )
 
 # ---- fixed values: what a re-scan keeps from the stored rows ---------------
@@ -47,13 +47,13 @@ def preserve(scan: DataFrame, stored: DataFrame, keys: list[str], fields: list[s
     stored '' turns into the scanned value, usually NULL: Q4) and each of
     ``flags`` becomes ``stored or scanned`` (a stored true is sticky: Q5).
     Output has the columns of ``schema`` (default: the scan's own plus the
-    preserved ones)."""
+    preserved ones).  A key that ``stored`` has twice fails the job."""
     cols = list(schema.fieldNames()) if schema is not None else \
         list(scan.columns) + [f for f in list(fields) + list(flags) if f not in scan.columns]
     types = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
     old = stored.select(*keys, *[F.col(f).alias(f"_old_{f}") for f in list(fields) + list(flags)
                                  if f in stored.columns])
-    j = scan.join(old, keys, "left")
+    j = scan.join(guard_unique(old, keys, "stored rows")[0], keys, "left")
 
     def new(c: str) -> Column:
         if c in scan.columns:
@@ -63,7 +63,7 @@ def preserve(scan: DataFrame, stored: DataFrame, keys: list[str], fields: list[s
     out = []
     for c in cols:
         if c in fields and f"_old_{c}" in j.columns:
-            e = _or_text(F.col(f"_old_{c}"), new(c))
+            e = _or_text(F.when(F.col("_present"), F.col(f"_old_{c}")), new(c))
         elif c in flags and f"_old_{c}" in j.columns:
             e = _or_flag(F.col(f"_old_{c}"), new(c))
         else:
@@ -113,6 +113,15 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], check_unique:
                      for c in target.columns])
 
 
+def upsert_fitted(target: DataFrame, source: DataFrame, keys: list[str], check_unique: bool = True) -> tuple[DataFrame, DataFrame]:
+    """M1/M2 of a source that may not fit: ``(result, rejects)``.
+
+    Rows that fit the target's types are merged; a row with a value that does
+    not cast, or without a key, changes nothing and is listed (``schema.fit``)."""
+    good, rejects = fit(source, target.schema, keys)
+    return upsert(target, good, keys, check_unique), rejects
+
+
 def update_fields(target: DataFrame, edits: DataFrame, keys: list[str], now: str | None,
                   stamp: str = "updated_at", check_unique: bool = True) -> DataFrame:
     """M3/M4: set the fields present in ``edits`` (NULL allowed: it clears)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,3 +172,15 @@ def write_export(doc_frame: DataFrame, path: str) -> None:
     """Write the export as JSON lines ordered by (layer, table_name)."""
     doc_frame.orderBy("layer", "table_name").select(F.col("doc").alias("value")) \
         .write.mode("overwrite").text(path)
+
+
+def export_schema(tables: T.StructType, columns: T.StructType) -> T.StructType:
+    """The schema of exported documents: a table's fields and its ``columns`` array."""
+    return T.StructType([*tables.fields, T.StructField("columns", T.ArrayType(T.StructType(columns.fields)))])
+
+
+def read_export(spark: SparkSession, path: str, tables: T.StructType, columns: T.StructType) -> DataFrame:
+    """S12 back: the documents of ``write_export`` as table rows with a nested ``columns`` array.
+
+    A line that is no such document fails the job."""
+    return spark.read.schema(export_schema(tables, columns)).option("mode", "FAILFAST").json(path)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lakeledger.functions.empties import first_truthy, has_text, nullify_empty
 from lakeledger.functions.layers import REFRESH_FREQUENCIES
+from lakeledger.operators.reconcile import guard_unique
 
 # ---- fixed values: prompt texts and reply shapes ----------------------------
 TABLE_PROMPT_INTRO = "You are a data dictionary assistant for a supply chain analytics lakehouse."
@@ -152,17 +153,17 @@ def explode_replies(df: DataFrame, schema: T.StructType = COLUMN_REPLY_SCHEMA,
 
 def fill_from(df: DataFrame, sugg: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Fill fields that are NULL (not '') from a suggestion row with
-    the same keys; a suggestion without the field's key fills ''."""
-    s = sugg.select(*keys, F.lit(True).alias("_hit"),
-                    *[F.col(f).alias(f"_s_{f}") for f in fields],
+    the same keys; a suggestion without the field's key fills ''.  A key
+    suggested twice fails the job (``explode_replies`` keeps the last)."""
+    s = sugg.select(*keys, *[F.col(f).alias(f"_s_{f}") for f in fields],
                     *[(F.col(f"has_{f}") if f"has_{f}" in sugg.columns else F.col(f).isNotNull()).alias(f"_h_{f}")
                       for f in fields])
-    j = df.join(s, keys, "left")
+    j = df.join(guard_unique(s, keys, "suggestions")[0], keys, "left")
     out = []
     for c in df.columns:
         if c in fields:
             filled = F.when(F.col(f"_h_{c}"), F.col(f"_s_{c}")).otherwise(F.lit(""))
-            out.append(F.when(F.col(c).isNull() & F.coalesce(F.col("_hit"), F.lit(False)), filled)
+            out.append(F.when(F.col(c).isNull() & F.coalesce(F.col("_present"), F.lit(False)), filled)
                        .otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
@@ -177,9 +178,10 @@ def prefer(stored: DataFrame, sugg: DataFrame, keys: list[str], fields: list[str
     A field with a domain: a suggestion inside the domain wins; otherwise
     the stored value if inside the domain, else '' (Q10 fix: an empty
     suggestion no longer hides the stored value).  With ``nullify`` ''
-    becomes NULL, as saving does."""
+    becomes NULL, as saving does.  A key suggested twice fails the job."""
     domains = domains or {}
-    s = sugg.select(*keys, *[F.col(f).alias(f"_s_{f}") for f in fields])
+    s = guard_unique(sugg.select(*keys, *fields), keys, "suggestions")[0].select(
+        *keys, *[F.when(F.col("_present"), F.col(f)).alias(f"_s_{f}") for f in fields])
     j = stored.select(*keys, *fields).join(s, keys, "left")
     out = []
     for f in fields:

@@ -32,4 +32,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from lakeledger.plans import q_scan, q_profile, q_reconcile, q_edits, q_report, q_suggest  # noqa: F401
+    from lakeledger.plans import q_scan, q_profile, q_reconcile, q_edits, q_report, q_suggest, q_store  # noqa: F401

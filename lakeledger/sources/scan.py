@@ -7,7 +7,9 @@ of all sources run as one Spark job; everything else is a small join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,49 +133,85 @@ class ScanResult:
     errors: DataFrame
 
 
+def error_class(e: BaseException) -> str:
+    """A short name of a failure: Spark's error condition where it has one, else the exception's type."""
+    condition = getattr(e, "getCondition", lambda: None)()
+    found = re.search(r"\[([A-Z][A-Z0-9_]+(?:\.[A-Z0-9_]+)*)\]", str(e))
+    return condition or (found[1] if found else type(e).__name__)
+
+
+def isolate(names: list[str], run: Callable[[list[str]], list], threads: int = 8) -> tuple[list, list[tuple[str, Exception]]]:
+    """Run ``run(group)`` over all names and find those that make it fail.
+
+    One call for all names first.  A group that fails is halved, and all
+    groups of a level run as concurrent jobs, so k failures among n names
+    cost about k log2(n) jobs on log2(n) levels, not n jobs in a row.  Returns
+    the collected results of the groups that went through, and the names that
+    failed alone with what they raised."""
+    done, failed, groups = [], [], [list(names)] if names else []
+
+    def attempt(group: list[str]):
+        try:
+            return run(group), None
+        except Exception as e:  # noqa: BLE001 - any failure of a group is looked into
+            return None, e
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        while groups:
+            halves = []
+            for group, (result, error) in zip(groups, pool.map(attempt, groups)):
+                if error is None:
+                    done.extend(result)
+                elif len(group) == 1:
+                    failed.append((group[0], error))
+                else:
+                    halves += [group[:len(group) // 2], group[len(group) // 2:]]
+            groups = halves
+    return done, sorted(failed, key=lambda f: f[0])
+
+
 def scan(spark: SparkSession,
          sources: Mapping[str, DataFrame | Callable[[], DataFrame]],
          now: str,
          keys: DataFrame | None = None,
          exclude=EXCLUDE_PREFIXES,
-         isolate_failures: bool = True) -> ScanResult:
+         isolate_failures: bool = True,
+         threads: int = 8) -> ScanResult:
     """Scan many sources; a failing source is skipped with a message.
 
     Sources may be DataFrames or callables returning one (e.g. a reader), so
-    a path that cannot be read fails inside the loop, not before it.  Analysis
-    errors, and any other exception a source raises, are caught per source and
-    kept with their full text.  With ``isolate_failures`` the row counts
-    run once for all sources; only if that job fails is each source counted
-    on its own to find the broken ones.  The per-source result is one row per
-    table, so the recovery path is bounded by the number of tables."""
-    ok: dict[str, DataFrame] = {}
-    errors: list[tuple[str, str]] = []
-    for name in sorted(sources):
-        if any(name.startswith(p) for p in exclude):
-            continue
-        src = sources[name]
+    a path that cannot be read fails inside the scan, not before it.  Readers
+    run ``threads`` at a time (each is a driver round trip).  Analysis errors,
+    and any other exception a source raises, are caught per source and kept
+    with their full text.  With ``isolate_failures`` the row counts run once
+    for all sources; if that job fails, ``isolate`` finds the broken ones.
+    ``errors`` has ``table_name, error_class, error``, one row per source that
+    failed.  The result is one row per table, so what passes through the
+    driver is bounded by the number of tables."""
+    names = [n for n in sorted(sources) if not any(n.startswith(p) for p in exclude)]
+
+    def opened(name: str):
         try:
-            df = src() if callable(src) else src
+            df = sources[name]() if callable(sources[name]) else sources[name]
             _ = df.schema  # forces analysis
-            ok[name] = df
+            return df
         except Exception as e:  # noqa: BLE001 - any failure of one source is that source's
-            errors.append((name, str(e) or repr(e)))
+            return e
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        frames = dict(zip(names, pool.map(opened, names)))
+    failed = [(n, f) for n, f in frames.items() if isinstance(f, Exception)]
+    ok = {n: f for n, f in frames.items() if not isinstance(f, Exception)}
 
     tables = scan_tables(spark, ok, now)
     if isolate_failures and ok:
-        try:
-            rows = tables.collect()  # one row per table
-            tables = metadata_frame(spark, rows, tables.schema)
-        except Exception:
-            good_rows = []
-            for name in list(ok):
-                try:
-                    good_rows.extend(scan_tables(spark, {name: ok[name]}, now).collect())
-                except Exception as e:  # job failure of this source only
-                    errors.append((name, str(e) or repr(e)))
-                    ok.pop(name)
-            tables = metadata_frame(spark, good_rows, tables.schema)
+        rows, broken = isolate(list(ok), lambda group: scan_tables(spark, {n: ok[n] for n in group}, now).collect(), threads)
+        tables = metadata_frame(spark, rows, tables.schema)
+        failed += broken
+        for name, _ in broken:
+            ok.pop(name)
     cols = live_columns(spark, ok, ordered=False)
     columns = scan_columns(cols, keys, now)
-    err = spark.createDataFrame(errors, "table_name string, error string")
+    err = metadata_frame(spark, [(n, error_class(e), str(e) or repr(e)) for n, e in sorted(failed, key=lambda f: f[0])],
+                         "table_name string, error_class string, error string")
     return ScanResult(tables, columns, err)

@@ -83,18 +83,51 @@ def select_existing(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select([c for c in cols if c in have])
 
 
+def _sources(df: DataFrame, schema: T.StructType, case_insensitive: bool) -> dict[str, str]:
+    """Source column of each target field that has one; a name in the same case comes before others."""
+    norm = (lambda s: s.lower()) if case_insensitive else (lambda s: s)
+    by_name = {norm(c): c for c in reversed(df.columns)}
+    same = set(df.columns)
+    return {f.name: f.name if f.name in same else by_name[norm(f.name)] for f in schema.fields if norm(f.name) in by_name}
+
+
 def align_to(df: DataFrame, schema: T.StructType, case_insensitive: bool = True) -> DataFrame:
     """Fit ``df`` to ``schema``: same names and order, cast to the target
     types; target columns the source lacks come as typed NULL; source columns
-    the target lacks are dropped.  Names match ignoring case by default."""
-    norm = (lambda s: s.lower()) if case_insensitive else (lambda s: s)
-    by_name = {norm(c): c for c in df.columns}
-    out = []
+    the target lacks are dropped.  Names match ignoring case by default.  A
+    value that does not cast fails the job; ``fit`` sets such rows aside."""
+    by_name = _sources(df, schema, case_insensitive)
+    return df.select([(F.col(f"`{by_name[f.name]}`") if f.name in by_name else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in schema.fields])
+
+
+def fit(df: DataFrame, schema: T.StructType, keys: list[str], case_insensitive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """P2 with rejects: ``(fitted, rejects)``.
+
+    ``fitted`` is what ``align_to`` gives, of the rows that fit.  A row with
+    a value that does not cast to its target type, or without a value in one
+    of ``keys``, is no part of it: each such field is a row of ``rejects``,
+    ``(keys..., field, value, target_type)``, the keys as text as they came
+    and the value as text.  Every source row is in one of the two."""
+    by_name = _sources(df, schema, case_insensitive)
+    fitted, faults = [], []
     for f in schema.fields:
-        src = by_name.get(norm(f.name))
-        expr = F.col(src).cast(f.dataType) if src is not None else F.lit(None).cast(f.dataType)
-        out.append(expr.alias(f.name))
-    return df.select(out)
+        if f.name not in by_name:
+            fitted.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        source = F.col(f"`{by_name[f.name]}`")
+        value = source.try_cast(f.dataType)
+        fault = source.isNotNull() & value.isNull()
+        fitted.append(value.alias(f.name))
+        faults.append(F.when(fault | (source.isNull() if f.name in keys else F.lit(False)), F.struct(
+            F.lit(f.name).alias("field"), source.cast("string").alias("value"), F.lit(f.dataType.simpleString()).alias("target_type"))))
+    missing = [k for k in keys if k not in by_name]
+    if missing:
+        raise ValueError(f"the source lacks the keys {missing}")
+    as_came = [F.col(f"`{by_name[k]}`").cast("string").alias(f"_k_{k}") for k in keys]
+    both = df.select(*fitted, *as_came, F.array_compact(F.array(*faults)).alias("_faults"))
+    return (both.filter(F.size("_faults") == 0).select(schema.fieldNames()),
+            both.filter(F.size("_faults") > 0).select(*[F.col(f"_k_{k}").alias(k) for k in keys], F.inline("_faults")))
 
 
 def restrict_to_target(schema: T.StructType, target_columns: list[str]) -> T.StructType:
