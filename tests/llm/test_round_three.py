@@ -296,3 +296,81 @@ def test_planted_texts_and_odd_rows(spark, odd):
     assert with_runs(odd.where("false")).collect() == []
     with pytest.raises(ValueError):
         with_runs(odd, runs_col="fp")
+
+
+# M-tree
+
+def plain_top_k(rows, k=5, every=50):
+    import math
+    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    queries = {}
+    for i, v in ok:
+        if i % every == 0:
+            queries[i] = min(queries.get(i, v), v)
+    out = []
+    for q, v in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def found_top_k(spark, rows):
+    from lakeledger.llm.mtree import top_k
+    return sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+
+
+@pytest.mark.parametrize("page, tree, block", [(256, 8192, 4096), (8, 64, 3)])
+def test_top_k_of_clusters_copies_and_repeated_ids(spark, monkeypatch, page, tree, block):
+    from lakeledger.llm import mtree
+    for name, value in (("PAGE", page), ("TREE", tree), ("QUERY_BLOCK", block), ("NODE_BLOCK", block), ("SAMPLE", 40), ("PIVOTS", 4)):
+        monkeypatch.setattr(mtree, name, value)
+    rng = random.Random(11)
+    centres = [[rng.uniform(-2, 2) for _ in range(5)] for _ in range(9)]
+    rows = [(i, [c + rng.gauss(0, .05) for c in centres[i % 9]]) for i in range(700)]
+    rows += [(5000 + i, rows[3][1]) for i in range(200)] + [(50, rows[9][1]), (50, rows[1][1]), (100, rows[100][1])]
+    rows += [(-50, [0.0] * 5), (6000, [-0.0, 0.0, 1e-9, -1e-9, 0.0]), (6050, None), (6051, [None] * 5), (6052, [float("inf")] * 5), (None, rows[0][1]), (6053, [])]
+    assert found_top_k(spark, rows) == plain_top_k(rows)
+
+
+@pytest.mark.parametrize("large", [2.0 ** 16, 2.0 ** 24, 2.0 ** 53])
+def test_top_k_with_large_components(spark, large):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1), rng.uniform(-1, 1), 0.0]) for i in range(200)]
+    rows += [(201, [0.0, 0.0, large]), (202, [0.5, 0.0, -large]), (250, [0.25, 0.0, 2.0 ** -8]), (251, [1 / 3, 0.1, 2.0 ** -7])]
+    assert found_top_k(spark, rows) == plain_top_k(rows)
+
+
+def test_a_score_beyond_a_long_fails_the_job(spark):
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        found_top_k(spark, [(0, [2.0 ** 40]), (1, [2.0 ** 40]), (2, [1.0])])
+    with pytest.raises(Exception, match="beyond 2"):
+        found_top_k(spark, [(0, [1e300]), (1, [1.0])])
+    with pytest.raises(Exception, match="different lengths"):
+        found_top_k(spark, [(0, [1.0, 2.0]), (1, [1.0])])
+
+
+def test_structured_vectors_are_left_out_by_the_bounds():
+    """Far clusters: products are computed for a small part of the pairs only."""
+    from lakeledger.llm import mtree
+    rng = np.random.default_rng(0)
+    raw = np.floor(256 * (np.repeat(rng.normal(0, 3, (16, 8)), 256, axis=0) + rng.normal(0, .02, (4096, 8))))
+    norm = np.sqrt((raw * raw).sum(1))
+    top = float(norm.max())
+    x, pages, counted = mtree.lifted(raw, top), [], []
+    parent = x.mean(0)
+    for at in mtree.paged(x):
+        centre = x[at].mean(0)
+        d = mtree.distances(x[at], centre[None, :])[:, 0]
+        pages.append({"centre": centre, "radius": d.max(), "to_parent": float(np.linalg.norm(centre - parent)), "largest": norm[at].max(),
+                      "ids": at, "entries": raw[at], "to_centre": d, "parent": parent})
+    real = mtree._scores
+    mtree._scores = lambda q, n, e, m: counted.append(len(q) * len(e)) or real(q, n, e, m)
+    try:
+        q = np.arange(0, 4096, 50)
+        got = mtree.search(q, raw[q], np.full(len(q), mtree._NONE), pages, top, 5)
+    finally:
+        mtree._scores = real
+    score = (raw[q] @ raw.T).astype(np.int64)
+    score[np.arange(len(q)), q] = mtree._NONE
+    assert (np.sort(got[1].reshape(-1, 5)) == np.sort(score)[:, -5:]).all()
+    assert sum(counted) < 0.25 * score.size
