@@ -8,7 +8,16 @@ Every remaining node has a link-adjusted density: characters per tag, scaled
 down by the share of characters and tags that belong to links.  The node
 whose children's densities have the largest sum is the article's body.  The
 smallest density on the path from the page's body to it is the threshold;
-sibling subtrees along the path that reach it belong to the text too.
+sibling subtrees along the path that reach it belong to the text too, and so
+does text that stands bare in the path's elements.  Where the node lies in an
+element that the page marks as article or main, that element is the text:
+its short paragraphs are below any threshold.  Of several articles on a page
+the one with that node is the text.  Lists that hold nothing but links are
+menus wherever they stand.  Reader comments are known by element, role and
+name only; in a section without any of these they can't be told from text.
+
+Every step is linear in the page: nodes are numbered in page order, so one
+comparison tells whether a node lies in another, however deep it is.
 """
 
 from __future__ import annotations
@@ -16,7 +25,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +63,8 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|adbox|sp
 #: The rest of a name that says what a layout has or lacks: has-sidebar, no-comments.
 LAYOUT = re.compile(r"(?<![^\s_-])(?:has|with|no|without)[_-]\S*", re.I)
 #: Words of these beginnings mark lists that often hold article elements of their own.
+#: Elements that hold other blocks; only these are taken out by name inside an article.
+HOLDERS = frozenset("div section ul ol dl table details center dir figure".split())
 LISTS = ("ad", "sponsor", "promo", "comment", "disqus", "repl", "respond", "reactions", "related", "recommended", "outbrain", "taboola")
 # -----------------------------------------------------------------------------
 
@@ -60,7 +74,8 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "words", "own", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone")
+    __slots__ = ("tag", "attrs", "parent", "items", "words", "own", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "first",
+                 "last", "links", "flag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -71,7 +86,17 @@ class Node:
 def parse(page: str) -> Node:
     """The page's DOM, with the end tags that HTML lets authors leave out."""
     root = at = Node("#root", {}, None)
+    open_: Counter[str] = Counter()
     pos = 0
+
+    def leave(target: Node) -> Node:
+        """Close the open elements below ``target``."""
+        up = at
+        while up is not target:
+            open_[up.tag] -= 1
+            up = up.parent
+        return target
+
     while pos < len(page):
         m = _TOKEN.search(page, pos)
         text = page[pos:m.start() if m else len(page)]
@@ -82,17 +107,19 @@ def parse(page: str) -> Node:
         pos = m.end()
         if m[1]:
             name, up = m[1].lower(), at
+            if not open_[name]:
+                continue
             while up is not None and up.tag != name:
                 # An end tag of an inline element does not leave its block.
                 up = None if name not in BLOCK and up.tag in BLOCK else up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = leave(up.parent)
         elif m[2]:
             name = m[2].lower()
-            if name in CLOSES_P:
-                at = _close(at, {"p"}, {"button", "table", "td", "th", "caption", "object"} | (BLOCK - {"p"}))
-            if name in CLOSES:
-                at = _close(at, *CLOSES[name])
+            if name in CLOSES_P and open_["p"]:
+                at = leave(_close(at, {"p"}, {"button", "table", "td", "th", "caption", "object"} | (BLOCK - {"p"})))
+            if name in CLOSES and any(open_[x] for x in CLOSES[name][0]):
+                at = leave(_close(at, *CLOSES[name]))
             attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m[3] or "")}
             node = Node(name, attrs, at)
             at.items.append(node)
@@ -103,6 +130,7 @@ def parse(page: str) -> Node:
                 pos = end.end() if end else len(page)
             elif name not in VOID:
                 at = node
+                open_[name] += 1
     return root
 
 
@@ -118,6 +146,11 @@ def _close(at: Node, names: set[str], border: set[str]) -> Node:
     return found.parent if found is not None else at
 
 
+def within(node: Node, outer: Node) -> bool:
+    """Whether a node is ``outer`` or lies in it."""
+    return outer.first <= node.first <= outer.last
+
+
 def boilerplate(node: Node, inside: bool) -> bool:
     """Whether an element is no main text, by element, role or style; ``inside``: it lies in an article."""
     tag, attrs = node.tag, node.attrs
@@ -144,30 +177,47 @@ def boilerplate_words(node: Node, inside: bool) -> set[str]:
 
 
 def walk(root: Node) -> list[Node]:
-    """All kept nodes, parents first."""
-    nodes, todo = [], [(root, False)]
+    """All kept nodes in page order, numbered (``first``; ``last``: the number of the last node inside)."""
+    nodes, todo, inner = [], [(root, False)], []
     while todo:
         node, inside = todo.pop()
         if boilerplate(node, inside):
             node.gone = True
             continue
+        node.first = node.last = len(nodes)
         nodes.append(node)
         node.words = boilerplate_words(node, inside)
+        if node.words and inside:
+            inner.append(node)
         node.own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
         inside = inside or node.tag in ("article", "main")
         todo += [(x, inside) for x in reversed(node.items) if isinstance(x, Node)]
-    if not any(n.words for n in nodes):
-        return nodes
-    spared = holders(nodes)
-    out, dropped = [], set()
     for n in nodes:
-        if id(n.parent) in dropped or n.words and id(n) not in spared:
-            dropped.add(id(n))
+        n.plain, n.chars, n.links = n.own, n.own, 0
+    for n in reversed(nodes):
+        if n.tag == "a":
+            n.plain, n.links = 0, 1
+        if n is not root:
+            up = n.parent
+            up.last, up.plain, up.chars, up.links = max(up.last, n.last), up.plain + n.plain, up.chars + n.chars, up.links + n.links
+    for n in inner:
+        # Inside an article a name takes out lists of other things, and other holders of mostly links; no paragraph.
+        if n.tag not in HOLDERS:
+            n.words = {w for w in n.words if w.startswith(LISTS[:3]) and n.tag not in ("p", "blockquote", "pre")}
+        elif 2 * n.plain > n.chars:
+            n.words = {w for w in n.words if w.startswith(LISTS)}
+    menus = {id(n) for n in nodes if n.tag in ("ul", "ol") and n.links >= 3 and not n.plain}
+    spared = holders(nodes) if any(n.words for n in nodes) else set()
+    out, end = [], -1
+    for n in nodes:
+        if n.first <= end:
             n.gone = True
+        elif id(n) in menus or n.words and id(n) not in spared:
+            n.gone, end = True, n.last
         else:
             out.append(n)
     if not any(n.own for n in out):
-        # Names alone would leave nothing of the page.
+        # Names and lists alone would leave nothing of the page.
         for n in nodes:
             n.gone = False
         return nodes
@@ -176,31 +226,40 @@ def walk(root: Node) -> list[Node]:
 
 def holders(nodes: list[Node]) -> set[int]:
     """Elements that no name takes out: they hold the page's main element or article, or most of its text outside links."""
-    for n in nodes:
-        n.plain = n.own
-    for n in reversed(nodes):
-        if n.tag == "a":
-            n.plain = 0
-        if n is not nodes[0]:
-            n.parent.plain += n.plain
-
     def lists(n: Node) -> bool:
         return any(w.startswith(LISTS) for w in n.words)
 
     marked = [n for n in nodes if n.tag in ("article", "main") and n.plain and not lists(n)]
     articles = [n for n in marked if n.tag == "article"]
-    out = {id(a) for n in marked if n.tag == "main" for a in (n, *_above(n))}
+    for n in nodes:
+        n.flag = n.tag == "main" and n.plain > 0 and not lists(n)
+    for n in reversed(nodes):
+        if n.flag and n.parent is not None:
+            n.parent.flag = True
+    out = {id(n) for n in nodes if n.flag}
     if articles:
         first = max(articles, key=lambda n: n.plain)
         out |= {id(a) for a in (first, *_above(first)) if len(articles) == 1 or not lists(a)}
     total = nodes[0].plain
-    for n in nodes:
-        if n.words and 2 * n.plain > total and id(n) not in out:
-            # A long list of comments beside a marked article is still one.
-            above = {id(a) for a in _above(n)}
-            beside = [m.plain - (n.plain if id(m) in above else 0) for m in marked if lists(n) and not any(a is n for a in (m, *_above(m)))]
-            if 4 * max(beside, default=0) <= total:
-                out.add(id(n))
+    large = [n for n in nodes if n.words and 2 * n.plain > total and id(n) not in out]
+    if not large:
+        return out
+    # Each of these holds more than half of the text, so they lie in one another.  The longest marked text
+    # beside one of them: in marked elements before and after it, or around it.
+    ends = sorted((m.last, m.plain) for m in marked)
+    before = list(accumulate((p for _, p in ends), max))
+    after = list(accumulate((m.plain for m in reversed(marked)), max))[::-1]
+    starts = [m.first for m in marked]
+    around = [m for m in marked if within(large[0], m) and m is not large[0]]
+    for n in large:
+        beside = [m.plain - n.plain for m in around[:1]]
+        i, j = bisect_left(ends, (n.first, -1)), bisect_right(starts, n.last)
+        beside += before[i - 1:i] + after[j:j + 1]
+        # A long list of comments beside a marked article is still one.
+        if not lists(n) or 4 * max(beside, default=0) <= total:
+            out.add(id(n))
+        if not around and n.plain and n.tag in ("article", "main") and not lists(n):
+            around = [n]
     return out
 
 
@@ -232,41 +291,41 @@ def measure(nodes: list[Node]) -> list[Node]:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """Subtrees of the main text, in page order.
+    """Subtrees of the main text, in page order; what doesn't belong to it inside them is marked as gone.
 
     The subtree with the largest density sum, widened to the article that it
     lies in if the page marks one, else by the siblings along its path that
-    reach the threshold and the headings beside them.
+    reach the threshold and the headings beside them, and by bare text there.
     """
     nodes = walk(root)
     body = next((n for n in nodes if n.tag == "body"), None)
-    scope = [n for n in nodes if n is body or any(a is body for a in _above(n))] if body else nodes
+    scope = [n for n in nodes if within(n, body)] if body else nodes
     if not any(n.chars for n in measure(scope)):
         scope = nodes
         measure(scope)
     best = max(scope, key=lambda n: n.total)
     # Elements with a name of boilerplate stay only where the best node is in them or holds them.
-    above = {id(a) for a in (best, *_above(best))}
     for n in scope:
-        if n.words and id(n) not in above and not any(a is best for a in _above(n)):
+        if n.words and not within(best, n) and not within(n, best):
             n.gone = True
-    marked = [a for a in (best, *_above(best)) if a.tag in ("article", "main")]
+    path = [best, *_above(best)]
+    path = path[:path.index(scope[0]) + 1]
+    marked = [a for a in path if a.tag in ("article", "main")]
     if marked:
         return [marked[-1]]
     # One marked article that holds most of the text below the best node.
-    inner = [n for n in scope if n.tag in ("article", "main") and 2 * n.chars > best.chars and any(a is best for a in _above(n))]
+    inner = next((n for n in scope if n.tag in ("article", "main") and 2 * n.chars > best.chars and within(n, best)), None)
     if inner:
-        return [inner[0]]
-    path = [best]
-    while path[-1] is not scope[0] and path[-1].parent is not None:
-        path.append(path[-1].parent)
+        return [inner]
     threshold = min(n.density for n in path)
-    kept = [best]
+    on_path = {id(n) for n in path}
     for n in path[1:]:
-        kept += [x for x in n.items if isinstance(x, Node) and not x.gone and x not in path and x.chars
-                 and (x.density >= threshold or x.tag in ("h1", "h2", "h3"))]
-    ids = {id(n) for n in kept}
-    return [n for n in scope if id(n) in ids and not any(id(a) in ids for a in _above(n))]
+        for x in n.items:
+            if isinstance(x, Node) and not x.gone and id(x) not in on_path and not (
+                    x.chars and (x.density >= threshold or x.tag in ("h1", "h2", "h3"))):
+                # An inline element beside bare text is a part of its sentence.
+                x.gone = x.tag in BLOCK or not n.own or x.tag == "a"
+    return [path[-1]]
 
 
 def _above(node: Node) -> Iterator[Node]:

@@ -374,3 +374,83 @@ def test_structured_vectors_are_left_out_by_the_bounds():
     score[np.arange(len(q)), q] = mtree._NONE
     assert (np.sort(got[1].reshape(-1, 5)) == np.sort(score)[:, -5:]).all()
     assert sum(counted) < 0.25 * score.size
+
+
+# Main text
+
+LONG = ("Some words that make a sentence of an ordinary length, over and over. " * 4).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    # Bare text in the elements around the densest one.
+    (f"<body>First paragraph, bare. {LONG}<br><br><div><p>{LONG}</p><p>{LONG}</p></div>Last <i>words</i> here.</body>",
+     f"First paragraph, bare. {LONG}\n{LONG}\n{LONG}\nLast words here."),
+    (f"<body><a href=/>Home</a> | <a href=/x>X</a><div><p>{LONG}</p><p>{LONG}</p></div></body>", f"|\n{LONG}\n{LONG}"),
+    # Named paragraphs and holders of text inside an article stay, lists of other things go.
+    (f"<article><p class='related-work'>{LONG}</p><p class='side-note'>A note.</p><div class='toc'>Read this first.</div><p>{LONG}</p></article>",
+     f"{LONG}\nA note.\nRead this first.\n{LONG}"),
+    (f"<article><div class='toc'><a href=#a>One</a> <a href=#b>Two</a></div><p>{LONG}</p><div class='comments'><p>Nice.</p></div><div class='ad'>Buy.</div></article>", LONG),
+    # Lists of nothing but links are menus; lists with text are not.
+    (f"<main><ul><li><a href=/a>A</a><li><a href=/b>B</a><li><a href=/c>C</a></ul><p>{LONG}</p><ul><li><a href=/d>D</a> says so<li>E<li>F</ul></main>",
+     f"{LONG}\nD says so\nE\nF"),
+    # Of two articles, that with the densest part.
+    (f"<body><article><p>Short.</p></article><article><p>{LONG}</p><p>{LONG}</p></article></body>", f"{LONG}\n{LONG}"),
+])
+def test_main_text_keeps_what_belongs_to_it(page, text):
+    from lakeledger.llm.html_text import extract
+    assert extract(page) == text
+
+
+def test_main_text_of_hostile_pages_takes_linear_time():
+    import time
+
+    from lakeledger.llm.html_text import extract
+    def took(page):
+        t = time.process_time()
+        text = extract(page)
+        return time.process_time() - t, text
+    deep, text = took("<body>" + "".join(f"<b>w{i} " for i in range(20_000)))
+    assert deep < 2 and text == " ".join(f"w{i}" for i in range(20_000))
+    for page in ("<div>" * 20_000 + LONG, "<div class='side'>" * 10_000 + LONG, "<article class='x'>" * 10_000 + LONG,
+                 "<p><b>x" * 10_000, "<b>" * 10_000 + "<li>x</i></q>" * 10_000, "<ul><li><a href=x>y</a></ul>" * 10_000 + LONG, "<article><p>a</p></article>" * 10_000):
+        once, _ = took(page)
+        assert once < 4, page[:40]
+
+
+def test_densities_equal_their_definition():
+    """Characters per tag, adjusted for links, computed for each node by walking its subtree."""
+    import math
+
+    from lakeledger.llm.html_text import Node, main_nodes, measure, parse, walk
+    rng = random.Random(8)
+
+    def page(depth=0):
+        kids = "".join(page(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 else ""
+        tag = rng.choice(["div", "span", "section", "a", "em"])
+        return f"<{tag}>{'word ' * rng.randint(0, 30)}{kids}</{tag}>"
+    for _ in range(40):
+        root = parse(f"<body>{page()}{page()}</body>")
+        nodes = walk(root)
+        kept = {id(n) for n in nodes}
+        measure(nodes)
+
+        def under(n):
+            return [x for x in n.items if isinstance(x, Node) and id(x) in kept]
+
+        def counts(n, linked=False):
+            linked = linked or n.tag == "a"
+            own = sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
+            total = [own, 0, own if linked else 0, 0]
+            for x in under(n):
+                got = counts(x, linked)
+                total = [total[0] + got[0], total[1] + got[1] + 1, total[2] + got[2], total[3] + got[3] + (linked or x.tag == "a")]
+            return total
+        c0, _, l0, _ = counts(root)
+        for n in nodes:
+            c, t, lc, lt = counts(n)
+            base = math.log(c / max(1, c - lc) * max(1, lc) + l0 / max(1, c0) * c + math.e)
+            want = c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base) if c else 0.0
+            if n.tag != "a":  # a link's own tag counts to its parent
+                assert math.isclose(n.density, want, rel_tol=1e-9), (n.tag, n.density, want)
+            assert math.isclose(n.total, sum(x.density for x in under(n)), abs_tol=1e-9)
+        assert main_nodes(parse("<body></body>"))
