@@ -454,3 +454,49 @@ def test_densities_equal_their_definition():
                 assert math.isclose(n.density, want, rel_tol=1e-9), (n.tag, n.density, want)
             assert math.isclose(n.total, sum(x.density for x in under(n)), abs_tol=1e-9)
         assert main_nodes(parse("<body></body>"))
+
+
+# Licences
+
+@pytest.mark.parametrize("text, licenses", [
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", ["GPL-2.0"]),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]), ("# SPDX-License-Identifier: BSD-3-Clause AND (ISC)", ["BSD-3-Clause", "ISC"]),
+    ("License: MIT", ["MIT"]), ("Licensed under the MIT license (http://opensource.org/licenses/MIT).", ["MIT"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your leisure", []),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license", ["Apache-2.0", "MIT"]),
+    ("Licensed under either of\n\n * Apache License, Version 2.0 or\n * MIT license", ["MIT"]),
+    ("This crate is dual licensed under the Apache License, Version 2.0\nor the MIT License.", ["Apache-2.0", "MIT"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", ["GPL-3.0"]),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", ["LGPL"]),
+    ("Mozilla Public License Version 2.0\n==================================", ["MPL-2.0"]), ("ISC License\n\nCopyright", ["ISC"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", ["ISC"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("Boost Software License - Version 1.0 - August 17th, 2003", ["BSL-1.0"]),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at", ["EPL-2.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND"]),
+    ("Licensed under CC BY-NC-ND 4.0.", ["CC-BY-NC-ND"]), ("This dataset is licensed under CC-BY-4.0.", ["CC-BY"]),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\n"
+     "published by the Free Software Foundation.", ["GPL-2.0"]),
+    ("foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+     "Foundation, either version 2 of the License, or (at your option) any later version.", ["GPL-2.0"]),
+    ("Released under the MIT License.\n\nParts are by others.\n\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+    ("This software is provided 'as-is', without any express or implied\nwarranty.\n\n1. The origin of this software must not be misrepresented;", ["Zlib"]),
+    ("Released under the GPLv3+.", ["GPL-3.0"]), ("Distributed under the GNU GPL v2 or later", ["GPL-2.0"]), ("Licensed under the LGPL 2.1", ["LGPL"]),
+    ("It isn't\nlicensed under the MIT License.", []), ("The MIT License is short.", []), ("We were licensed under duress.", []), ("MIT", []),
+    ("Licensed under the MIT License and the moon", []), ("\x01Released under the\x01 MIT License", ["MIT"]),
+])
+def test_licences_of_sentences(spark, duck, text, licenses):
+    from lakeledger.llm.licenses import _oracle, scan_licenses
+    rows = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, licenses string")
+    assert scan_licenses(rows).first().licenses == licenses
+    own = duck.cursor()
+    own.execute("CREATE OR REPLACE TEMP TABLE documents AS SELECT 1::BIGINT AS doc_id, ?::VARCHAR AS text", [text])
+    assert (own.execute(_oracle().replace("FROM documents", "FROM temp.documents")).df().licenses[0] or "") == "|".join(licenses)
+
+
+def test_licence_scan_stays_in_the_engine(spark, odd):
+    from lakeledger.llm.licenses import scan_licenses
+    from tests.test_plans import PY_NODES, _plan
+    out = scan_licenses(odd)
+    assert not any(n in _plan(out) for n in PY_NODES) and "Exchange" not in _plan(out)
+    assert out.count() == len(ODD) and scan_licenses(odd.where("false")).collect() == []
