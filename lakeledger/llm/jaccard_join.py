@@ -199,7 +199,7 @@ def similar_sizes(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def link_components(docs: DataFrame, words: int = 5, percent: int = 80, details: bool = False) -> DataFrame:
     """Near-duplicate class of every document.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  Two
@@ -210,6 +210,10 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with nothing and are their own component.  Rows with equal or NULL
     ``doc_id`` are documents of their own; a component of NULL ids only has
     NULL as its id.  No documents: no rows.
+
+    With ``details`` two more columns tell rows and classes apart where ids
+    repeat or are NULL: ``text_hash`` (64-bit, of the row's text) and
+    ``component_key`` (a digest of the class; NULL without words).
     """
     coded = saved(prefixes(docs, words, percent), "jaccard-prefixes")
     sets = coded.where("n > 0")
@@ -237,10 +241,12 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = members.join(labels.select("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = named.join(merged, "comp", "left").select("sig", "low_id", F.coalesce("whole", "comp").alias("comp"))
     low = named.groupBy("comp").agg(F.min("low_id").alias("component_id"))
-    named = saved(named.join(low, "comp").select("sig", "component_id"), "jaccard-named")
-    full = coded.where("n > 0").select("doc_id", "n", "sig").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = coded.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    named = saved(named.join(low, "comp").select("sig", "component_id", F.col("comp").alias("component_key")), "jaccard-named")
+    more = [F.xxhash64("text").alias("text_hash")] if details else []
+    full = coded.where("n > 0").select("doc_id", "n", "sig", *more).join(named, "sig")
+    empty = coded.where("n = 0").select("doc_id", "n", *more, F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component_key"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *(["text_hash", "component_key"] if details else [])]
+    return full.select(out).unionByName(empty.select(out))
 
 
 def _families(posts: DataFrame, active: DataFrame, percent: int) -> DataFrame:

@@ -500,3 +500,42 @@ def test_licence_scan_stays_in_the_engine(spark, odd):
     out = scan_licenses(odd)
     assert not any(n in _plan(out) for n in PY_NODES) and "Exchange" not in _plan(out)
     assert out.count() == len(ODD) and scan_licenses(odd.where("false")).collect() == []
+
+
+# Quality rules
+
+def test_short_circuit_verdicts_equal_the_whole_measures(spark):
+    """Whatever the order, ``verdicts`` keeps what ``judge`` keeps; clashing columns come back as they were."""
+    from lakeledger.llm import quality
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(10_000 + i, t, "x") for i, t in enumerate([None, "", " ", "A " * 60, "same line\n" * 60, "word\n\n" * 70, "#$% " * 80, "é" * 4000,
+            " ".join(f"W{i}" for i in range(60)), " ".join(f"really{i}!?!" for i in range(60)), " ".join(f"{i}" for i in range(400))])]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"n_words": F_lit("mine"), "__w": F_lit(1)})
+    whole = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert 5 < sum(not k for i, k in whole.items() if i >= 10_000) and sum(whole.values()) > 50
+    real = quality.cascade_order
+    try:
+        for order in (list(quality.rules()), list(quality.rules())[::-1]):
+            quality.cascade_order = lambda *a: order
+            out = quality.verdicts(docs)
+            assert out.columns == [*docs.columns, "rejected_by", "kept"]
+            rows = out.collect()
+            assert {r.doc_id: r.kept for r in rows} == whole and {r.n_words for r in rows} == {"mine"}
+            assert all((r.rejected_by is None) == r.kept for r in rows)
+    finally:
+        quality.cascade_order = real
+    assert quality.verdicts(docs.where("false")).collect() == []
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+    return F.lit(x)
+
+
+def test_quality_stays_in_the_engine(spark, odd):
+    from lakeledger.llm.quality import judge, verdicts
+    from tests.test_plans import PY_NODES, _plan
+    for out in (judge(odd), verdicts(odd)):
+        assert not any(n in _plan(out) for n in PY_NODES)
+    # Rules after the first compute their measures only for rows that stand.
+    assert "CASE WHEN" in _plan(verdicts(odd)) or "if" in _plan(verdicts(odd))
