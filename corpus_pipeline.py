@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeledger.llm.common import saved
 from lakeledger.llm.jaccard_join import link_components
 from lakeledger.llm.packing import pack
-from lakeledger.llm.quality import judge
+from lakeledger.llm.quality import verdicts
 from lakeledger.llm.registry import table
 from lakeledger.llm.toxicity import scored
 
@@ -25,19 +25,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
-    return judge(docs).where("kept").select(docs.columns)
+    return verdicts(docs).where("kept").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the smallest doc_id.
 
-    Word shingles of five words, similarity 0.8 or more.  Of rows that repeat
-    this doc_id one stays; rows with a NULL doc_id stay only where no other
-    row of their class has an id, one of each such class's distinct rows.
+    Word shingles of five words, similarity 0.8 or more.  Exactly one row of
+    each class stays, also where an id repeats with other texts or is NULL:
+    the row with the smallest id (NULL last), then the smallest text hash.
+    Documents without words are near nothing; all of them stay.
     """
-    classes = link_components(docs, words=5, percent=80)
-    keep = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id"))).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    rows = link_components(docs, words=5, percent=80, details=True).where("component_key is not null")
+    rows = rows.groupBy("component_key", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    lead = rows.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "copies")).alias("lead"))
+    lead = saved(lead.select(F.col("lead.doc_id").alias("__id"), F.col("lead.text_hash").alias("__hash"), F.col("lead.copies").alias("__copies")), "pipeline-leads")
+    found = docs.join(lead, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+    # Only rows that repeat id and text have to be told apart once more.
+    once = found.where("__copies = 1").select(docs.columns)
+    again = found.where("__copies > 1").dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+    bare = docs.where(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return once.unionByName(again).unionByName(bare)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
