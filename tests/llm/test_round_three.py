@@ -539,3 +539,39 @@ def test_quality_stays_in_the_engine(spark, odd):
         assert not any(n in _plan(out) for n in PY_NODES)
     # Rules after the first compute their measures only for rows that stand.
     assert "CASE WHEN" in _plan(verdicts(odd)) or "if" in _plan(verdicts(odd))
+
+
+# Pipeline
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    """One row of each class of five-word shingles at 0.8, ids repeated and NULL included; documents without words stay."""
+    import corpus_pipeline as C
+    base = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in base.select("doc_id", "text").collect()]
+    words = " ".join(f"w{i}" for i in range(80))
+    more = [(1, words), (2, words + " zz"), (1, words + " yy"), (None, words.replace("w", "v")), (None, words.replace("w", "v")), (None, words.replace("w", "u")),
+            (5, None), (5, ""), (5, " \n"), (7, "x y z"), (7, "x y z"), (8, "X  y z"), (-3, rows[3][1]), (None, rows[4][1] + " end")]
+    rows += more
+    docs = base.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in more], base.schema))
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles(t) for _, t in rows]
+    parent = {i: i for i in range(len(rows))}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * len(a | sets[j]):
+                parent[find(parent, i)] = find(parent, j)
+    classes = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        classes[find(parent, i) if sets[i] else ("bare", i)].append(i)
+    left = Counter(tuple(r) for r in C.drop_near_duplicates(spark, docs, SF_SMALL).select("doc_id", "text").collect())
+    assert sum(left.values()) == len(classes)
+    for members in classes.values():
+        ids = [rows[i][0] for i in members if rows[i][0] is not None]
+        fits = [rows[i] for i in members if rows[i][0] == min(ids, default=None)]
+        hit = next(f for f in fits if left[f])
+        left[hit] -= 1
+    assert not any(left.values())
