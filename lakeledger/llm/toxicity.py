@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeledger.llm.common import share, shared
+from lakeledger.llm.common import discard, saved, share, shared
 from lakeledger.llm.registry import register, table
 
 #: Labelled training rows used at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 12_000
-#: Stems and words kept at most.
-LEXICON_SIZE = 2_000
 #: Longest beginning of a word that can be a stem.
 STEM = 8
 #: Words on either side that can mark a match as quotation.
 WINDOW = 3
-CACHE_WORDS = 700_000
+#: Words whose match a worker remembers, bytes of automaton states that it keeps (about), and terms that a task counts before it sends them.
+CACHE_WORDS, STATE_BYTES, TERMS = 200_000, 64 << 20, 60_000
 
 # ---- fixed values -----------------------------------------------------------
 REPORTING = frozenset("called calls said says wrote quoted quote quotes quoting word term insult slur termed "
@@ -76,9 +76,10 @@ class Lexicon:
 
     def forget(self) -> None:
         self.states: list[tuple[dict[int, int], float, float]] = []
-        self.number: dict[frozenset, int] = {}
+        self.number: dict[bytes, int] = {}
         self.steps: list[dict[str, int]] = []
         self.known: dict[str, tuple[float, float]] = {}
+        self.held = 0
         self.start = self._state({0: 0}, 0.0, 0.0)
 
     def _state(self, nodes: dict[int, int], stem: float, near: float) -> int:
@@ -98,8 +99,10 @@ class Lexicon:
                     stem = max(stem, weight)
                 elif edits <= most:
                     near = max(near, weight)
-        key = frozenset([*nodes.items(), (-1, stem), (-2, near)])
+        key = array("Q", sorted(4 * n + e for n, e in nodes.items())).tobytes() + array("d", (stem, near)).tobytes()
         if key not in self.number:
+            # A state's dictionaries and its key take so much, by measurement.
+            self.held += 600 + 40 * len(nodes)
             self.number[key] = len(self.states)
             self.states.append((nodes, stem, near))
             self.steps.append({})
@@ -143,7 +146,7 @@ class Lexicon:
 
     def features(self, text: str | None) -> list[float]:
         """Sums of exact abuse, misspelled abuse and quotation, saturating."""
-        if len(self.known) > CACHE_WORDS or len(self.states) > 200_000:
+        if len(self.known) > CACHE_WORDS or self.held > STATE_BYTES:
             self.forget()
         known, hits = self.known, []
         words = (text or "").split()
@@ -182,6 +185,14 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], set[int]] = {}
+
+        def send() -> pa.RecordBatch:
+            part = list(seen.items())
+            seen.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([t for (t, _), _ in part], pa.string()), pa.array([x for (_, x), _ in part], pa.int32()),
+                 pa.array([list(k) for _, k in part], pa.list_(pa.int64()))], names=["term", "toxic", "keys"])
+
         for b in batches:
             for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
                 words = [w for w in map(plain_word, (text or "").split()) if w]
@@ -192,11 +203,9 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
                     terms.add(w + "$")
                 for t in terms:
                     seen.setdefault((t, toxic), set()).add(key)
-        for lo in range(0, len(seen), 50_000):
-            part = list(seen.items())[lo:lo + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for (t, _), _ in part]), pa.array([x for (_, x), _ in part], pa.int32()),
-                 pa.array([list(k) for _, k in part], pa.list_(pa.int64()))], names=["term", "toxic", "keys"])
+                if len(seen) > TERMS:
+                    yield send()
+        yield send()
 
     cells = train.mapInArrow(count, "term string, toxic int, keys array<long>")
     # Rare terms cannot qualify; they go before anything is gathered.
@@ -213,7 +222,7 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
     least = max(3, math.ceil(math.log(1e3) / -math.log(share_)))
     terms = per.where(F.col("bad") >= least).where(
         F.col("good") * bad <= F.when(F.length("term") < 6, 0.02).otherwise(0.06) * F.col("bad") * good)
-    found = {r["term"]: (r["bad"], r["good"]) for r in terms.orderBy(F.desc("bad"), "term").limit(20 * LEXICON_SIZE).collect()}
+    found = {r["term"]: (r["bad"], r["good"]) for r in terms.collect()}
     return prune(found, bad, good)
 
 
@@ -248,8 +257,7 @@ def prune(found: dict[str, tuple[int, int]], bad: int, good: int) -> dict[str, f
     for t, (b, g) in found.items():
         if t.endswith("$") and t[:-1] not in out and not (stems and t.startswith(stems)):
             out[t[:-1]] = math.log((b + 0.5) / (bad + 1) / ((g + 0.5) / (good + 1)))
-    best = sorted(out.items(), key=lambda x: (-found.get(x[0][:-1] if x[0].endswith("*") else x[0] + "$", (0, 0))[0], x[0]))
-    return dict(best[:LEXICON_SIZE])
+    return dict(sorted(out.items()))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -278,8 +286,9 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     ``labels`` has ``doc_id`` and ``toxic``.  Only rows whose crc32 of the
     doc_id as text is not divisible by 5 are learned from, at most
-    ``train_rows`` of them; a NULL label or doc_id teaches nothing, and of
-    several labels of one doc_id the larger counts.  The score reads the text
+    ``train_rows`` of them; a NULL label or doc_id teaches nothing, of several
+    labels of one doc_id the larger counts, of several texts the smallest.
+    What the lexicon learns is bounded by these rows alone.  The score reads the text
     alone.  NULL and empty texts get the score of a text without any match.
     Without labelled toxic and clean rows the lexicon is empty and every score
     is the prior's.  All rows and other columns stay; columns of the three
@@ -293,7 +302,8 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
     # At most train_rows small rows come to the driver and go back as a table.
     ids = spark.createDataFrame([tuple(r) for r in known.select("doc_id", "toxic").collect()], "doc_id long, toxic int")
-    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    train = saved(train.select("text", "toxic"), "toxicity-train")
     entries = learn_entries(train)
     handle = share(spark, Lexicon(entries))
 
@@ -306,6 +316,7 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     rows = [tuple(r) for r in train.mapInArrow(measure, "a double, b double, c double, toxic int").collect()]
     data = np.array(rows, float).reshape(-1, 4)
     w = fit_weights(data[:, :3], data[:, 3])
+    discard(train)
 
     base = docs.drop("held_out", "score", "predicted")
     names = base.columns

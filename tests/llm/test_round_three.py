@@ -575,3 +575,69 @@ def test_near_duplicate_stage_equals_brute_force(spark):
         hit = next(f for f in fits if left[f])
         left[hit] -= 1
     assert not any(left.values())
+
+
+# Toxicity
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_equals_edit_distances(monkeypatch):
+    """Exact and misspelled matches of words and stems against plain dynamic programming, also when states are forgotten."""
+    from lakeledger.llm import toxicity
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    entries = {word(rng.randint(3, 11)) + rng.choice(["", "", "*"]): float(rng.randint(1, 9)) for _ in range(60)}
+    words = [word(rng.randint(1, 12)) for _ in range(1500)] + [e.rstrip("*") for e in entries] + [e.rstrip("*") + word(2) for e in entries]
+
+    def plain(w):
+        exact = near = 0.0
+        for e, weight in entries.items():
+            name = e.rstrip("*")
+            most = 0 if len(name) < 5 else 1 if len(name) < 9 else 2
+            d = min(edit_distance(w[:k], name) for k in range(len(w) + 1)) if e.endswith("*") else edit_distance(w, name)
+            if d == 0:
+                exact = max(exact, weight)
+            elif d <= most:
+                near = max(near, weight)
+        return exact, (0.0 if exact else near)
+    lexicon = toxicity.Lexicon(entries)
+    want = [plain(w) for w in words]
+    assert [lexicon.read(w) for w in words] == want
+    assert lexicon.held > 20_000
+    monkeypatch.setattr(toxicity, "STATE_BYTES", 20_000)
+    for w, (exact, near) in zip(words, want):
+        got = lexicon.features(w)
+        assert np.allclose(got[:2], np.log1p([exact, near]))
+
+
+def test_an_automaton_keeps_within_its_bytes():
+    """States of a large random lexicon: the count of bytes follows the memory really taken."""
+    import tracemalloc
+
+    from lakeledger.llm import toxicity
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 10)))
+    lexicon = toxicity.Lexicon({word(): 1.0 for _ in range(2000)})
+    tracemalloc.start()
+    for _ in range(3000):
+        lexicon.features(word())
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.5 * taken < lexicon.held < 2 * taken, (taken, lexicon.held)
+
+
+def test_repeated_ids_teach_once(spark):
+    """A labelled id in many rows is one training row; every row is scored."""
+    from lakeledger.llm.toxicity import scored
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    one = {r.doc_id: r.score for r in scored(docs, labels).collect()}
+    twice = scored(docs.unionByName(docs).unionByName(docs), labels).collect()
+    assert len(twice) == 3 * len(one) and all(abs(one[r.doc_id] - r.score) < 1e-9 for r in twice)
