@@ -146,8 +146,10 @@ class Lexicon:
 
     def features(self, text: str | None) -> list[float]:
         """Sums of exact abuse, misspelled abuse and quotation, saturating."""
-        if len(self.known) > CACHE_WORDS or self.held > STATE_BYTES:
+        if self.held > STATE_BYTES:
             self.forget()
+        elif len(self.known) > CACHE_WORDS:
+            self.known.clear()
         known, hits = self.known, []
         words = (text or "").split()
         for i, w in enumerate(words):
