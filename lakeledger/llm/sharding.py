@@ -100,11 +100,13 @@ LIMIT = 1_000_000
 ORACLE_OP2 = f"""
 WITH r AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HASH_BITS // 4})) AS BIGINT) AS h,
     CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
-x AS (SELECT doc_id, h, n_bytes, d, h >> CAST({HASH_BITS} - d AS BIGINT) AS p FROM r, (SELECT unnest(range(0, 33)) AS d)),
+x AS (SELECT doc_id, h, n_bytes, d, h >> CAST({HASH_BITS} - d AS BIGINT) AS p FROM r, (SELECT unnest(range(0, {HASH_BITS} + 1)) AS d)),
 z AS (SELECT *, sum(n_bytes) OVER (PARTITION BY d, p) AS s FROM x)
 SELECT doc_id, any_value(n_bytes) AS n_bytes, CAST(min(d) AS INTEGER) AS shard_depth, CAST(min_by(p, d) AS BIGINT) AS shard_prefix,
   CAST(0 AS INTEGER) AS shard_part
 FROM z WHERE s <= {LIMIT} GROUP BY doc_id
+UNION ALL
+SELECT doc_id, n_bytes, CAST({HASH_BITS} AS INTEGER), CAST(p AS BIGINT), CAST(1 AS INTEGER) FROM z WHERE d = {HASH_BITS} AND s > {LIMIT}
 """
 
 

@@ -641,3 +641,19 @@ def test_repeated_ids_teach_once(spark):
     one = {r.doc_id: r.score for r in scored(docs, labels).collect()}
     twice = scored(docs.unionByName(docs).unionByName(docs), labels).collect()
     assert len(twice) == 3 * len(one) and all(abs(one[r.doc_id] - r.score) < 1e-9 for r in twice)
+
+
+# Shards
+
+def test_shard_sql_has_documents_over_the_limit(spark, duck, tmp_path):
+    """A document larger than a shard has a row of its own on both sides."""
+    from lakeledger.llm.sharding import ORACLE_OP2, op2_extendible_shards
+    from tools.check_oracle import rows_of
+    rows = [(i, "x" * (1_300_000 if i == 3 else 400_000), "en", "s", 1) for i in range(9)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF_SMALL}/documents.parquet").schema)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    own = duck.cursor()
+    own.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = own.execute(ORACLE_OP2.replace("FROM documents", "FROM temp.documents")).df()
+    got = op2_extendible_shards(spark, str(tmp_path)).select(*want.columns).toPandas()
+    assert rows_of(got) == rows_of(want) and len(want) == 9
