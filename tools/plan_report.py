@@ -1,4 +1,4 @@
-"""Summarise the executed physical plan of every registered query.
+"""Summarise the executed physical plan of every registered catalogue query.
 
     python tools/plan_report.py [--sf DIR] > docs/PLANS.md
 
@@ -32,7 +32,7 @@ def summarise(plan: str) -> dict:
         "reused": plan.count("ReusedExchange"),
         "joins": sorted({f"{a}/{b}" for a, b in joins}),
         "window_limit": "WindowGroupLimit" in plan,
-        "python": any(x in plan for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")),
+        "python": any(x in plan for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "GroupsInArrow")),
     }
 
 
@@ -40,7 +40,8 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     a = ap.parse_args()
-    import __spark_entry__ as E
+    from lakeledger.plans import registry
+    registry.load_all()
     from lakeledger.session import get_spark
     spark = get_spark("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
     print("# Executed plans of the registered queries\n")
@@ -49,14 +50,13 @@ def main() -> None:
     print("`pushed`: filters that reached the parquet reader; `shuffles`: hash/range/single exchanges;")
     print("`reused`: shuffles served from an earlier identical one.")
     print("Plan notes: every scan reads only the columns its query uses; filters on keys and on the")
-    print("edit-log sequence reach the parquet reader; the only sort-merge joins left are the upserts'")
-    print("full outer joins (no side of a full outer join can be broadcast) and the schema-sized key join")
-    print("of `scan_columns`; all other joins were broadcast by AQE from measured sizes or by a checked")
-    print("row count; no query runs Python. The reuse the profile's samples rely on shows in")
-    print("`tests/test_plans.py` (`profile_all` with samples).\n")
+    print("edit-log sequence reach the parquet reader; the upserts' full outer joins are sort-merge joins (no")
+    print("side of a full outer join can be broadcast), other joins are AQE's choice from measured sizes; no")
+    print("query runs Python. Queries that write to a store or log (`plans/q_store.py`) show the plan of")
+    print("their last read. The reuse the profile's samples rely on shows in `tests/test_plans.py`.\n")
     print("| query | sec | scans | read cols | pushed filters | shuffles | reused | joins | window limit | python |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(registry.QUERIES.items()):
         df = fn(spark, a.sf)
         t0 = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
