@@ -176,55 +176,58 @@ def unpivot_typed(df: DataFrame, base: int, digest_over: int | None = None,
     ``base``, built by one ``stack`` generator over all columns.  The id and
     kind are literals of each stacked row, so no per-row lookup is needed.
 
-    With ``digest_over`` texts longer than that many characters are keyed by
-    their SHA-256 digest (``dg``, 32 bytes) instead of the full text, and
-    carry only their first ``width`` characters (``h``) for samples."""
+    With ``digest_over`` texts longer than that many characters keep only
+    their first ``width`` characters in ``s`` (for samples) and are told apart
+    by their SHA-256 digest (``dg``, 32 bytes; NULL for all other values).
+    Texts, heads and digests are computed by projections below the generator,
+    so a nested value is turned into text once."""
     fields = df.schema.fields
-    out = "col_id, kind, l, d, s" + (", dg, h" if digest_over else "")
+    out = "col_id, kind, l, d, s" + (", dg" if digest_over else "")
     if not fields:
-        types = "col_id int, kind int, l long, d double, s string" + (", dg binary, h string" if digest_over else "")
+        types = "col_id int, kind int, l long, d double, s string" + (", dg binary" if digest_over else "")
         return df.sparkSession.createDataFrame([], types)
-    rows = []
-    for i, f in enumerate(fields):
-        kind, l, d, txt = _typed_sql(f.name, f.dataType)
-        row = [str(base + i), str(kind), l, d]
-        if digest_over:
-            if txt == _NULL_S:
-                row += [_NULL_S, "CAST(NULL AS BINARY)", _NULL_S]
-            else:
-                big = f"length({txt}) > {int(digest_over)}"
-                row += [f"CASE WHEN {big} THEN {_NULL_S} ELSE {txt} END",
-                        f"CASE WHEN {big} THEN unhex(sha2({txt}, 256)) END",
-                        f"CASE WHEN {big} THEN substring({txt}, 1, {int(width)}) END"]
+    typed = [_typed_sql(f.name, f.dataType) for f in fields]
+    if not digest_over:
+        rows = [", ".join([str(base + i), str(kind), l, d, txt]) for i, (kind, l, d, txt) in enumerate(typed)]
+        return df.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS ({out})")
+    text, keyed, rows = [], [], []
+    for i, (kind, l, d, txt) in enumerate(typed):
+        if txt == _NULL_S:
+            text.append(_ident(fields[i].name) + f" AS _v{i}")
+            keyed.append(f"_v{i}")
+            l, d = (e.replace(_ident(fields[i].name), f"_v{i}") for e in (l, d))
+            rows.append(f"{base + i}, {kind}, {l}, {d}, {_NULL_S}, CAST(NULL AS BINARY)")
         else:
-            row.append(txt)
-        rows.append(", ".join(row))
-    return df.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS ({out})")
+            text.append(f"{txt} AS _v{i}")
+            big = f"length(_v{i}) > {int(digest_over)}"
+            keyed += [f"CASE WHEN {big} THEN substring(_v{i}, 1, {int(width)}) ELSE _v{i} END AS _s{i}",
+                      f"CASE WHEN {big} THEN unhex(sha2(_v{i}, 256)) END AS _g{i}"]
+            rows.append(f"{base + i}, {kind}, {l}, {d}, _s{i}, _g{i}")
+    return df.selectExpr(*text).selectExpr(*keyed).selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS ({out})")
 
 
 def value_counts(slots: Slots, digest_over: int | None = None, width: int = SAMPLE_WIDTH) -> DataFrame:
     """``(col_id, kind, l, d, s, cnt)``: the shared grouped frame of all
-    sources (plus ``dg, h`` with ``digest_over``)."""
+    sources (plus ``dg`` with ``digest_over``)."""
     long = union_all([unpivot_typed(df, slots.base[name], digest_over, width) for name, df in slots.sources.items()])
     # ``kind`` depends on ``col_id`` only: it adds no groups, it is carried
-    # so that samples can print each value as its original type would.
-    if digest_over:
-        return long.groupBy("col_id", "kind", "l", "d", "s", "dg").agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("h").alias("h"))
-    return long.groupBy("col_id", "kind", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    # so that samples can print each value as its original type would.  So
+    # does the head of a long text on its digest: as a key and not as an
+    # aggregate of text it keeps the count a hash aggregate.
+    keys = ["col_id", "kind", "l", "d", "s"] + (["dg"] if digest_over else [])
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _is_null(counts: DataFrame) -> Column:
-    c = F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
-    return c & F.col("dg").isNull() if "dg" in counts.columns else c
+def _is_null() -> Column:
+    return F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
 
 
 def column_stats(counts: DataFrame) -> DataFrame:
     """Rows, NULLs and distinct values per column from ``value_counts``."""
     return counts.groupBy("col_id").agg(
         F.sum("cnt").alias("row_count"),
-        F.coalesce(F.sum(F.when(_is_null(counts), F.col("cnt"))), F.lit(0)).cast("long").alias("null_count"),
-        F.count(F.when(~_is_null(counts), F.lit(1))).alias("distinct_count"))
+        F.coalesce(F.sum(F.when(_is_null(), F.col("cnt"))), F.lit(0)).cast("long").alias("null_count"),
+        F.count(F.when(~_is_null(), F.lit(1))).alias("distinct_count"))
 
 
 def null_percentage(nulls, rows) -> "F.Column":
@@ -246,8 +249,6 @@ def samples_from_counts(counts: DataFrame, slots: Slots, n: int = SAMPLE_COUNT,
     # not filtered before the limit for the same reason: it sorts last, the
     # limit keeps n + 1, and collect_list skips it.
     text = F.substring(_display(F.col("kind"), F.col("l"), F.col("d"), F.col("s")), 1, width)
-    if "h" in counts.columns:
-        text = F.coalesce(F.col("h"), text)
     heads = (counts.groupBy("col_id", text.alias("head"))
              .agg(F.max("cnt").alias("_top")))
     # (``_top`` breaks no ties: heads are unique per column.  It is in the
