@@ -657,3 +657,26 @@ def test_shard_sql_has_documents_over_the_limit(spark, duck, tmp_path):
     want = own.execute(ORACLE_OP2.replace("FROM documents", "FROM temp.documents")).df()
     got = op2_extendible_shards(spark, str(tmp_path)).select(*want.columns).toPandas()
     assert rows_of(got) == rows_of(want) and len(want) == 9
+
+
+def test_repeated_windows_bound_never_hides_a_rejection(spark):
+    """Texts of few and many different words, repeated in part: the verdict by the bound is that of the whole count."""
+    import random
+
+    from lakeledger.llm.quality import judge, verdicts
+    rng, texts = random.Random(7), []
+    for i in range(120):
+        head = [f"word{rng.randrange(1, 2 + i * 4)}" for _ in range(rng.randrange(40, 120))]
+        texts.append(" ".join(head + head[:rng.randrange(0, len(head) + 1)] + [f"tail{j}" for j in range(rng.randrange(0, 60))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = judge(docs).collect()
+    for r in rows:
+        w = r.text.split(" ")
+        seen: dict = {}
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i:i + 3]), []).append(i)
+        inside = {j for at in seen.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+        assert r.n_repeat_words == len(inside)
+        assert len(inside) <= 2 * (len(w) - len(set(w)))
+    assert 10 < sum(r.kept for r in rows) < 110
+    assert {r.doc_id: r.kept for r in rows} == {r.doc_id: r.kept for r in verdicts(docs).collect()}
