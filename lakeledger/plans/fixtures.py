@@ -26,6 +26,8 @@ def _case(key: Column, mapping: list[tuple[int, object]], default) -> Column:
 
 _PREFIX_BY_MOD9 = [(0, "brz_"), (1, "slv_"), (2, "gld_"), (3, "ref_"), (4, "dq_"), (5, "utl_"),
                    (6, "dd_"), (7, "brz2_")]
+#: Rows of a wide fixture in one task: its sorts then hold some 50 MB each at any scale.
+ROWS_PER_TASK = 250_000
 _LAYER_BY_MOD9 = [(0, "brz"), (1, "slv"), (2, "gld"), (3, "ref"), (4, "dq"), (5, "utl"), (6, "dd")]
 
 
@@ -42,6 +44,14 @@ class Fixtures:
             self._memo[key] = read_table(self.spark, self.sf_dir, name)
         return self._memo[key]
 
+    def parts(self, name: str) -> int:
+        """Partitions for rows made of the table ``name``: in proportion to its
+        rows (from the file footers), at least one for each core."""
+        key = "parts:" + name
+        if key not in self._memo:
+            self._memo[key] = max(self.spark.sparkContext.defaultParallelism, -(-self.table(name).count() // ROWS_PER_TASK))
+        return self._memo[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("fx_"):
             if name not in self._memo:
@@ -92,13 +102,19 @@ class Fixtures:
             F.lit(None).cast("string").alias("updated_by"))
 
     def _build_fx_columns_k(self) -> DataFrame:
-        li = self.table("lineitem").join(self._order_keys(), F.col("l_orderkey") == F.col("k"), "left_semi")
-        g = li.groupBy("l_orderkey", "l_linenumber").agg(
+        # Dealt by table name once, in tasks of bounded size: grouping by key and
+        # line, and whatever is grouped or joined by table later, stays in place.
+        # An inner join, as a semi-join would be moved below and dealt out again;
+        # the maxima are the same however often an order's key occurs.
+        li = self.table("lineitem").withColumn("table_name", self._name(F.col("l_orderkey"))) \
+            .repartition(self.parts("lineitem"), "table_name") \
+            .join(self.fx_names.select("table_name"), "table_name")
+        g = li.groupBy("table_name", "l_orderkey", "l_linenumber").agg(
             F.max("l_returnflag").alias("_rf"), F.max("l_linestatus").alias("_ls"))
         ln, ok = F.col("l_linenumber"), F.col("l_orderkey")
         return g.select(
             ok.alias("_k"),
-            self._name(ok).alias("table_name"),
+            "table_name",
             F.concat(F.lit("c"), ln.cast("string")).alias("column_name"),
             F.lit("double").alias("data_type"),
             ln.cast("int").alias("ordinal_position"),
