@@ -106,9 +106,10 @@ SELECT c.table_name, c.column_name, {_fill('description')}, {_fill('business_nam
 FROM fx_columns c LEFT JOIN s ON c.table_name = s.table_name AND c.column_name = s.column_name""",
                                   [("s", _EXPLODED)]))
 def q_fill_columns(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx, keys = Fixtures(spark, sf_dir), ["table_name", "column_name"]
     sugg = explode_replies(fx.fx_ai_columns)
-    return fill_from(fx.fx_columns, sugg, ["table_name", "column_name"], ["description", "business_name"]) \
+    # The join deals the replies out as the columns are: in tasks of bounded size.
+    return fill_from(fx.fx_columns.repartition(fx.parts("lineitem"), *keys), sugg, keys, ["description", "business_name"]) \
         .select("table_name", "column_name", "description", "business_name")
 
 
