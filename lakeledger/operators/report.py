@@ -168,10 +168,13 @@ def _has_map(dtype: T.DataType) -> bool:
     return False
 
 
-def write_export(doc_frame: DataFrame, path: str) -> None:
-    """Write the export as JSON lines ordered by (layer, table_name)."""
+def write_export(doc_frame: DataFrame, path: str, compression: str | None = None) -> None:
+    """Write the export as JSON lines ordered by (layer, table_name).
+
+    ``compression`` (``gzip``, ...): documents repeat their field names, so
+    they shrink many times; ``read_export`` reads either form."""
     doc_frame.orderBy("layer", "table_name").select(F.col("doc").alias("value")) \
-        .write.mode("overwrite").text(path)
+        .write.mode("overwrite").text(path, compression=compression)
 
 
 def export_schema(tables: T.StructType, columns: T.StructType) -> T.StructType:

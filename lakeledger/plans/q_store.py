@@ -291,7 +291,7 @@ FROM fx_tables t LEFT JOIN fx_columns c ON t.table_name = c.table_name"""))
 def q_export_round_trip(spark, sf_dir):
     """Every column row in its place inside its table's document; a table without columns has one row."""
     fx, path = Fixtures(spark, sf_dir), _new(spark, "export")
-    write_export(export_nested(fx.fx_tables, fx.fx_columns), path)
+    write_export(export_nested(fx.fx_tables, fx.fx_columns), path, compression="gzip")
     docs = read_export(spark, path, TABLES_SCHEMA, COLUMNS_SCHEMA)
     rows = docs.select("*", F.posexplode_outer("columns").alias("pos", "c"))
     return rows.select("table_name", "layer", "row_count", "column_count", "description", "refresh_frequency", "tags", "updated_at",
