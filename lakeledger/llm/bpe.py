@@ -34,7 +34,7 @@ CACHE_CHUNKS = 700_000
 #: Unicode white space.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Python's extra separators that are no Unicode white space.
-_ODD_SPACES = re.compile(r"[\x1c-\x1f]")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 def default_vocabulary() -> str:
@@ -150,7 +150,7 @@ class Codec:
 
     def chunks(self, text: str) -> list[str]:
         """Maximal runs without white space; no token crosses white space."""
-        if _ODD_SPACES.search(text):
+        if any(c in text for c in _ODD_SPACES):
             return re.findall(f"[^{SPACES}]+", text)
         return text.split()
 
@@ -163,7 +163,7 @@ class Codec:
         else:
             parts = self.split(text)
         index = dict.fromkeys(parts)
-        del index["\n"]
+        index.pop("\n", None)  # a single chunk has no line end
         index = dict(zip(index, range(len(index))))
         words = list(index)
         index["\n"] = -1
@@ -189,7 +189,8 @@ class Codec:
         """Words and line ends of the normalised text, in order."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if self.late:
+            # Rare: a plain search for each is far cheaper than the pattern.
+            if any(c in text for c in self.lower):
                 text = self.late.sub(lambda m: self.lower[m[0]], text)
         return self.words.findall(text.lower())
 
@@ -265,9 +266,12 @@ class Codec:
             if self.known.new:
                 self.learn(self.known.new)
                 self.known.new = []
-            for w in which:
-                out.append(gather(self.flat, self.start, w)[0])
-                size.append(len(out[-1]))
+            for at in range(0, len(which), 16):
+                some = which[at:at + 16]
+                ids, ends = gather(self.flat, self.start, np.concatenate(some))
+                out.append(ids)
+                ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, some)])]
+                size.extend(np.diff(ends).tolist())
         return np.concatenate(out), np.cumsum(size)
 
     # -- decoding --------------------------------------------------------
