@@ -105,10 +105,11 @@ class Fixtures:
         # Dealt by table name once, in tasks of bounded size: grouping by key and
         # line, and whatever is grouped or joined by table later, stays in place.
         # An inner join, as a semi-join would be moved below and dealt out again;
-        # the maxima are the same however often an order's key occurs.
+        # the maxima are the same however often an order's key occurs.  Merged, not
+        # broadcast: every task would hold all names.
         li = self.table("lineitem").withColumn("table_name", self._name(F.col("l_orderkey"))) \
             .repartition(self.parts("lineitem"), "table_name") \
-            .join(self.fx_names.select("table_name"), "table_name")
+            .join(self.fx_names.select("table_name").hint("merge"), "table_name")
         g = li.groupBy("table_name", "l_orderkey", "l_linenumber").agg(
             F.max("l_returnflag").alias("_rf"), F.max("l_linestatus").alias("_ls"))
         ln, ok = F.col("l_linenumber"), F.col("l_orderkey")
