@@ -13,14 +13,17 @@ to members (one per distinct set) and verified on the whole texts.
 
 The result is connected components, so links inside a component need not be
 listed one by one.  Groups are first gathered into families: each joins the
-posting leader that it shares most of its prefix with.  The sets of a family
+posting leader that it shares most of its prefix with; families that meet in a
+posting of many documents become one.  The sets of a family
 are compared in blocks of bounded size by one matrix product a block.  Every
-block also holds the family's smallest set, so blocks that link to it share a
-label without a further pass.  Blocks then meet only the sets that are not yet
+block also holds one and the same set, the family's hub, so blocks that link to
+it share a label without a further pass.  Blocks then meet only the sets that are not yet
 in their family's main component, and send back links between labels.
 Candidate pairs across families stay pairs of classes (one group's sets in one
-component): small ones are verified set by set, larger ones in blocks by the
-same matrix product, each block answering for its two components.  No link
+component); they come from postings of few documents only, so a set meets a
+bounded number of others in each.  Small ones are verified set by set, larger
+ones in blocks by the same matrix product, each block answering for its two
+components.  No link
 between components is lost, and a family of thousands of near copies costs a
 few rows per copy.
 """
@@ -46,6 +49,8 @@ BLOCK = 1 << 16
 WORD_CACHE = 1 << 18
 #: Sets in a block of a family or class, about.
 FAMILY_BLOCK = 256
+#: Documents of a posting whose families are still compared pair by pair; with more they become one family.
+FEW_DOCUMENTS = 32
 #: Member pairs of a pair of classes that are verified one by one; classes with more meet in blocks.
 SINGLE_PAIRS = 16
 
@@ -219,19 +224,19 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, details:
     sets = coded.where("n > 0")
     members = saved(sets.groupBy("sig").agg(F.min("doc_id").alias("low_id"), F.min("g").alias("g"), F.min("n").alias("n")), "jaccard-sets")
     # One posting per group and prefix key; keys of one group only are dropped.
-    groups = sets.groupBy("g").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"))
-    posts = groups.select("g", "n", F.posexplode("prefix").alias("pos", "key"))
-    every = saved(posts, "jaccard-postings")
-    shared = every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    posts = saved(every.join(shared, "key").select("key", "g", "n", "pos"), "jaccard-shared")
-    discard(every)
+    groups = sets.groupBy("g").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.count("*").alias("docs"))
+    posts = groups.select("g", "n", "docs", F.posexplode("prefix").alias("pos", "key"))
+    # Counted in a window: the postings, the largest table of the job, are shuffled once and not saved.
+    of_key = Window.partitionBy("key")
+    posts = posts.withColumn("m", F.count("*").over(of_key)).withColumn("busy", F.sum("docs").over(of_key) > FEW_DOCUMENTS)
+    posts = saved(posts.where("m > 1").select("key", "g", "n", "pos", "busy"), "jaccard-shared")
     # Sets that can meet another one: their group shares a key or has several sets.
     several = members.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
     active = members.join(posts.select("g").unionByName(several).distinct(), "g")
     active = saved(active, "jaccard-active")
     texts = bucketed(sets.groupBy("sig").agg(F.min("text").alias("text")).join(active.select("sig"), "sig"), "jaccard-texts", "sig")
 
-    family = _families(posts, active, percent)
+    family = _gathered(_families(posts, active, percent), posts)
     near = _inside(family, texts, words, percent).select(F.col("a").alias("sig"), F.col("b").alias("comp"))
     labels = saved(family.join(near, "sig", "left").select("sig", "g", "n", "fam", F.coalesce("comp", "sig").alias("comp")), "jaccard-labels")
     rest = _rest(labels, texts, words, percent)
@@ -269,6 +274,24 @@ def _families(posts: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return family
 
 
+def _gathered(family: DataFrame, posts: DataFrame) -> DataFrame:
+    """``family`` with families that meet in a busy posting as one, and each group's number of busy postings (``met``).
+
+    Near copies of one text that follow different leaders would otherwise be
+    listed as pairs, each with all of the other families.  One row per family
+    and posting decides which become one.
+    """
+    busy = saved(posts.where("busy").select("key", "g").join(family.select("g", "fam").distinct(), "g"), "jaccard-busy")
+    low = busy.groupBy("key").agg(F.min("fam").alias("low"))
+    edges = busy.select("key", "fam").distinct().join(low, "key").where("fam <> low").select(F.col("fam").alias("a"), F.col("low").alias("b"))
+    whole = components(edges, "jaccard-gathered").select(F.col("node").alias("fam"), F.col("comp").alias("whole"))
+    met = busy.groupBy("g").agg(F.count("*").alias("met"))
+    found = family.join(whole, "fam", "left").join(met, "g", "left").select("sig", "g", "n", F.coalesce("whole", "fam").alias("fam"), F.coalesce("met", F.lit(0)).alias("met"))
+    found = saved(found, "jaccard-gathered-family")
+    discard(busy, family)
+    return found
+
+
 def _roots(parent: DataFrame) -> DataFrame:
     """``(a, b)`` with ``b`` the root of ``a`` in the forest ``parent(a, b)``.
 
@@ -348,18 +371,23 @@ def _link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
 def _inside(family: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``(set, label)`` links inside each block of a family, one per linked set.
 
-    Every block also holds the family's smallest set, which is then the label
-    of all that reach it, whatever their block.
+    Every block also holds the family's hub, which is then the label of all
+    that reach it, whatever their block: the set with the most busy postings,
+    as it has the fewest shingles of its own (the smallest sig on ties).
     """
     sized = _sized(family)
-    small = sized.groupBy("fam").agg(F.min("sig").alias("sig"), F.first("blocks").alias("blocks")).where("blocks > 1")
-    known = saved(small.select("sig").join(texts, "sig"), "jaccard-smallest")
-    small = small.select("sig", "fam", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1"))).alias("blk")).join(known, "sig")
-    rows = sized.select("sig", "fam", "blk").join(texts, "sig").unionByName(small)
+    hub = (sized.groupBy("fam").agg(F.min(F.struct(-F.col("met"), F.col("sig"))).alias("hub"), F.first("blocks").alias("blocks"))
+           .where("blocks > 1").select("fam", "hub.sig", "blocks"))
+    known = saved(hub.select("sig").join(texts, "sig"), "jaccard-hubs")
+    hub = hub.select("sig", "fam", F.explode(F.sequence(F.lit(0), F.expr("blocks - 1"))).alias("blk")).join(known, "sig")
+    rows = sized.select("sig", "fam", "blk", F.lit(False).alias("hub")).join(texts, "sig").unionByName(hub.withColumn("hub", F.lit(True)))
 
     def run(t: pa.Table) -> pa.Table:
-        rows = list(dict(zip(t.column("sig").to_pylist(), t.column("text").cast(pa.binary()).to_pylist())).items())
-        return _link_batch(_forest(rows, rows, words, percent))
+        hub = {s for s, h in zip(t.column("sig").to_pylist(), t.column("hub").to_pylist()) if h}
+        # An empty label is below all others, so the hub's links carry it.
+        rows = [(b"" if s in hub else s, x) for s, x in dict(zip(t.column("sig").to_pylist(), t.column("text").cast(pa.binary()).to_pylist())).items()]
+        links = _forest(rows, rows, words, percent)
+        return _link_batch([(a, b or min(hub)) for a, b in links])
 
     return rows.groupBy("fam", "blk").applyInArrow(run, "a binary, b binary")
 
