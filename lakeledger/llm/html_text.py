@@ -26,7 +26,7 @@ import html
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -49,6 +49,8 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
 #: A start tag of these closes an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul dd dt li".split())
+#: Open elements that keep a paragraph around them open.
+P_BORDER = frozenset("button table td th caption object".split()) | (BLOCK - {"p"})
 #: Start tag: open elements that it closes, up to the scope's border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -86,16 +88,38 @@ class Node:
 def parse(page: str) -> Node:
     """The page's DOM, with the end tags that HTML lets authors leave out."""
     root = at = Node("#root", {}, None)
-    open_: Counter[str] = Counter()
+    # Open elements, outermost first; the depths of those of a tag, of blocks, and of borders of paragraphs.
+    stack, open_, blocks, borders = [root], defaultdict(list), [], []
     pos = 0
 
-    def leave(target: Node) -> Node:
-        """Close the open elements below ``target``."""
-        up = at
-        while up is not target:
-            open_[up.tag] -= 1
-            up = up.parent
-        return target
+    def enter(node: Node) -> Node:
+        open_[node.tag].append(len(stack))
+        if node.tag in BLOCK:
+            blocks.append(len(stack))
+        if node.tag in P_BORDER:
+            borders.append(len(stack))
+        stack.append(node)
+        return node
+
+    def leave(depth: int) -> Node:
+        """Close the open elements from ``depth`` on."""
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            open_[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+            if tag in P_BORDER:
+                borders.pop()
+        return stack[-1]
+
+    def close(names: set[str], border: int) -> Node:
+        """Close the outermost open element of ``names`` inside the border's depth."""
+        found = len(stack)
+        for name in names:
+            at_ = open_[name]
+            if at_ and at_[-1] > border:
+                found = min(found, at_[bisect_right(at_, border)])
+        return leave(found)
 
     while pos < len(page):
         m = _TOKEN.search(page, pos)
@@ -106,20 +130,17 @@ def parse(page: str) -> Node:
             break
         pos = m.end()
         if m[1]:
-            name, up = m[1].lower(), at
-            if not open_[name]:
-                continue
-            while up is not None and up.tag != name:
-                # An end tag of an inline element does not leave its block.
-                up = None if name not in BLOCK and up.tag in BLOCK else up.parent
-            if up is not None and up.parent is not None:
-                at = leave(up.parent)
+            name = m[1].lower()
+            # An end tag of an inline element does not leave its block.
+            if open_[name] and (name in BLOCK or not blocks or open_[name][-1] > blocks[-1]):
+                at = leave(open_[name][-1])
         elif m[2]:
             name = m[2].lower()
             if name in CLOSES_P and open_["p"]:
-                at = leave(_close(at, {"p"}, {"button", "table", "td", "th", "caption", "object"} | (BLOCK - {"p"})))
+                at = close({"p"}, borders[-1] if borders else 0)
             if name in CLOSES and any(open_[x] for x in CLOSES[name][0]):
-                at = leave(_close(at, *CLOSES[name]))
+                names, border = CLOSES[name]
+                at = close(names, max((open_[x][-1] for x in border if open_[x]), default=0))
             attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m[3] or "")}
             node = Node(name, attrs, at)
             at.items.append(node)
@@ -129,23 +150,10 @@ def parse(page: str) -> Node:
                 node.items.append(html.unescape(raw) if name in ("title", "textarea") else raw)
                 pos = end.end() if end else len(page)
             elif name not in VOID:
-                at = node
-                open_[name] += 1
+                at = enter(node)
     return root
 
 
-def _close(at: Node, names: set[str], border: set[str]) -> Node:
-    """The parent of the outermost open element of ``names`` inside the border."""
-    up, found = at, None
-    while up is not None and up.tag not in border:
-        if up.tag in names:
-            found = up
-        up = up.parent
-    if found is None and up is not None and up.tag in names:
-        found = up
-    return found.parent if found is not None else at
-
-
 def within(node: Node, outer: Node) -> bool:
     """Whether a node is ``outer`` or lies in it."""
     return outer.first <= node.first <= outer.last
